@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.packing import cut_pieces, pack
+from lodestream.llm.quality import ledger, passes
+from lodestream.llm.secrets import count_kind, find_secrets, span_text
 from lodestream.llm.token_counts import count_tokens
 from lodestream.llm.token_files import read_token_files, write_token_files
 
@@ -22,6 +24,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT).alias("over_limit"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger(table(spark, sf_dir, "documents"))
+    failed = F.col("failure_bits").bitwiseAND(F.lit(3)) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passes()).alias("kept"), "failure_bits")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(spark, files)
@@ -31,10 +39,42 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=CONTEXT), CONTEXT)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return rows.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_secret_scan": op9_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+_QUALITY = r"""
+with w as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+  from documents),
+e as (select r, unnest(list_transform(range(1, len(ws) - 3), lambda i: {'i': i, 'g': array_to_string(list_slice(ws, i, i + 4), ' ')})) as x from w where len(ws) >= 5),
+d as (select r, x.i as i from e qualify count(*) over (partition by r, x.g) > 1),
+p as (select r, count(distinct i + k) as n from d, (select unnest(range(5)) as k) group by r),
+m as (
+  select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+         len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+         coalesce(p.n, 0)::bigint as n_repeat_words, length(regexp_replace(text, '[^\pL]+', '', 'g'))::bigint as n_letters
+  from w left join p on p.r = w.r),
+b as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+         (n_words < 10)::bigint + 2 * (100 * n_repeat_words > 20 * n_words)::bigint + 4 * (100 * n_symbols > 20 * n_words)::bigint
+         + 8 * (n_dup_lines >= 3 and 100 * n_dup_lines > 40 * n_lines)::bigint + 16 * (n_words > 0 and word_chars > 15 * n_words)::bigint
+         + 32 * (2 * n_letters < word_chars)::bigint as failure_bits
+  from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failure_bits = 0 as kept, failure_bits from b
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY}
