@@ -4,9 +4,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.llm.chat import digest_conversations, format_conversations
+from lodestream.llm.near_dedup import near_duplicates
 from lodestream.llm.packing import cut_pieces, pack
 from lodestream.llm.quality import ledger, passes
 from lodestream.llm.secrets import count_kind, find_secrets, span_text
+from lodestream.llm.shared import materialise
 from lodestream.llm.token_counts import count_tokens
 from lodestream.llm.token_files import read_token_files, write_token_files
 
@@ -24,12 +27,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT).alias("over_limit"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(table(spark, sf_dir, "documents"))
     failed = F.col("failure_bits").bitwiseAND(F.lit(3)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passes()).alias("kept"), "failure_bits")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return digest_conversations(materialise(format_conversations(rows.unionByName(probe)), "formatted"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(spark, files)
@@ -47,7 +61,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_near_dedup": op2_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_token_files": op7_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
