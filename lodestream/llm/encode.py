@@ -19,6 +19,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -32,7 +33,7 @@ def tokenizer_kind(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    if any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or t.get("single_word") or " " in t["content"] or "\n" in t["content"] for t in spec.get("added_tokens", [])):
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or t.get("single_word") or "\n" in t["content"] or not t["content"].startswith("<|") for t in spec.get("added_tokens", [])):
         return "whole"
     if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
         return "byte"
@@ -43,13 +44,32 @@ def tokenizer_kind(path: str) -> str:
     return "whole"
 
 
+# Letters, digits and marks up to here are alike in every version of Unicode, and
+# composing or lower-casing changes none of them by what stands beside it.
+_LATIN = re.compile(r"[\x00-\x1b!-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f ]+").fullmatch
+#: Each byte as the character that byte-level vocabularies write it with: printable ones as themselves, others from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+def _pretoken_pattern(path: str, kind: str) -> str:
+    """The pattern by which the library parts a text into pretokens."""
+    if kind == "byte":
+        # Fixed value: the split that byte-level pre-tokenizers have built in.
+        return r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; the cache keeps two generations of ``limit`` pieces."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         self.kind, self.limit = tokenizer_kind(path), limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of pretokens
+        self.past: dict[str, bytes] = {}
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -57,6 +77,9 @@ class Encoder:
             tok.no_truncation()
             tok.no_padding()
             self._library = lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+            self._bpe = tok.model.tokenize
+            if self.kind != "whole":
+                self._pretokens = regex.compile(_pretoken_pattern(path, self.kind)).findall
         else:
             import sentencepiece
 
@@ -66,6 +89,30 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(ids, dtype="<u4").tobytes() for ids in self._library(texts)]
 
+    def _pretoken(self, word: str) -> bytes:
+        """Ids of a pretoken by the library's model."""
+        ids = self.past.get(word)
+        if ids is None:
+            shown = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = np.asarray([t.id for t in self._bpe(shown)], dtype="<u4").tobytes()
+        if len(self.known) >= self.limit:
+            self.past, self.known = self.known, {}
+        self.known[word] = ids
+        return ids
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces in Latin letters go pretoken by pretoken to the model; others, and those that may hold a special token, whole to the library."""
+        simple = [p for p in pieces if _LATIN(p) and "<|" not in p]
+        out = {}
+        for p in simple:
+            known = self.known.get
+            words = self._pretokens(p.lower() if self.kind == "drop" else p)
+            out[p] = b"".join([known(w) or self._pretoken(w) for w in words])
+        odd = [p for p in pieces if p not in out]
+        if odd:
+            out.update(zip(odd, self._whole(odd)))
+        return out
+
     def _split(self, text: str) -> list[str] | None:
         if self.kind == "drop":
             return text.replace("\n", " ").split(" ")
@@ -87,24 +134,28 @@ class Encoder:
             else:
                 self.young[p] = ids
         if new:
-            self.young.update(zip(new, self._whole(new)))
+            self.young.update(self._pieces(new))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        for lo in range(0, len(texts), 64):
-            parts = [(i, self._split(texts[i])) for i in range(lo, min(lo + 64, len(texts)))]
-            split = [(i, p) for i, p in parts if p is not None]
-            if split:
-                self._learn([p for _, p in split])
-                get = self.young.__getitem__
-                for i, p in split:
-                    out[i] = b"".join(map(get, p))
-            whole = [i for i, p in parts if p is None]
-            if whole:
-                for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-                    out[i] = ids
+        parts = [(i, self._split(t)) for i, t in enumerate(texts)]
+        split = [(i, p) for i, p in parts if p is not None]
+        if split:
+            self._learn([p for _, p in split])
+            get = self.young.__getitem__
+            for i, p in split:
+                out[i] = b"".join(map(get, p))
+        whole = [i for i, p in parts if p is None]
+        if whole:
+            for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
+                out[i] = ids
         return out
 
+    def encode_column(self, column, rows: int = 64):
+        """The ids of each text of an Arrow column, a few rows' strings in memory at a time."""
+        for lo in range(0, len(column), rows):
+            yield from self.encode(column.slice(lo, rows).to_pylist())
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:

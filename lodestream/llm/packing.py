@@ -38,7 +38,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 204
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc, b in zip(batch.column("id").to_pylist(), enc.encode(batch.column("body").to_pylist())):
+            for doc, b in zip(batch.column("id").to_pylist(), enc.encode_column(batch.column("body"))):
                 b += end
                 n, lo, k = len(b) // 4, 0, 0
                 while lo < n:

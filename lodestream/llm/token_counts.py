@@ -62,8 +62,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str | None = None,
     def encode(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            ids = enc.encode(batch.column("body").to_pylist())
-            yield pa.record_batch([batch.column("content_digest"), pa.array([len(b) // 4 for b in ids], pa.int64())], ["content_digest", "n_tokens"])
+            counts = [len(b) // 4 for b in enc.encode_column(batch.column("body"))]
+            yield pa.record_batch([batch.column("content_digest"), pa.array(counts, pa.int64())], ["content_digest", "n_tokens"])
 
     counted = texts.select("content_digest", "body").mapInArrow(encode, CACHE_SCHEMA)
     counted.dropDuplicates(["content_digest"]).write.mode("append").parquet(f"{cache_dir}/tokenizer={version}")

@@ -68,14 +68,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
         with open_write(f"{path}/{name}.ids") as ids, open_write(f"{path}/{name}.off") as off, open_write(f"{path}/{name}.doc") as doc:
             off.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
-                coded = enc.encode(batch.column("body").to_pylist())
-                for b in coded:
-                    ids.write(np.frombuffer(b, "<u4").astype(dtype).tobytes())
-                    ids.write(end)
-                ends = total + np.cumsum([len(b) // 4 + 1 for b in coded], dtype=np.uint64)
+                sizes = []
+                for b in enc.encode_column(batch.column("body")):
+                    ids.write(np.frombuffer(b, "<u4").astype(dtype).tobytes() + end)
+                    sizes.append(len(b) // 4 + 1)
+                ends = total + np.cumsum(sizes, dtype=np.uint64)
                 off.write(ends.astype("<u8").tobytes())
                 doc.write(batch.column("id").fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                total, n_docs = int(ends[-1]) if len(ends) else total, n_docs + len(coded)
+                total, n_docs = int(ends[-1]) if len(ends) else total, n_docs + len(sizes)
         yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": n_docs, "n_tokens": total}], pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     done = ordered.select("id", "body").mapInArrow(write, "part int, name string, n_docs bigint, n_tokens bigint").collect()
