@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.chat import digest_conversations, format_conversations
+from lodestream.llm.decontaminate import flag_leaks
 from lodestream.llm.near_dedup import near_duplicates
 from lodestream.llm.packing import cut_pieces, pack
 from lodestream.llm.quality import ledger, passes
@@ -31,6 +32,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(table(spark, sf_dir, "documents"))
     failed = F.col("failure_bits").bitwiseAND(F.lit(3)) != 0
@@ -62,6 +67,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_token_files": op7_token_files,
