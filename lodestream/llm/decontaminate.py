@@ -57,8 +57,11 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def tokens(part: np.ndarray, bounds: np.ndarray):
-    """(row, value hash, placeholder kind in the named form, kind in the plain form) of each token; kind 0 is a literal."""
+def tokens(part: np.ndarray, bounds: np.ndarray, places: bool = False):
+    """(row, value hash, placeholder kind in the named form, kind in the plain form) of each token; kind 0 is a literal.
+
+    With ``places``: (row, value hash, first byte).
+    """
     n = len(part)
     inside = _WORD[part]
     digit = _DIGIT[part]
@@ -72,6 +75,8 @@ def tokens(part: np.ndarray, bounds: np.ndarray):
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     row = np.searchsorted(bounds, starts, side="right") - 1
     value = word_hashes(_LOWER[part], starts, ends)
+    if places:
+        return row, value, starts
     digits = np.r_[0, np.cumsum(digit)]
     number = digits[ends] > digits[starts]
     unit = np.zeros(len(value), bool)

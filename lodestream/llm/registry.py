@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.chat import digest_conversations, format_conversations
 from lodestream.llm.decontaminate import flag_leaks
+from lodestream.llm.licenses import scan_licenses
 from lodestream.llm.near_dedup import near_duplicates
 from lodestream.llm.packing import cut_pieces, pack
 from lodestream.llm.quality import ledger, passes
@@ -64,6 +65,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a source and a language stand for the directories of a document."""
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    return scan_licenses(table(spark, sf_dir, "documents"), path).select("doc_id", "path", "header_license", "header_cosine", "file_license", "file_cosine", "license", "origin")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
@@ -73,6 +80,7 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
+    "op10_license_scan": op10_license_scan,
 }
 
 _QUALITY = r"""
