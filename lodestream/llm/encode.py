@@ -1,16 +1,15 @@
-"""Exact token ids by the tokenizer libraries, with a bounded cache of encoded pieces.
-
-Where a tokenizer can't join text across a blank, a text's ids are those of its
-pieces in turn, so pieces that recur are encoded once. The kind is read from the
-tokenizer's own file:
-
-- ``byte``: byte-level BPE with the library's own split and no normaliser. Its
-  split always has a bound before a blank that precedes other text and around
-  the last line break of a run of white space. Texts with white space other
-  than blank and \\n are encoded whole.
-- ``drop``: white space is folded and then dropped before the BPE, so blank and
-  \\n part a text anywhere.
-- ``whole``: anything else; each text goes to the library as it is.
+r"""Exact token ids by the tokenizer libraries, with a bounded cache of encoded words.
+
+A BPE tokenizer first parts a text into pretokens and then encodes each by
+itself, so pretokens that recur are encoded once. For the two kinds below the
+pattern that parts texts is known, and for characters in ``_SAFE`` (Latin
+letters and common punctuation) it is plain: there each pretoken goes to the
+library's own model, and ids are cached. Any other text, one that may hold a
+special token, and any other tokenizer go to the library whole.
+
+- ``byte``: byte-level BPE with the built-in pattern and no normaliser.
+- ``drop``: normaliser that composes, folds white space and lower-cases; a
+  pattern of which only the matches are kept.
 """
 
 import json
@@ -19,57 +18,60 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_BYTE_PIECES = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+").findall
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​⁠﻿]").search
+_LETTERS, _NUMBERS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \xa0"
+#: In these characters classes, composition and lower case are settled and depend on no neighbour.
+_SAFE = re.compile("[\t-\r -\x7e\xa0-įı-ɏ‐-‧‰-⁞₠-₿]*").fullmatch
+# Fixed value: the pattern that byte-level pre-tokenizers have built in.
+_BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Each byte as the character that byte-level vocabularies write it with: printable ones as themselves, others from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
 
 def tokenizer_kind(path: str) -> str:
     if not path.endswith(".json"):
         return "whole"
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = _spec(path)
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    if any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or t.get("single_word") or "\n" in t["content"] or not t["content"].startswith("<|") for t in spec.get("added_tokens", [])):
+    if any(not t["content"].startswith("<|") for t in spec.get("added_tokens", [])) or spec["model"]["type"] != "BPE" or spec["model"].get("dropout"):
         return "whole"
     if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
         return "byte"
-    folds = [n for n in (norm or {}).get("normalizers", []) if n.get("type") == "Replace" and n.get("pattern") == {"Regex": "\\s+"}]
-    first = (pre.get("pretokenizers") or [{}])[0]
-    if folds and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
-        return "drop"
+    steps = [n.get("type") for n in (norm or {}).get("normalizers", [])]
+    first, *others = pre.get("pretokenizers") or [{}]
+    byte_level = [(p.get("type"), p.get("use_regex"), p.get("add_prefix_space")) for p in others] == [("ByteLevel", False, False)]
+    if steps == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1]["pattern"] == {"Regex": "\\s+"} and norm["normalizers"][1]["content"] == " ":
+        if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and byte_level:
+            return "drop"
     return "whole"
 
 
-# Letters, digits and marks up to here are alike in every version of Unicode, and
-# composing or lower-casing changes none of them by what stands beside it.
-_LATIN = re.compile(r"[\x00-\x1b!-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f ]+").fullmatch
-#: Each byte as the character that byte-level vocabularies write it with: printable ones as themselves, others from 256 on.
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
-
-
-def _pretoken_pattern(path: str, kind: str) -> str:
-    """The pattern by which the library parts a text into pretokens."""
-    if kind == "byte":
-        # Fixed value: the split that byte-level pre-tokenizers have built in.
-        return r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+def _plain_pattern(pattern: str) -> str:
+    """The pattern with its classes spelled out for safe characters."""
+    classes = ((r"\p{L}", _LETTERS), (r"\p{N}", _NUMBERS))
+    for name, chars in classes:  # those that stand outside brackets
+        pattern = re.sub(r"(?<![\[s}])" + re.escape(name), lambda _, c=chars: f"[{c}]", pattern)
+    for name, chars in classes:
+        pattern = pattern.replace(name, chars)
+    pattern = pattern.replace(r"[^\s", f"[^{_BLANKS}")
+    return pattern.replace(r"\S", f"[^{_BLANKS}]").replace(r"\s", f"[{_BLANKS}]")
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; the cache keeps two generations of ``limit`` pieces."""
+    """Ids of texts as little-endian unsigned 32-bit bytes; the cache keeps two generations of ``limit`` pretokens."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.kind, self.limit = tokenizer_kind(path), limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}  # of pretokens
-        self.past: dict[str, bytes] = {}
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -79,76 +81,44 @@ class Encoder:
             self._library = lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
             self._bpe = tok.model.tokenize
             if self.kind != "whole":
-                self._pretokens = regex.compile(_pretoken_pattern(path, self.kind)).findall
+                pattern = _BYTE_PATTERN if self.kind == "byte" else _spec(path)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+                self._pretokens = re.compile(_plain_pattern(pattern)).findall
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self._library = lambda texts: model.encode(texts, num_threads=1)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(ids, dtype="<u4").tobytes() for ids in self._library(texts)]
-
-    def _pretoken(self, word: str) -> bytes:
-        """Ids of a pretoken by the library's model."""
-        ids = self.past.get(word)
-        if ids is None:
-            shown = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = np.asarray([t.id for t in self._bpe(shown)], dtype="<u4").tobytes()
-        if len(self.known) >= self.limit:
-            self.past, self.known = self.known, {}
-        self.known[word] = ids
-        return ids
-
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Pieces in Latin letters go pretoken by pretoken to the model; others, and those that may hold a special token, whole to the library."""
-        simple = [p for p in pieces if _LATIN(p) and "<|" not in p]
-        out = {}
-        for p in simple:
-            known = self.known.get
-            words = self._pretokens(p.lower() if self.kind == "drop" else p)
-            out[p] = b"".join([known(w) or self._pretoken(w) for w in words])
-        odd = [p for p in pieces if p not in out]
-        if odd:
-            out.update(zip(odd, self._whole(odd)))
-        return out
-
     def _split(self, text: str) -> list[str] | None:
-        if self.kind == "drop":
-            return text.replace("\n", " ").split(" ")
-        if self.kind == "byte" and not _OTHER_SPACE(text):
-            return _BYTE_PIECES(text)
-        return None
-
-    def _learn(self, pieces: list[list[str]]) -> None:
-        """Afterwards ``young`` holds every one of the pieces."""
-        need = set().union(*pieces).difference(self.young)
+        if self.kind == "whole" or "<|" in text or not _SAFE(text):
+            return None
+        return self._pretokens(text.lower() if self.kind == "drop" else text)
+
+    def _learn(self, words: set[str]) -> None:
+        """Afterwards ``young`` holds all of the words."""
+        need = words.difference(self.young)
         if len(self.young) + len(need) > self.limit and self.young:
             self.old, self.young = self.young, {}
-            need = set().union(*pieces)
-        new = []
-        for p in need:
-            ids = self.old.get(p)
+            need = words
+        for w in need:
+            ids = self.old.get(w)
             if ids is None:
-                new.append(p)
-            else:
-                self.young[p] = ids
-        if new:
-            self.young.update(self._pieces(new))
+                shown = w.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = np.array([t.id for t in self._bpe(shown)], dtype="<u4").tobytes()
+            self.young[w] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         parts = [(i, self._split(t)) for i, t in enumerate(texts)]
-        split = [(i, p) for i, p in parts if p is not None]
-        if split:
-            self._learn([p for _, p in split])
-            get = self.young.__getitem__
-            for i, p in split:
+        self._learn(set().union(*(p for _, p in parts if p is not None)))
+        get = self.young.__getitem__
+        for i, p in parts:
+            if p is not None:
                 out[i] = b"".join(map(get, p))
         whole = [i for i, p in parts if p is None]
         if whole:
-            for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-                out[i] = ids
+            for i, ids in zip(whole, self._library([texts[i] for i in whole])):
+                out[i] = np.asarray(ids, dtype="<u4").tobytes()
         return out
 
     def encode_column(self, column, rows: int = 64):
