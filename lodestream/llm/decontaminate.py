@@ -235,6 +235,6 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, in all their columns, that hold no item."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct().hint("merge")
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return rows.join(leaks, (F.col("__own") == F.col("__h")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")), "left_anti").drop("__own")

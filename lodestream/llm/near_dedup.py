@@ -24,14 +24,16 @@ from lodestream.llm.shingles import Circulant, mix, shingle_sets
 BANDS, ROWS = 26, 5
 #: Members of a block; a cell holds two blocks.
 BLOCK = 512
-#: Signatures of pairs at 0.85 agree in 0.725 of 130 coordinates but for 4 standard deviations.
-SLACK = 0.125
+#: Coordinates, a byte of each, by which pairs are screened before their sets are compared.
+SKETCH = 512
+#: A pair at the threshold agrees in fewer coordinates by so many standard deviations in 3e-5 of cases.
+DEVIATIONS = 4
 
-SIGNED = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary"
+SIGNED = "doc_id bigint, h bigint, n_shingles bigint, set_key binary, bands array<bigint>"
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, sketch) of each row; the sketch is the low byte of each coordinate, set_key 128 bits over the set."""
+    """(doc_id, h, n_shingles, set_key, bands) of each row; h hashes the text, set_key is 128 bits over the set."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -39,31 +41,57 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands:
         for batch in batches:
             sets = list(shingle_sets(batch.column("body")))
             some = [i for i, s in enumerate(sets) if len(s)]
-            keys, sketches, names = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            keys, names = [None] * len(sets), [None] * len(sets)
             if some:
                 signatures = circulant.signatures([sets[i] for i in some])
-                for i, k, g in zip(some, circulant.band_keys(signatures), signatures.astype(np.uint8)):
-                    keys[i], sketches[i] = k, g.tobytes()
-                    s = sets[i]
+                for i, k in zip(some, circulant.band_keys(signatures)):
+                    keys[i], s = k, sets[i]
                     names[i] = np.array([mix(s).sum(), mix(s * np.uint64(0xA0761D6478BD642F)).sum() + np.uint64(len(s))]).tobytes()
             yield pa.record_batch(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                [batch.column("id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "h", "n_shingles", "set_key", "bands"],
             )
 
     body = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), body.alias("body")).mapInArrow(run, SIGNED)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(body).alias("h"), body.alias("body")).mapInArrow(run, SIGNED)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the documents that stand for nodes."""
+    """(node, shingles, sketch) of the documents that stand for nodes; the sketch is the low byte of each coordinate."""
 
     def run(batches):
+        circulant = Circulant(SKETCH, 1)
         for batch in batches:
-            yield pa.record_batch([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("body"))], pa.binary())], ["node", "shingles"])
+            sets = list(shingle_sets(batch.column("body")))
+            ids = batch.column("id").filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+            sets = [s for s in sets if len(s)]
+            sketches = circulant.signatures(sets).astype(np.uint8)
+            yield pa.record_batch([ids, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([g.tobytes() for g in sketches], pa.binary())], ["node", "shingles", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return rows.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(run, "node bigint, shingles binary").distinct()
+    # merged at every size: the list of nodes grows with the input and is not to be broadcast
+    return rows.join(nodes.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi").mapInArrow(run, "node bigint, shingles binary, sketch binary").distinct()
+
+
+def _agree(x: np.ndarray, y: np.ndarray, threshold: int, slack: float) -> np.ndarray:
+    return (x == y).sum(1) >= (threshold / 100 - slack) * x.shape[1]
+
+
+def _sketch_array(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _screen(pairs: DataFrame, sets: DataFrame, threshold: int, slack: float) -> DataFrame:
+    """Of pairs (a, b), those whose sketches leave the threshold within reach."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keep = _agree(_sketch_array(batch.column("x")), _sketch_array(batch.column("y")), threshold, slack)
+                yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    return first.join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -76,7 +104,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if len(s) > len(t):
                     s, t = t, s
-                common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(t) else 0
+                common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
                 keep.append(100 * common >= threshold * (len(s) + len(t) - common))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -95,9 +123,8 @@ def _cells(members: DataFrame, threshold: int, slack: float, bands: int, block:
     def run(key, table):
         key = tuple(k.as_py() for k in key)
         node, comp, size, blk = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "blk"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        sketch = _sketch_array(table.column("sketch"))
         band = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(node), bands)
-        need = int((threshold / 100 - slack) * sketch.shape[1])
         left = np.flatnonzero(blk == key[1])
         right = np.flatnonzero(blk == key[2])
         a, b = [], []
@@ -105,7 +132,7 @@ def _cells(members: DataFrame, threshold: int, slack: float, bands: int, block:
             q = right[(comp[right] != comp[p]) & (node[right] > node[p] if key[1] == key[2] else True)]
             q = q[(100 * np.minimum(size[q], size[p]) >= threshold * np.maximum(size[q], size[p]))]
             if len(q):
-                q = q[(sketch[q] == sketch[p]).sum(1) >= need]
+                q = q[_agree(sketch[q], sketch[p][None, :], threshold, slack)]
             if len(q):
                 q = q[band[p][(band[q] == band[p]).argmax(1)] == key[0]]
                 a += [min(node[p], x) for x in node[q]]
@@ -115,18 +142,8 @@ def _cells(members: DataFrame, threshold: int, slack: float, bands: int, block:
     return cells.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(
-    docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, slack: float = SLACK
-) -> DataFrame:
-    """A row (doc_id, n_shingles, component_id, kept) for each row of ``docs``.
-
-    Two documents are linked if 100 * common >= threshold * united shingles.
-    component_id is the smallest id reachable; kept holds where it is the own
-    id. A null text, or one without words, has no shingles and no links. Rows
-    with one id are one document. Null ids take part through texts with equal
-    shingles that have an id; else they stand alone, with a null component, and
-    are kept.
-    """
+def _labelled(docs: DataFrame, threshold: int, id_col: str, text_col: str, bands: int, rows: int, block: int) -> DataFrame:
+    slack = DEVIATIONS * (threshold * (100 - threshold) / SKETCH) ** 0.5 / 100
     signed = materialise(sign(docs, id_col, text_col, bands, rows), "signed")
     named = signed.where("n_shingles > 0")
     nodes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"))
@@ -142,16 +159,39 @@ def near_duplicates(
     pivots = seated.groupBy("key").agg(F.max(F.struct("score", -F.col("node"), "n_shingles")).alias("p")).select("key", (-F.col("p.col2")).alias("pivot"), F.col("p.n_shingles").alias("pn"))
     sized = 100 * F.least("n_shingles", "pn") >= threshold * F.greatest("n_shingles", "pn")
     pairs = members.join(pivots, "key").where(F.col("node") != F.col("pivot")).where(sized).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = materialise(_confirm(pairs, sets, threshold), "links")
+    links = materialise(_confirm(_screen(pairs, sets, threshold, slack), sets, threshold), "links")
     found = components(links)
 
     placed = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    apart = placed.join(split, "key").join(full.select("node", "bands", "sketch"), "node")
+    apart = placed.join(split, "key").join(full.select("node", "bands"), "node").join(sets.select("node", "sketch"), "node")
     more = materialise(_confirm(_cells(apart, threshold, slack, bands, block).join(pairs, ["a", "b"], "left_anti"), sets, threshold), "links")
     if more.limit(1).count():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     labels = nodes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
+    out = signed.select("doc_id", "h", "n_shingles", "set_key").join(labels, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
+) -> DataFrame:
+    """A row (doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Two documents are linked if 100 * common >= threshold * united shingles.
+    component_id is the smallest id reachable; kept holds where it is the own
+    id. A null text, or one without words, has no shingles and no links. Rows
+    with one id are one document. Null ids take part through texts with equal
+    shingles that have an id; else they stand alone, with a null component, and
+    are kept.
+    """
+    return _labelled(docs, threshold, id_col, text_col, bands, rows, block).drop("h")
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """The kept rows of ``docs`` in all their columns; rows alike in id and text stay once."""
+    key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h)
+    kept = _labelled(docs, threshold, id_col, text_col, bands, rows, block).where("kept").select(key(F.col("doc_id"), F.col("h")).alias("__key")).distinct().hint("merge")
+    own = key(F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn("__key", own).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

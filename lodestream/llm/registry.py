@@ -1,5 +1,6 @@
 """The queries of this subpackage, with SQL where DuckDB can express them."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.llm.chat import digest_conversations, format_conversations
 from lodestream.llm.decontaminate import flag_leaks
 from lodestream.llm.licenses import scan_licenses
+#from lodestream.llm.lm_score import score_texts
 from lodestream.llm.near_dedup import near_duplicates
 from lodestream.llm.packing import cut_pieces, pack
 from lodestream.llm.quality import ledger, passes
@@ -33,6 +35,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +80,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
+#    "op3_lm_score": op3_lm_score,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
@@ -81,6 +88,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 _QUALITY = r"""
