@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.llm.chat import digest_conversations, format_conversations
 from lodestream.llm.decontaminate import flag_leaks
 from lodestream.llm.licenses import scan_licenses
-#from lodestream.llm.lm_score import score_texts
+from lodestream.llm.lm_score import score_texts
 from lodestream.llm.near_dedup import near_duplicates
 from lodestream.llm.packing import cut_pieces, pack
 from lodestream.llm.quality import ledger, passes
@@ -80,7 +80,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
-#    "op3_lm_score": op3_lm_score,
+    "op3_lm_score": op3_lm_score,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
