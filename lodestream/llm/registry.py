@@ -40,7 +40,9 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flag_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The items, which are no documents, are given as text."""
+    flags = flag_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return flags.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
