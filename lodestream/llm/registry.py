@@ -114,7 +114,7 @@ b as (
          + 8 * (n_dup_lines >= 3 and 100 * n_dup_lines > 40 * n_lines)::bigint + 16 * (n_words > 0 and word_chars > 15 * n_words)::bigint
          + 32 * (2 * n_letters < word_chars)::bigint as failure_bits
   from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failure_bits = 0 as kept, failure_bits from b
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (failure_bits & 31) = 0 as kept, failure_bits from b
 """
 
 ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY}

@@ -54,7 +54,7 @@ def test_query_finds_planted_items(spark, sf_dir):
     docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r["item_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     whole = {(d, i) for d, t in docs.items() for i, x in items.items() if f" {x} " in f" {t} "}
-    got = {(r["doc_id"], i) for r in QUERIES["op4_decontamination"](spark, sf_dir).collect() for i in r["items"]}
+    got = {(r["doc_id"], i) for r in QUERIES["op4_decontamination"](spark, sf_dir).collect() for i in map(int, filter(None, r["items"].split(",")))}
     assert whole and whole <= got
 
     def shares(d, i, n):
