@@ -113,10 +113,18 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _cells(members: DataFrame, threshold: int, slack: float, bands: int, block: int) -> DataFrame:
-    """Pairs (a, b) across components in buckets of three and more, each from the first bucket that it shares."""
-    k = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.withColumn("k", k).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(
+    """Pairs (a, b) across components in buckets of three and more, each from the first bucket that it shares.
+
+    A bucket's largest component, ``main``, is connected in itself: its ``m`` of
+    ``n`` members meet only the others, never each other.
+    """
+    blocks = lambda size: F.ceil(size / block).cast("int")
+    place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    inside = F.col("component") == F.col("main")
+    dealt = members.withColumn("outer", blocks(F.col("n") - F.col("m"))).withColumn("inner", blocks(F.col("m")))
+    dealt = dealt.withColumn("blk", F.when(inside, F.col("outer") + place("inner")).otherwise(place("outer")))
+    met = F.sequence(F.lit(0), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    cells = dealt.select("*", F.explode(met).alias("other")).select(
         "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "component", "n_shingles", "bands", "sketch"
     )
 
@@ -163,7 +171,9 @@ def _labelled(docs: DataFrame, threshold: int, id_col: str, text_col: str, bands
     found = components(links)
 
     placed = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    split = largest.where("parts > 1").select("key", F.col("top.m").alias("m"), F.col("top.component").alias("main"))
     apart = placed.join(split, "key").join(full.select("node", "bands"), "node").join(sets.select("node", "sketch"), "node")
     more = materialise(_confirm(_cells(apart, threshold, slack, bands, block).join(pairs, ["a", "b"], "left_anti"), sets, threshold), "links")
     if more.limit(1).count():
