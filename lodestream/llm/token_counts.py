@@ -44,8 +44,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str | None = None,
     share one encoding; null and repeated ids are kept as rows. Other columns of
     ``docs`` aren't read. ``tokenizer`` is a path valid on every machine.
     ``cache_dir`` has one writer at a time; None starts an empty cache in the
-    shared folder. Only digests and one text per miss are shuffled; no key
-    gathers the copies of a text, as digests are reduced before they move.
+    shared folder. Texts are shuffled once, by digest and id, to meet the
+    misses, so no key gathers the copies of a text.
     """
     spark = docs.sparkSession
     ship(spark)
