@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance down directories.
 
-Headers are sentences of a text, files whole texts; each is compared with
-templates over its terms, whose weights come from document frequencies in all
+Headers are sentences of a text, whether its lines are broken or wrapped; files
+are whole texts, or passages of a template's length in longer ones. Each is
+compared with templates over its terms, whose weights come from document frequencies in all
 texts. Documents without an own license take that of the nearest directory
 above them that holds a license file.
 """
@@ -15,17 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.decontaminate import tokens
+from lodestream.llm.license_texts import TEXTS
 from lodestream.llm.shared import materialise, ship
 from lodestream.llm.shingles import chunks, text_buffers
 
 # Usual notices of each license, a sentence each.
 HEADERS = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL v3."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU GPL v2."],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    ],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL v3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU GPL v2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", "Licensed under the BSD 3-Clause License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -34,13 +39,10 @@ HEADERS = {
     "CC0-1.0": ["Released under the CC0 1.0 Universal public domain dedication."],
     "Proprietary": ["All rights reserved."],
 }
-# Opening text of license files.
-FILES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
-    "Apache-2.0": "Apache License Version 2.0, January 2004. Terms and conditions for use, reproduction, and distribution. License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
-    "GPL-3.0": "GNU General Public License Version 3, 29 June 2007. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. The GNU General Public License is a free, copyleft license for software and other kinds of works.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-}
+#: Whole license files. AGPL-3.0, CC-BY-SA-4.0 and CC-BY-NC-4.0 are known by their headers only.
+FILES = TEXTS
+#: Passages of a template's length start at each of so many shares of it.
+HOPS = 16
 
 HEADER_COSINE, FILE_COSINE = 0.8, 0.6
 SCANNED = "id bigint, path string, header_license string, header_cosine double, file_license string, file_cosine double"
@@ -67,11 +69,51 @@ class Templates:
         # A text that shares only other terms with a template has at most their share of
         # its norm as cosine; telling terms are added until that is below the threshold.
         self.telling: set[int] = set()
+        parts = [(c, norm, (least * norm) ** 2) for part, norms, least in ((self.headers, self.header_norms, HEADER_COSINE), (self.files, self.file_norms, FILE_COSINE)) for (_, c), norm in zip(part, norms)]
+        left = [norm**2 for _, norm, _ in parts]
         for term in sorted(self.idf, key=lambda t: (-self.idf[t], t)):
-            rest = lambda t: t not in self.telling
-            if all(norm(c, rest) < least * whole for part, norms, least in ((self.headers, self.header_norms, HEADER_COSINE), (self.files, self.file_norms, FILE_COSINE)) for (_, c), whole in zip(part, norms)):
+            # a hair below, as what is left is a running difference
+            if all(x < least - 1e-9 * norm**2 for x, (_, norm, least) in zip(left, parts)):
                 break
             self.telling.add(term)
+            left = [x - (c.get(term, 0) * self.idf[term]) ** 2 for x, (c, *_) in zip(left, parts)]
+        # by place in the vocabulary, the last for any other term
+        self.squares = np.array([self.idf[int(t)] ** 2 for t in self.vocabulary] + [self.rare**2])
+        self.products = np.array([[c.get(int(t), 0) * self.idf[int(t)] ** 2 / norm for t in self.vocabulary] + [0.0] for (_, c), norm in zip(self.files, self.file_norms)])
+        self.lengths = [sum(c.values()) for _, c in self.files]
+
+    def best_file(self, words: np.ndarray) -> tuple[str | None, float]:
+        """The best match of a whole text; if there is none, that of a passage."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        at = np.where(self.vocabulary[at] == words, at, len(self.vocabulary))
+        square = self.squares[at]
+        _, first, n = np.unique(words, return_index=True, return_counts=True)
+        own = math.sqrt((n.astype(float) ** 2 * square[first]).sum())
+        dots = np.array([p[at].sum() for p in self.products])
+        if (dots >= (FILE_COSINE - 1e-6) * own).any():
+            found = self.best(Counter(words.tolist()), True)
+            if found[0]:
+                return found
+        name, top = None, 0.0
+        sums = np.r_[0, np.cumsum(square)]
+        for k, (p, size) in enumerate(zip(self.products, self.lengths)):
+            if size >= len(words):
+                continue
+            starts = np.unique(np.r_[np.arange(0, len(words) - size, max(1, size // HOPS)), len(words) - size])
+            dot = np.r_[0, np.cumsum(p[at])]
+            # a passage's norm is at least that of as many terms that differ
+            bound = (dot[starts + size] - dot[starts]) / np.sqrt(sums[starts + size] - sums[starts])
+            for i in starts[np.argsort(-bound, kind="stable")][: int((bound >= FILE_COSINE - 1e-6).sum())].tolist():
+                if (dot[i + size] - dot[i]) / math.sqrt(sums[i + size] - sums[i]) < top - 1e-6:
+                    break
+                found = self.cosine(Counter(words[i : i + size].tolist()), k)
+                if found >= FILE_COSINE and found > top:
+                    name, top = self.files[k][0], found
+        return name, top
+
+    def cosine(self, counts: Counter, k: int) -> float:
+        own = math.sqrt(sum((x * self.idf.get(t, self.rare)) ** 2 for t, x in counts.items()))
+        return round(sum(x * counts[t] * self.idf[t] ** 2 for t, x in self.files[k][1].items() if t in counts) / own / self.file_norms[k], 12)
 
     def best(self, counts: Counter, files: bool) -> tuple[str | None, float]:
         """The template of largest cosine if that reaches the threshold; of equals the first by name."""
@@ -84,12 +126,15 @@ class Templates:
         return (name, top) if top >= (FILE_COSINE if files else HEADER_COSINE) else (None, 0.0)
 
 
-def sentence_starts(part: np.ndarray) -> np.ndarray:
-    """Running number of the sentence at each byte: a line break ends one, and so does . ! or ? before white space."""
-    ends = part == 10
+def sentence_starts(part: np.ndarray, wrapped: bool = False) -> np.ndarray:
+    """Running number of the sentence at each byte: a line break ends one, and so does . ! or ? before white space.
+
+    If lines are ``wrapped``, their breaks are white space.
+    """
+    ends = (part == 10) & (not wrapped)
     stops = np.isin(part, [33, 46, 63])
     if len(part) > 1:
-        ends[1:] |= stops[:-1] & np.isin(part[1:], [32, 9, 13])
+        ends[1:] |= stops[:-1] & np.isin(part[1:], [32, 9, 10, 13])
     return np.cumsum(ends)
 
 
@@ -129,17 +174,24 @@ def match_texts(docs: DataFrame, path: Column, templates: Templates, id_col: str
                 row, value, place = tokens(part, bounds, places=True)
                 if not len(value):
                     continue
-                sentence = sentence_starts(part)[place]
+                lines = np.r_[0, np.cumsum(part == 10)][place]
+                broken = sentence_starts(part)[place]
+                # in wrapped lines, one without a word ends a sentence
+                joined = sentence_starts(part, True)[place] + np.cumsum(np.r_[0, np.diff(lines) > 1])
                 at = np.minimum(np.searchsorted(telling, value), len(telling) - 1)
                 for r in np.unique(row[telling[at] == value]).tolist():
                     a, b = np.searchsorted(row, [r, r + 1])
-                    mine, words = sentence[a:b], value[a:b]
+                    words, told = value[a:b], telling[at[a:b]] == value[a:b]
                     best = (None, 0.0)
-                    for s in np.unique(mine[telling[at[a:b]] == words]).tolist():
-                        found = templates.best(Counter(words[mine == s].tolist()), False)
-                        best = found if found[1] > best[1] else best
+                    for mine in (broken[a:b], joined[a:b]):
+                        if best[0]:
+                            break  # lines are joined only if none has a header by itself
+                        for s in np.unique(mine[told]).tolist():
+                            lo_s, hi_s = np.searchsorted(mine, [s, s + 1])
+                            found = templates.best(Counter(words[lo_s:hi_s].tolist()), False)
+                            best = found if found[1] > best[1] else best
                     header[lo + r] = best
-                    whole[lo + r] = templates.best(Counter(words.tolist()), True)
+                    whole[lo + r] = templates.best_file(words)
             cols = [pa.array(x, t) for x, t in zip([*zip(*header), *zip(*whole)], (pa.string(), pa.float64()) * 2)]
             yield pa.record_batch([batch.column("id"), batch.column("path"), *cols], ["id", "path", "header_license", "header_cosine", "file_license", "file_cosine"])
 

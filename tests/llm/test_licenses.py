@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import Counter
 
@@ -61,3 +62,21 @@ def test_query(spark, sf_dir="/root/testdata/sf0.01"):
         for name, line in (("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.")):
             if line in text:
                 assert rows[i]["header_license"] == name
+
+
+def test_whole_files_passages_and_wrapped_headers(spark):
+    """Texts of the system's license files, where it has them, alone and in longer documents."""
+    kept = {"Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    texts = {k: open(f"/usr/share/common-licenses/{f}", encoding="utf8").read() if os.path.exists(f"/usr/share/common-licenses/{f}") else FILES[k] for k, f in kept.items()}
+    texts["MIT"] = FILES["MIT"].replace("<year> <copyright holders>", "2019 Some One")
+    around = " ".join(f"{w} {i}" for i in range(4000) for w in ("plain", "words", "about", "the", "weather"))
+    header = '# Copyright 2020\n#\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy\n'
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */"
+    rows = [(k, text) for k, text in texts.items()] + [("in " + k, around + "\n" + text + "\n" + around) for k, text in texts.items()] + [("apache", header), ("gpl", gpl), ("none", around)]
+    rows += [(f"pad{i}", "the and of to in a plain page of words that is no license") for i in range(200)]
+    frame = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(rows)], "doc_id bigint, p string, text string")
+    got = {r["path"]: r for r in scan_licenses(frame, F.concat(F.lit("/"), "p")).collect()}
+    for k in texts:
+        assert got[f"/{k}"]["file_license"] == k and got[f"/in {k}"]["file_license"] == k, (k, got[f"/{k}"], got[f"/in {k}"])
+    assert got["/apache"]["header_license"] == "Apache-2.0" and got["/gpl"]["header_license"] == "GPL-3.0"
+    assert got["/none"]["file_license"] is None and got["/none"]["header_license"] is None
