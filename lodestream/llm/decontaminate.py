@@ -6,9 +6,12 @@ placeholder texts are hash-joined. A copy with other numbers or names still
 matches, and its slots tell whether it is one: along an alignment, each value
 of the item has to stand for one value of the text throughout.
 
-Two forms are kept of every window. In the plain form names stay, in lower
-case, so that a copy in other case is found; in the named form a capitalised
-word inside a sentence is a name. Either form matches with itself only.
+Four forms are kept of every window. In the literal form numbers and units stay
+as they are, so that a verbatim copy is found whatever it consists of; in the
+plain form names stay, in lower case, so that a copy in other case is found; in
+the named form a run of capitalised words inside a sentence is one name, and in
+the opening form so is one that opens a sentence. Each form matches with itself
+only, and places are counted in its own tokens.
 """
 
 import numpy as np
@@ -32,13 +35,14 @@ WINDOW = 8
 COVER = 13
 #: Share of slots that have to agree along an alignment.
 CONSISTENT = 0.8
-#: Items of fewer tokens are too common a phrase to tell a copy by.
+#: Items of fewer tokens are too common a phrase to tell a copy with other values by.
 LEAST = 5
 #: Benchmark windows up to which their hashes are sent to the tasks, 8 bytes each.
 SENT = 2_000_000
 
 NUM, UNIT, NAME = (np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in (1, 2, 3))
-HITS = "doc_id bigint, h bigint, pos bigint, window bigint, slots array<bigint>"
+HITS = "doc_id bigint, h bigint, form int, pos bigint, window bigint, slots array<bigint>"
+LITERAL, PLAIN, NAMED, OPENING = range(4)
 
 _BYTES = np.arange(256)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
@@ -58,7 +62,7 @@ _UNITS = _unit_hashes()
 
 
 def tokens(part: np.ndarray, bounds: np.ndarray, places: bool = False):
-    """(row, value hash, placeholder kind in the named form, kind in the plain form) of each token; kind 0 is a literal.
+    """(row, value hash, placeholder kind in the named form, kind in the plain form, kind in the opening form) of each token; kind 0 is a literal.
 
     With ``places``: (row, value hash, first byte).
     """
@@ -87,71 +91,101 @@ def tokens(part: np.ndarray, bounds: np.ndarray, places: bool = False):
     opens = np.ones(len(value), bool)
     opens[1:] = (row[1:] != row[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
     plain = np.where(number, NUM, np.where(unit, UNIT, np.uint64(0)))
-    name = _UPPER[part[starts]] & ~opens & (plain == 0) if len(value) else opens
-    return row, value, np.where(name, NAME, plain), plain
+    name = _UPPER[part[starts]] & (plain == 0) if len(value) else opens
+    return row, value, np.where(name & ~opens, NAME, plain), plain, np.where(name, NAME, plain), opens
 
 
-def windows(column, sizes: list[int], known: np.ndarray | None = None):
-    """Yields (row, place, window hash, slots) of the windows of each size with as many literals as placeholders or more.
+def forms(part: np.ndarray, bounds: np.ndarray):
+    """Yields (form, rows, value hashes, kinds, whether a sentence opens, first and end place in the text) of tokens, a run of names as one.
 
-    ``known``: sorted hashes to which the windows are kept. Slots are value
-    hashes, 0 for a literal.
+    A form is left out for texts where it would be the plain one.
+    """
+    row, value, named, plain, opening, opens = tokens(part, bounds)
+    at = np.arange(len(value)) - np.searchsorted(row, np.arange(len(bounds) - 1))[row]
+    yield LITERAL, row, value, np.zeros(len(value), np.uint64), opens, at, at + 1
+    yield PLAIN, row, value, plain, opens, at, at + 1
+    for form, kind in ((NAMED, named), (OPENING, opening)):
+        differs = np.zeros(len(bounds) - 1, bool)
+        differs[row[kind != plain]] = True
+        mine = differs[row]
+        if not mine.any():
+            continue
+        r, v, k, o, i = row[mine], value[mine], kind[mine], opens[mine], at[mine]
+        # a run goes on within a text and a sentence
+        on = np.r_[False, (k[1:] == NAME) & (k[:-1] == NAME) & (r[1:] == r[:-1]) & ~o[1:]]
+        start, place = np.flatnonzero(~on), np.arange(len(v))
+        place = (place - np.maximum.accumulate(np.where(on, 0, place))).astype(np.uint64)
+        value_of = np.add.reduceat(np.where(on, mix(v + place), v), start)
+        yield form, r[start], value_of, k[start], o[start], i[start], i[start] + np.diff(np.r_[start, len(v)])
+
+
+def windows(column, sizes: dict[int, list[int]], known: np.ndarray | None = None):
+    """Yields (row, form, place, window hash, slots, openers, first and end place in the text) of the windows of each form's sizes.
+
+    But for the literal form these are windows with as many literals as
+    placeholders or more. ``known``: sorted hashes to which the windows are
+    kept. Slots are value hashes, 0 for a literal; an opener is a slot that
+    opens a sentence.
     """
     raw, offsets = text_buffers(column)
     for lo, hi in chunks(offsets):
         part = raw[offsets[lo] : offsets[hi]]
-        row, value, named, plain = tokens(part, offsets[lo : hi + 1] - offsets[lo])
-        head = np.searchsorted(row, np.arange(hi - lo))
-        for size in sizes:
-            m = len(value) - size + 1
-            if m <= 0:
-                continue
-            whole = row[:m] == row[size - 1 :]
-            for form, kind in ((0, plain), (1, named)):
-                if form and (named == plain).all():
+        for form, row, value, kind, opens, at, end in forms(part, offsets[lo : hi + 1] - offsets[lo]):
+            head = np.searchsorted(row, np.arange(hi - lo))
+            mixed = mix(np.where(kind == 0, value, kind))
+            literal = np.r_[0, np.cumsum(kind == 0)]
+            for size in sizes.get(form, []):
+                m = len(value) - size + 1
+                if m <= 0:
                     continue
-                shown = np.where(kind == 0, value, kind)
-                acc = np.full(m, np.uint64(size * 2 + form), np.uint64)
+                whole = row[:m] == row[size - 1 :]
+                acc = np.full(m, np.uint64(size * 4 + form), np.uint64)
                 for k in range(size):
-                    acc = acc * np.uint64(0xD1342543DE82EF95) + mix(shown[k : k + m] + np.uint64(k))
+                    acc = acc * np.uint64(0xD1342543DE82EF95) + mixed[k : k + m]
                 acc = mix(acc)
-                literal = np.r_[0, np.cumsum(kind == 0)]
-                keep = whole & (2 * (literal[size:] - literal[:m]) >= size)
+                keep = whole & ((form == LITERAL) | (2 * (literal[size:] - literal[:m]) >= size))
                 if known is not None:
                     keep &= known[np.minimum(np.searchsorted(known, acc), len(known) - 1)] == acc if len(known) else False
                 for i in np.flatnonzero(keep).tolist():
                     slots = np.where(kind[i : i + size] == 0, np.uint64(0), value[i : i + size]).view(np.int64)
-                    yield lo + int(row[i]), i - int(head[row[i]]), int(acc[i : i + 1].view(np.int64)[0]), slots.tolist()
+                    yield lo + int(row[i]), form, i - int(head[row[i]]), int(acc[i : i + 1].view(np.int64)[0]), slots.tolist(), opens[i : i + size].tolist(), int(at[i]), int(end[i + size - 1])
 
 
 def token_counts(column) -> np.ndarray:
+    """(rows, forms) of how many tokens each text has in a form, 0 where that is left out."""
     raw, offsets = text_buffers(column)
-    out = np.zeros(len(offsets) - 1, np.int64)
+    out = np.zeros((len(offsets) - 1, 4), np.int64)
     for lo, hi in chunks(offsets):
-        row = tokens(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0]
-        out[lo:hi] = np.bincount(row, minlength=hi - lo)
+        for form, row, *_ in forms(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
+            out[lo:hi, form] = np.bincount(row, minlength=hi - lo)
     return out
 
 
+ITEMS = "item_id bigint, item_tokens bigint, form int, size int, item_pos bigint, window bigint, item_slots array<bigint>, item_opens array<boolean>, item_at bigint, item_end bigint"
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, item_tokens, item_pos, window, item_slots); an item of fewer tokens than a window is one window."""
+    """The windows of items in each form (``ITEMS``); an item of fewer tokens than a window is one window."""
     ship(benchmark.sparkSession)
-    schema = "item_id bigint, item_tokens bigint, item_pos bigint, window bigint, item_slots array<bigint>"
 
     def cut(batches):
         for batch in batches:
             out, column = [], batch.column("body")
             counts = token_counts(column)
-            for size in sorted({int(min(window, n)) for n in counts if n >= LEAST}):
-                for row, pos, key, slots in windows(column, [size]):
-                    if size == window or counts[row] == size:
-                        out.append((batch.column("id")[row].as_py(), int(counts[row]), pos, key, slots))
+            # an item below LEAST tokens is looked for as it stands alone
+            size_of = np.minimum(window, np.where((counts[:, [LITERAL]] >= LEAST) | (np.arange(4) == LITERAL), counts, 0))
+            for form in range(4):
+                for size in np.unique(size_of[:, form]).tolist():
+                    for row, _, pos, key, slots, opens, at, end in windows(column, {form: [size]}) if size else ():
+                        if size_of[row, form] == size:
+                            out.append((batch.column("id")[row].as_py(), int(counts[row, LITERAL]), form, size, pos, key, slots, opens, at, end))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["item_id", "item_tokens", "item_pos", "window", "item_slots"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64())
+                names = ["item_id", "item_tokens", "form", "size", "item_pos", "window", "item_slots", "item_opens", "item_at", "item_end"]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, ITEMS)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT) -> DataFrame:
@@ -160,13 +194,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     h is the hash of the text, so rows that share an id but not a text are told
     apart; repeated rows give one. An item is held if consistent windows cover
     ``cover`` of its tokens, or all if it has fewer. Null and empty texts hold
-    nothing; items below ``LEAST`` tokens are not looked for. If the benchmark
+    nothing; of items below ``LEAST`` tokens only verbatim copies count. If the benchmark
     has at most ``sent`` windows, tasks keep only document windows with a known
     hash before the join; beyond that all windows are joined.
     """
     spark = docs.sparkSession
     items = materialise(item_windows(benchmark, window), "items")
-    sizes = sorted({min(window, r["item_tokens"]) for r in items.select("item_tokens").distinct().collect()})
+    sizes: dict[int, list[int]] = {}
+    for r in items.select("form", "size").distinct().collect():
+        sizes.setdefault(r["form"], []).append(r["size"])
     known = None
     if items.count() <= sent:
         known = np.array(sorted(np.int64(r["window"]).astype(np.uint64) for r in items.select("window").distinct().collect()), np.uint64)
@@ -175,8 +211,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     def run(batches):
         for batch in batches:
             column, out = batch.column("body"), []
-            for row, pos, key, slots in windows(column, sizes, known.value if known else None):
-                out.append((row, pos, key, slots))
+            for row, form, pos, key, slots, *_ in windows(column, sizes, known.value if known else None):
+                out.append((row, form, pos, key, slots))
                 if len(out) >= 50_000:
                     yield _hits(batch, out)
                     out = []
@@ -187,21 +223,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("body"))
     hits = rows.mapInArrow(run, HITS)
     # repeated rows of a document would only repeat its hits
-    joined = hits.join(items, "window").select("doc_id", "h", "item_id", "item_tokens", "pos", "item_pos", "slots", "item_slots").distinct()
+    joined = hits.join(items, ["form", "window"]).select("doc_id", "h", "item_id", "item_tokens", "form", "pos", "item_pos", "slots", "item_slots", "item_opens", "item_at", "item_end").distinct()
     aligned = materialise(joined.withColumn("shift", F.col("pos") - F.col("item_pos")), "aligned")
     key = ["doc_id", "h", "item_id", "shift"]
-    # a slot seen from several windows is one slot
-    slot = F.explode(F.filter(F.transform(F.arrays_zip("slots", "item_slots"), lambda s, i: F.struct((F.col("item_pos") + i).alias("at"), s["slots"].alias("v"), s["item_slots"].alias("w"))), lambda s: s["v"] != 0))
+    # a slot seen from several windows is one slot; a word that opens a sentence in both is none
+    slot = F.explode(F.filter(F.transform(F.arrays_zip("slots", "item_slots", "item_opens"), lambda s, i: F.struct((F.col("item_pos") + i).alias("at"), s["slots"].alias("v"), s["item_slots"].alias("w"), s["item_opens"].alias("o"))), lambda s: (s["v"] != 0) & ~(s["o"] & (s["v"] == s["w"]))))
     slots = aligned.select(*key, slot.alias("s")).select(*key, "s.*").distinct()
     pairs = slots.groupBy(*key, "w", "v").agg(F.count(F.lit(1)).alias("n"))
     values = pairs.groupBy(*key, "w").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max((F.col("w") != F.col("v")).cast("int")).alias("other"))
     agreed = values.groupBy(*key).agg((F.sum("most") / F.sum("n")).alias("share"), F.max("other").alias("other"))
     same = lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in key]
-    checked = aligned.alias("a").join(agreed.alias("g"), _all(same("a", "g")), "left").where(F.coalesce(F.col("share"), F.lit(1.0)) >= CONSISTENT).select("a.*", "other")
+    checked = aligned.alias("a").join(agreed.alias("g"), _all(same("a", "g")), "left").where((F.col("form") == LITERAL) | (F.coalesce(F.col("share"), F.lit(1.0)) >= CONSISTENT))
+    checked = checked.select("a.*", F.when(F.col("form") != LITERAL, F.col("other")).alias("other"))
     held = checked.groupBy("doc_id", "h", "item_id").agg(
-        F.max("item_tokens").alias("item_tokens"), F.array_sort(F.collect_set("item_pos")).alias("at"), F.max(F.coalesce("other", F.lit(0))).alias("other")
+        F.max("item_tokens").alias("item_tokens"), F.array_sort(F.collect_set(F.struct("item_at", "item_end"))).alias("at"), F.max(F.coalesce("other", F.lit(0))).alias("other")
     )
-    covered = F.expr(f"aggregate(zip_with(at, slice(at, 2, size(at)), (x, y) -> least({window}, item_tokens, coalesce(y - x, {window}))), 0L, (s, x) -> s + x)")
+    covered = F.expr("aggregate(at, named_struct('n', 0L, 'to', 0L), (s, x) -> named_struct('n', s.n + greatest(0L, x.item_end - greatest(s.to, x.item_at)), 'to', greatest(s.to, x.item_end)), s -> s.n)")
     return held.withColumn("covered", covered).where(F.col("covered") >= F.least(F.lit(cover), F.col("item_tokens"))).select(
         "doc_id", "h", "item_id", "covered", "item_tokens", (F.col("other") == 1).alias("reparameterised")
     )
@@ -215,11 +252,11 @@ def _all(conditions):
 
 
 def _hits(batch, out):
-    row, pos, key, slots = zip(*out)
+    row, form, pos, key, slots = zip(*out)
     rows = pa.array(row, pa.int64())
     return pa.record_batch(
-        [batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array(pos, pa.int64()), pa.array(key, pa.int64()), pa.array(slots, pa.list_(pa.int64()))],
-        ["doc_id", "h", "pos", "window", "slots"],
+        [batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array(form, pa.int32()), pa.array(pos, pa.int64()), pa.array(key, pa.int64()), pa.array(slots, pa.list_(pa.int64()))],
+        ["doc_id", "h", "form", "pos", "window", "slots"],
     )
 
 

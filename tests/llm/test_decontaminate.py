@@ -49,6 +49,17 @@ def test_drops_and_empty_tables(spark):
     assert flag_leaks(docs.limit(0), items).count() == 0
 
 
+def found(spark, items, docs):
+    flags = flag_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    return {r["doc_id"]: (r["items"], r["reparameterised"]) for r in flags.collect()}
+
+
+def test_verbatim_copies_of_numbers_and_short_items(spark):
+    items = [(1, "What is 345 + 128 - 57 + 99 - 13 + 6?"), (2, "Which number comes next in 2, 4, 8, 16, 32, 64, 128?"), (3, "Name three primes"), (4, "7 * 8 = 56")]
+    docs = [(i, PAD + text + " " + PAD) for i, text in items] + [(5, PAD + "What is 1 + 2 - 3 + 4 - 5 + 7?"), (6, "Name three rivers"), (7, PAD)]
+    assert found(spark, items, docs) == {**{i: ([i], False) for i, _ in items}, 5: ([], False), 6: ([], False), 7: ([], False)}
+
+
 def test_query_finds_planted_items(spark, sf_dir):
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
