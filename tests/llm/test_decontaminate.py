@@ -60,6 +60,16 @@ def test_verbatim_copies_of_numbers_and_short_items(spark):
     assert found(spark, items, docs) == {**{i: ([i], False) for i, _ in items}, 5: ([], False), 6: ([], False), 7: ([], False)}
 
 
+def test_names_that_open_and_names_of_several_words(spark):
+    items = [(1, "Anna buys 12 pencils and 3 pens for 5 dollars"), (2, "Anna gave Bob 3 apples and Bob ate them before Anna left")]
+    docs = [
+        (1, PAD + "Bob buys 7 pencils and 4 pens for 9 dollars. " + PAD), (2, PAD + "Mary Ann buys 7 pencils and 4 pens for 9 dollars"), (3, "Anna sells 7 pencils or 4 pens at 9 dollars"),
+        (4, PAD + "Mary Ann gave Carl Smith 5 apples and Carl Smith ate them before Mary Ann left"), (5, PAD + "Mary gave Carl 5 apples and Dora ate them before Emil left"),
+        (6, "so then Bob buys 7 pencils and 4 pens for 9 dollars"), (7, items[0][1]),
+    ]
+    assert found(spark, items, docs) == {1: ([1], True), 2: ([1], True), 3: ([], False), 4: ([2], True), 5: ([], False), 6: ([1], True), 7: ([1], False)}
+
+
 def test_query_finds_planted_items(spark, sf_dir):
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
