@@ -1,7 +1,9 @@
 """Conditional updates: a write is accepted only if it names the current revision."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 
 def parse_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
@@ -31,28 +33,65 @@ def apply_attempts(records: DataFrame, attempts: DataFrame, as_of: str | None =
     sets ``updatedAt`` to ``as_of`` if that is given; next records keep their
     columns and hold records without attempts unchanged.
 
-    One shuffle on id. The attempts of one id meet in one row, so an id with
-    more attempts than fit there belongs to ``streaming.revise_stream``.
+    One shuffle on id, without contents; rows are sorted by id and seq and
+    streamed with the current revision as the only state, so an id may have any
+    number of attempts. The content of an id's last accepted attempt is joined.
     """
-    logs = attempts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "expected", "content"))).alias("a"))
-    stored = records.select("id", F.col("revision").alias("rev"), F.col("content").alias("c0"), F.lit(True).alias("hit"))
-    fold = """
-        aggregate(a,
-          named_struct('rev', rev, 'content', c0,
-                       'log', cast(array() as array<struct<seq:bigint,status:int,revision:bigint>>)),
-          (s, x) -> case
-            when hit is null then named_struct('rev', s.rev, 'content', s.content,
-              'log', concat(s.log, array(named_struct('seq', x.seq, 'status', 404, 'revision', cast(null as bigint)))))
-            when x.expected <=> cast(s.rev as double) then named_struct('rev', s.rev + 1, 'content', coalesce(x.content, ''),
-              'log', concat(s.log, array(named_struct('seq', x.seq, 'status', 200, 'revision', s.rev + 1))))
-            else named_struct('rev', s.rev, 'content', s.content,
-              'log', concat(s.log, array(named_struct('seq', x.seq, 'status', 409, 'revision', s.rev)))) end)
-    """
-    folded = logs.join(stored, "id", "left").select("id", "rev", "hit", F.expr(fold).alias("s"))
-    outcomes = folded.select("id", F.explode("s.log").alias("o")).select("id", "o.*")
-    changed = folded.where("hit and s.rev <> rev").select("id", F.col("s.rev").alias("_rev"), F.col("s.content").alias("_content"), F.lit(True).alias("_new"))
+    stored = records.where("id is not null").select("id", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("expected"), F.col("revision").cast("bigint").alias("rev"), F.lit(True).alias("stored"))
+    asked = attempts.select("id", F.col("seq").cast("bigint").alias("seq"), F.col("expected").cast("double").alias("expected"), F.lit(None).cast("bigint").alias("rev"), F.lit(False).alias("stored"))
+    rows = stored.unionByName(asked).repartition("id").sortWithinPartitions("id", F.col("stored").desc(), "seq", "expected")
+    kind = rows.schema["id"].dataType
+    outcomes = rows.mapInArrow(_outcomes, StructType().add("id", kind).add("seq", LongType()).add("status", IntegerType()).add("revision", LongType()))
+    last = rows.mapInArrow(_last, StructType().add("id", kind).add("seq", LongType()).add("_rev", LongType()))
+    contents = attempts.select("id", F.col("seq").cast("bigint").alias("seq"), F.coalesce("content", F.lit("")).alias("_content"))
+    changed = last.join(contents, ["id", "seq"]).select("id", "_rev", "_content", F.lit(True).alias("_new"))
     new = {"revision": F.col("_rev"), "content": F.col("_content")}
     if as_of is not None and "updatedAt" in records.columns:
         new["updatedAt"] = F.lit(as_of).cast("timestamp")
     joined = records.join(changed, "id", "left")
     return outcomes, joined.select(*[F.when(F.col("_new"), new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in records.columns])
+
+
+def _fold(batches):
+    """Yields (batch, status of each row, revisions after it, rows that are attempts, ids that ended with (id, seq, revision) of the last accepted one)."""
+    current, hit, rev, accepted = None, False, None, None
+    for batch in batches:
+        status, after, asked, ended = [], [], [], []
+        columns = (batch.column(k).to_pylist() for k in ("id", "seq", "expected", "rev", "stored"))
+        for i, (key, seq, expected, stored_rev, stored) in enumerate(zip(*columns)):
+            if stored or key != current:
+                if accepted:
+                    ended.append(accepted)
+                current, hit, rev, accepted = key, stored, stored_rev, None
+            if stored:
+                continue
+            if not hit:
+                status.append(404)
+            elif expected == (None if rev is None else float(rev)):
+                status.append(200)
+                if rev is not None:
+                    rev += 1
+                    accepted = (key, seq, rev)
+            else:
+                status.append(409)
+            after.append(rev)
+            asked.append(i)
+        yield batch, status, after, asked, ended
+    if accepted:
+        yield None, [], [], [], [accepted]
+
+
+def _outcomes(batches):
+    for batch, status, after, asked, _ in _fold(batches):
+        if asked:
+            own = batch.take(pa.array(asked, pa.int64()))
+            yield pa.record_batch([own.column("id"), own.column("seq"), pa.array(status, pa.int32()), pa.array(after, pa.int64())], ["id", "seq", "status", "revision"])
+
+
+def _last(batches):
+    kind = None
+    for batch, _, _, _, ended in _fold(batches):
+        kind = kind if batch is None else batch.column("id").type
+        if ended:
+            key, seq, rev = zip(*ended)
+            yield pa.record_batch([pa.array(key, kind), pa.array(seq, pa.int64()), pa.array(rev, pa.int64())], ["id", "seq", "_rev"])

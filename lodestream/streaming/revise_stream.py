@@ -1,10 +1,11 @@
 """Conditional updates over a stream of attempts.
 
 State per id: the current revision. Attempts of one micro-batch are applied in
-ascending seq, batches in order of arrival, whatever the number of attempts of
-an id: no batch holds more of them than it read.
+ascending seq, batches in order of arrival. Of the attempts that an id has in
+a batch, 16 bytes each are held to sort them; outcomes are given in pieces.
 """
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,23 +14,34 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 OUT = "id string, seq bigint, status int, revision bigint"
 
 
+#: Outcomes of an id at once.
+PIECE = 100_000
+
+
 def _step(key, frames, state):
-    rows = pd.concat(list(frames)).sort_values("seq")
-    known = rows["revision"].dropna()
-    current = state.get[0] if state.exists else (int(known.iloc[0]) if len(known) else None)
-    status, after = [], []
-    for expected in rows["expected"]:
+    current, seqs, named = (state.get[0] if state.exists else None), [], []
+    for frame in frames:
         if current is None:
-            status.append(404)
-        elif expected == current:  # NaN, a missing revision, equals nothing
-            current += 1
-            status.append(200)
-        else:
-            status.append(409)
-        after.append(current)
+            known = frame["revision"].dropna()
+            current = int(known.iloc[0]) if len(known) else None
+        seqs.append(frame["seq"].to_numpy(np.int64))
+        named.append(frame["expected"].to_numpy(np.float64))
+    seqs, named = np.concatenate(seqs), np.concatenate(named)
+    order = np.argsort(seqs, kind="stable")
+    for lo in range(0, len(order), PIECE):
+        status, after, part = [], [], order[lo : lo + PIECE]
+        for expected in named[part].tolist():
+            if current is None:
+                status.append(404)
+            elif expected == current:  # NaN, a missing revision, equals nothing
+                current += 1
+                status.append(200)
+            else:
+                status.append(409)
+            after.append(current)
+        yield pd.DataFrame({"id": key[0], "seq": seqs[part], "status": status, "revision": pd.array(after, dtype="Int64")})
     if current is not None:
         state.update((current,))
-    yield pd.DataFrame({"id": key[0], "seq": rows["seq"].to_numpy(), "status": status, "revision": pd.array(after, dtype="Int64")})
 
 
 def revise_stream(attempts: DataFrame, records: DataFrame) -> DataFrame:

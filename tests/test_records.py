@@ -83,3 +83,19 @@ def test_filter_and_projection_reach_the_scan(spark, sf_dir):
     plan = list_summaries(docs, "text")._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema")[1]
     assert "EqualTo(doc_id,7)" in get_by_id(docs, 7, "doc_id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_id_with_most_attempts(spark):
+    """A conversation of 60,000 attempts with contents: right, and not gathered in one row."""
+    n = 60_000
+    attempts = spark.range(n).select(F.lit("a").alias("id"), F.col("id").alias("seq"), F.floor(F.col("id") / 2).cast("double").alias("expected"), F.concat(F.lit("c"), F.col("id")).alias("content"))
+    outcomes, after = apply_attempts(spark.createDataFrame([("a", 0, ""), ("b", 7, "kept")], "id string, revision bigint, content string"), attempts)
+    plan = outcomes._jdf.queryExecution().optimizedPlan().toString() + after._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    revision, status = 0, {}
+    for i in range(n):
+        status[i] = 200 if i // 2 == revision else 409
+        revision += i // 2 == revision
+        last = i if status[i] == 200 else last
+    assert {r["seq"]: r["status"] for r in outcomes.collect()} == status
+    assert {tuple(r) for r in after.collect()} == {("a", revision, f"c{last}"), ("b", 7, "kept")}
