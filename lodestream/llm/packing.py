@@ -1,13 +1,16 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity.
 
-Bulk-synchronous best fit. Documents and gaps are held sorted by size as runs:
-documents of one length are alike to the packer, as are sequences with one gap.
-A superstep takes the longest unplaced run, finds its successor, the run of
-smallest gaps that hold it, matches the two in bulk, updates those gaps and
-repeats. There are at most ``capacity`` lengths, so the runs stay as small
-however many documents there are. Conflicts between documents of a run are
-settled by rank: ranks are counted within tasks and joined by prefix sums, so
-no run, however large, meets in one task.
+Bulk-synchronous best fit, longest documents first. Documents of one length are
+alike to a packer, as are sequences with one gap, so both are tables of runs,
+sorted by size. A superstep takes the unplaced runs of a range of lengths (each
+range halves the lengths that are left, until few are) and the gaps, both in order of size, and
+sweeps over both: every run goes to its successors, the smallest gaps that hold
+it, in bulk. It writes what was matched and the gaps as they are then, for the
+next one. There are at most ``capacity`` lengths and as many gaps, so a sweep
+reads as few rows however many documents there are. Conflicts between documents
+of a run are settled by rank: ranks are counted within tasks and joined by
+prefix sums, and matches hold ranges of ranks that documents are joined to in
+blocks, so no run, however large, meets in one task.
 """
 
 import bisect
@@ -23,6 +26,14 @@ from pyspark.sql import functions as F
 from lodestream.llm.encode import encoder
 from lodestream.llm.shared import materialise, ship
 
+#: Lengths of the last superstep at most.
+LAST = 64
+#: Ranks of a length that are placed together.
+BLOCK = 4096
+RANK, BLOCK_OF = "__rank", "__block"
+RUN, GAP, MATCH, OPENED = range(4)
+STATE_NAMES = ["kind", "length", "n", "first", "rank", "each", "at"]
+STATE = "kind int, " + ", ".join(f"{c} bigint" for c in STATE_NAMES[1:])
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -52,16 +63,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 204
     return rows.mapInArrow(cut, PIECES)
 
 
-def best_fit(runs: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """The matches (length, first rank, count, first sequence, items a sequence, offset) of every superstep.
+def sweep(runs: dict[int, int], free: list[tuple[int, int, int]], opened: int, capacity: int) -> tuple[list[tuple], list[tuple[int, int, int]], int]:
+    """Places runs (documents by length) in gaps and new sequences: (matches, gaps, sequences opened so far).
 
     Longest runs first. A run goes to its successor gaps; a sequence takes items
     while they fit, as its gap stays the tightest. With no gap left that holds
-    the run, new sequences open. ``runs``: documents by length, 1 to capacity.
+    the run, new sequences open. Gaps are (size, first sequence, sequences), a
+    match is (length, first rank, count, first sequence, items a sequence, offset).
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: [(first sequence, sequences)]
+    gaps: dict[int, list[tuple[int, int]]] = {}
     sizes: list[int] = []  # the gaps there are, ascending
-    out, opened = [], 0
+    out: list[tuple] = []
 
     def put(gap: int, first: int, count: int) -> None:
         if gap and count:
@@ -70,6 +82,8 @@ def best_fit(runs: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
                 gaps[gap] = []
             gaps[gap].append((first, count))
 
+    for gap in sorted(free):
+        put(*gap)
     for length in sorted(runs, reverse=True):
         rank, left = 0, runs[length]
         while left:
@@ -95,11 +109,55 @@ def best_fit(runs: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
                 put(gap - rest * length, first + full, 1)
                 rank, left, full = rank + rest, 0, full + 1
             put(gap, first + full, count - full)
-    return out
+    return out, [(gap, *run) for gap in sizes for run in gaps[gap]], opened
+
+
+def ranges(capacity: int, last: int | None = None):
+    """(low, high) of the lengths of each superstep, longest first."""
+    high = capacity
+    while high:
+        low = high // 2 + 1 if high > (last or LAST) else 1
+        yield low, high
+        high = low - 1
+
+
+def match_runs(runs: DataFrame, capacity: int) -> DataFrame:
+    """The matches (length, lo, count, first, each, at) of runs (length, n); only the number of opened sequences reaches the driver."""
+    spark = runs.sparkSession
+    gaps = spark.createDataFrame([], STATE)
+    done, opened = [], 0
+    least, most = runs.agg(F.min("length"), F.max("length")).first()
+    for low, high in ranges(capacity):
+        if least is None or high < least or low > most:
+            continue
+
+        def step(batches, opened=opened):
+            some, free = {}, []
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["kind"] == RUN:
+                        some[r["length"]] = r["n"]
+                    else:
+                        free.append((r["length"], r["first"], r["n"]))
+            matches, left, total = sweep(some, free, opened, capacity)
+            rows = [(MATCH, length, count, first, rank, each, at) for length, rank, count, first, each, at in matches]
+            rows += [(GAP, gap, n, first, 0, 0, 0) for gap, first, n in left] + [(OPENED, 0, total, 0, 0, 0, 0)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(),) + (pa.int64(),) * 6)], STATE_NAMES)
+
+        zero = [F.lit(0).cast("bigint").alias(c) for c in STATE_NAMES[3:]]
+        mine = runs.where(F.col("length").between(low, high)).select(F.lit(RUN).alias("kind"), "length", "n", *zero)
+        swept = materialise(mine.union(gaps).coalesce(1).sortWithinPartitions("kind", "length", "first").mapInArrow(step, STATE), "sweep")
+        opened = swept.where(F.col("kind") == OPENED).first()["n"]
+        done.append(swept.where(F.col("kind") == MATCH))
+        gaps = swept.where(F.col("kind") == GAP)
+    out = spark.createDataFrame([], STATE)
+    for part in done:
+        out = out.union(part)
+    return out.select("length", F.col("rank").alias("lo"), F.col("n").alias("count"), "first", "each", "at")
 
 
 def _ranked(pieces: DataFrame) -> DataFrame:
-    """Adds ``rank``: every value from 0 on once within each length."""
+    """Adds a rank: every value from 0 on once within each length."""
 
     def local(batches):
         task, seen = uuid.uuid4().hex, np.zeros(0, np.int64)
@@ -115,46 +173,43 @@ def _ranked(pieces: DataFrame) -> DataFrame:
             rank[order] = np.arange(len(s)) - np.repeat(starts, counts) + seen[s]
             if len(s):
                 seen[s[starts]] += counts
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(n), pa.string()), pa.array(rank)], [*batch.schema.names, "_task", "_local"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(n), pa.string()), pa.array(rank)], [*batch.schema.names, "__task", "__local"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", _task string, _local bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", __task string, __local bigint"
     rows = materialise(pieces.mapInArrow(local, schema), "pieces")
-    before = W.partitionBy("length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
-    bases = rows.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("n")).select("length", "_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(bases, ["length", "_task"]).withColumn("rank", F.col("_base") + F.col("_local")).drop("_task", "_local", "_base")
+    before = W.partitionBy("length").orderBy("__task").rowsBetween(W.unboundedPreceding, -1)
+    bases = rows.groupBy("length", "__task").agg(F.count(F.lit(1)).alias("n")).select("length", "__task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    return rows.join(bases, ["length", "__task"]).select(*pieces.columns, (F.col("__base") + F.col("__local")).alias(RANK))
 
 
-def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to pieces, each of 1 to ``capacity`` ids.
+def pack(pieces: DataFrame, capacity: int = 2048, block: int = BLOCK) -> DataFrame:
+    """Adds sequence_id and offset to pieces, each of 1 to ``capacity`` ids; columns of these names are replaced.
 
     Sequences are gapless from 0. All rows are packed, repeated ones too; an
-    empty table gives an empty one. The driver holds the runs and the matches,
-    whose number the capacity bounds; documents move once, to meet their rank.
+    empty table gives an empty one. The runs, the gaps and the matches are
+    tables; documents move once, to meet the matches of their length's ranks.
     """
     ship(pieces.sparkSession)
-    ranked = materialise(_ranked(pieces), "ranked")
-    runs = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if any(not 1 <= n <= capacity for n in runs):
+    ranked = materialise(_ranked(pieces.drop("sequence_id", "offset")), "ranked")
+    runs = materialise(ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "runs")
+    odd = F.col("length").isNull() | ~F.col("length").between(1, capacity)
+    if not runs.where(odd).isEmpty():
         raise ValueError("a piece is empty or longer than a sequence")
-    matches = best_fit(runs, capacity)
-    by_length: dict[int, tuple] = {}
-    for length in runs:
-        own = np.array(sorted((m[1], m[3], m[4], m[5]) for m in matches if m[0] == length), np.int64)
-        by_length[length] = tuple(own.T)
-    plan = pieces.sparkSession.sparkContext.broadcast(by_length)
-
-    def place(batches):
-        for batch in batches:
-            n, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            seq, offset = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-            for length in np.unique(n):
-                rows = np.flatnonzero(n == length)
-                lo, first, each, at = plan.value[int(length)]
-                m = np.searchsorted(lo, rank[rows], side="right") - 1
-                k = rank[rows] - lo[m]
-                seq[rows], offset[rows] = first[m] + k // each[m], at[m] + k % each[m] * length
-            keep = [c for c in batch.schema.names if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(seq), pa.array(offset)], [*keep, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank") + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(place, schema)
+    matches = match_runs(runs, capacity)
+    of = lambda x: F.floor(x / block)
+    spread = matches.select("*", F.explode(F.sequence(of(F.col("lo")), of(F.col("lo") + F.col("count") - 1))).alias("block"))
+    keep = [f for f in ranked.schema.fields if f.name != RANK]
+
+    def place(key, left, right):
+        """A block of a length's documents against the matches of its ranks."""
+        right = right.sort_by("lo")
+        lo, first, each, at = (right.column(c).to_numpy() for c in ("lo", "first", "each", "at"))
+        rank = left.column(RANK).to_numpy()
+        m = np.searchsorted(lo, rank, side="right") - 1
+        k = rank - lo[m]
+        out = left.drop_columns([RANK, BLOCK_OF])
+        return out.append_column("sequence_id", pa.array(first[m] + k // each[m])).append_column("offset", pa.array(at[m] + k % each[m] * key[0].as_py()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", sequence_id bigint, offset bigint"
+    rows = ranked.withColumn(BLOCK_OF, of(F.col(RANK))).groupBy("length", BLOCK_OF)
+    return rows.cogroup(spread.groupBy("length", "block")).applyInArrow(place, schema)

@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodestream.llm import packing
 from lodestream.llm.encode import Encoder
-from lodestream.llm.packing import best_fit, cut_pieces, pack
+from lodestream.llm.packing import cut_pieces, pack, ranges, sweep
 from lodestream.llm.registry import QUERIES
 from lodestream.llm.token_counts import count_tokens, read_cache, tokenizer_version
 from lodestream.llm.token_files import open_token_files, read_token_files, write_token_files
@@ -93,6 +94,17 @@ def plain_best_fit(lengths, capacity):
     return len(gaps)
 
 
+def best_fit(runs, capacity):
+    """The supersteps one after the other."""
+    out, gaps, opened = [], [], 0
+    for low, high in ranges(capacity, 1):
+        mine = {n: c for n, c in runs.items() if low <= n <= high}
+        matches, left, opened = sweep(mine, [g for g in gaps if g[0] >= low], opened, capacity)
+        out += matches
+        gaps = left + [g for g in gaps if g[0] < low]
+    return out
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_runs_pack_as_single_documents_do(lengths):
@@ -121,6 +133,22 @@ def test_pack(spark):
     assert pack(cut_pieces(frame(spark, []), BYTE, 0)).count() == 0
 
 
+def test_pack_is_best_fit_in_blocks_and_keeps_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LAST", 4)
+    rng = np.random.default_rng(8)
+    lengths = [*rng.integers(1, 65, 300).tolist(), *[7] * 200, *[40] * 100]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id bigint, length bigint")
+    rows = rows.withColumns({"rank": F.lit("r"), "offset": F.lit("o"), "n": F.lit(1), "first": F.lit(2), "block": F.lit(3)})
+    for block in (4096, 8):
+        got = pack(rows, 64, block)
+        assert got.columns == ["id", "length", "rank", "n", "first", "block", "sequence_id", "offset"]
+        got = got.collect()
+        assert sorted((r["id"], r["length"], r["rank"], r["n"]) for r in got) == [(i, n, "r", 1) for i, n in enumerate(lengths)]
+        assert whole(got, 64) == plain_best_fit(lengths, 64)
+    with pytest.raises(ValueError):
+        pack(rows, 63)
+
+
 def test_queries(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
@@ -135,4 +163,13 @@ def test_queries(spark, sf_dir):
         start += len(ids)
     rows = QUERIES["op8_best_fit_packing"](spark, sf_dir).collect()
     assert sum(r["length"] for r in rows) == start
+    pieces = defaultdict(dict)
+    for r in rows:
+        pieces[r["doc_id"]][r["piece"]] = r
+    for d in docs:
+        ids = np.array([*byte.encode(d["text"], add_special_tokens=False).ids, 0], "<u4")
+        own = [pieces[d["doc_id"]][k] for k in range(len(pieces[d["doc_id"]]))]
+        assert [r["length"] for r in own] == [(len(ids) - 1) % 2048 + 1, *[2048] * ((len(ids) - 1) // 2048)]
+        assert [r["start"] for r in own] == [sum(r["length"] for r in own[:k]) for k in range(len(own))]
+        assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in own)
     assert whole(rows, 2048) == plain_best_fit([r["length"] for r in rows], 2048)
