@@ -1,12 +1,14 @@
 """What the operators share: the shared folder, materialised tables and storage that tasks can write."""
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -29,9 +31,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a new local folder, as in tests;
+    with executors elsewhere it would be split over machines, so that raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lodestream-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -48,6 +56,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it has more than one in so many rows, so that there are fewer hot keys than that.
+HOT = 1000
+
+
+def join_dealt(rows: DataFrame, other: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined to their key's row of ``other``, however many rows a key has.
+
+    ``hot``: the keys of more than a thousandth of the rows, of which there are
+    fewer than a thousand. Their rows of ``other`` go to every task, so rows of
+    hot keys stay where they are; all others are shuffled by key.
+    """
+    few = other.join(F.broadcast(hot), key, "left_semi")
+    spread = rows.join(F.broadcast(hot), key, "left_anti").join(other.hint("merge"), key)
+    return rows.join(F.broadcast(few), key).unionByName(spread)
+
+
 def open_write(path: str):
     """A binary stream for a task to write; any scheme that pyarrow knows, or a local path."""
     url = urlparse(path)

@@ -1,8 +1,8 @@
 """Token counts through a digest cache.
 
 Stored counts are keyed by the digest of the normalised content and the digest
-of the tokenizer's file. Counting joins documents to the cache, encodes one
-document of each distinct missing digest, appends the counts and joins again.
+of the tokenizer's file. Counting joins documents' digests to the cache, encodes
+one document of each distinct missing digest, appends the counts and joins again.
 """
 
 import hashlib
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.encode import encoder, tokenizer_kind
-from lodestream.llm.shared import new_path, ship
+from lodestream.llm.shared import HOT, join_dealt, materialise, new_path, ship
 
 CACHE_SCHEMA = "content_digest binary, n_tokens bigint"
 
@@ -34,30 +34,34 @@ def read_cache(spark: SparkSession, cache_dir: str, version: str) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    # a digest that was appended twice has the same count twice
+    return spark.read.schema(CACHE_SCHEMA).parquet(path).dropDuplicates(["content_digest"])
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (id, content_digest, n_bytes, n_tokens) for each row of ``docs``.
 
     A null text counts as empty: 0 bytes, 0 tokens. Rows with equal content
-    share one encoding; null and repeated ids are kept as rows. Other columns of
-    ``docs`` aren't read. ``tokenizer`` is a path valid on every machine.
-    ``cache_dir`` has one writer at a time; None starts an empty cache in the
-    shared folder. Texts are shuffled once, by digest and id, to meet the
-    misses, so no key gathers the copies of a text.
+    share one encoding; null and repeated ids are kept as rows; an empty table
+    gives an empty one. Other columns of ``docs`` aren't read. ``tokenizer`` is a
+    path valid on every machine. ``cache_dir`` has one writer at a time; None
+    starts an empty cache in the shared folder.
+
+    Digests are taken once, and written with hashes of text and id. Of the rows
+    of a missing digest one is chosen by these hashes, and its text encoded;
+    texts move only if a digest is missing, once, copies being reduced before.
+    Counts of digests that many rows have go to the rows, so no key gathers the
+    copies of a text.
     """
     spark = docs.sparkSession
     ship(spark)
     kind, version = tokenizer_kind(tokenizer), tokenizer_version(tokenizer)
     cache_dir = cache_dir or new_path(spark, "token-cache")
     body = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), body.alias("body"), content_digest(F.col(text_col), kind).alias("content_digest"))
-
-    first = keyed.groupBy("content_digest").agg(F.min("id").alias("id"))
-    misses = first.join(read_cache(spark, cache_dir, version), "content_digest", "left_anti")
-    k, m = keyed.alias("k"), misses.alias("m")
-    texts = k.join(m, (F.col("k.content_digest") == F.col("m.content_digest")) & F.col("k.id").eqNullSafe(F.col("m.id")), "left_semi")
+    hashes = [F.xxhash64(body).alias("h"), F.xxhash64(F.col(id_col)).alias("ih")]
+    keyed = materialise(docs.select(F.col(id_col).alias("id"), content_digest(F.col(text_col), kind).alias("content_digest"), F.octet_length(body).cast("bigint").alias("n_bytes"), *hashes), "digests")
+    counts = materialise(keyed.groupBy("content_digest").agg(F.min(F.struct("h", "ih")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    misses = materialise(counts.join(read_cache(spark, cache_dir, version), "content_digest", "left_anti").select("content_digest", "first.h", "first.ih"), "misses")
 
     def encode(batches):
         enc = encoder(tokenizer)
@@ -65,8 +69,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str | None = None,
             counts = [len(b) // 4 for b in enc.encode_column(batch.column("body"))]
             yield pa.record_batch([batch.column("content_digest"), pa.array(counts, pa.int64())], ["content_digest", "n_tokens"])
 
-    counted = texts.select("content_digest", "body").mapInArrow(encode, CACHE_SCHEMA)
-    counted.dropDuplicates(["content_digest"]).write.mode("append").parquet(f"{cache_dir}/tokenizer={version}")
+    if not misses.isEmpty():
+        texts = docs.select(*hashes, body.alias("body")).groupBy("h", "ih").agg(F.first("body").alias("body")).join(misses.hint("merge"), ["h", "ih"])
+        texts.select("content_digest", "body").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(f"{cache_dir}/tokenizer={version}")
 
-    slim = keyed.select("id", "content_digest", F.octet_length("body").cast("bigint").alias("n_bytes"))
-    return slim.join(read_cache(spark, cache_dir, version), "content_digest").select(F.col("id").alias(id_col), "content_digest", "n_bytes", "n_tokens")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT > total).select("content_digest")
+    slim = keyed.select("id", "content_digest", "n_bytes")
+    return join_dealt(slim, read_cache(spark, cache_dir, version), "content_digest", hot).select(F.col("id").alias(id_col), "content_digest", "n_bytes", "n_tokens")

@@ -1,3 +1,4 @@
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestream.llm import packing
+from lodestream.llm import packing, token_counts
 from lodestream.llm.encode import Encoder
 from lodestream.llm.packing import cut_pieces, pack, ranges, sweep
 from lodestream.llm.registry import QUERIES
@@ -55,6 +56,30 @@ def test_counts_and_cache(spark, tmp_path):
     assert count_tokens(frame(spark, []), WORD).count() == 0
 
 
+def test_only_distinct_misses_are_encoded(spark, tmp_path, monkeypatch):
+    """Repeated rows, null ids, copies and texts that differ in white space alone are encoded once."""
+    log = tmp_path / "encoded"
+    log.mkdir()
+
+    class Spy(Encoder):
+        def encode(self, texts):
+            for t in texts:
+                (log / uuid.uuid4().hex).write_text(t)
+            return super().encode(texts)
+
+    monkeypatch.setattr(token_counts, "encoder", lambda path: Spy(path))
+    rows = [(1, "one two"), (1, "one two"), (None, "one  two"), (None, "null id"), (None, "null id"), (2, None), (3, ""), (4, "é 🙂"), *((i, "copy of it") for i in range(50, 3000))]
+    cache = str(tmp_path / "cache")
+    for again in range(2):
+        got = count_tokens(frame(spark, rows), WORD, cache).collect()
+        assert len(got) == len(rows) and {(r["n_bytes"], r["n_tokens"]) for r in got if r["doc_id"] in (1, 3, 4)} == {(7, 2), (0, 0), (7, len(Tokenizer.from_file(WORD).encode("é 🙂", add_special_tokens=False).ids))}
+        texts = sorted(" ".join(p.read_text().split()) for p in log.iterdir())
+        assert texts == ["", "copy of it", "null id", "one two", "é 🙂"]
+    counted = read_cache(spark, cache, tokenizer_version(WORD))
+    counted.write.mode("append").parquet(f"{cache}/tokenizer={tokenizer_version(WORD)}")
+    assert count_tokens(frame(spark, rows), WORD, cache).count() == len(rows)
+
+
 def test_files(spark, tmp_path):
     tok, path = Tokenizer.from_file(BYTE), str(tmp_path / "files")
     write_token_files(frame(spark), BYTE, 2, path)
