@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.shared import materialise
+from lodestream.llm.shared import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         # here a > b: b are the smaller neighbours of a
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = materialise(small.where("a <> b").distinct(), "edges")
+        old, now = now, materialise(small.where("a <> b").distinct(), "edges")
+        discard(old, large)
         before, state = state, _state(now)
         if state == before:
             break

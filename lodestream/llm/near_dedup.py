@@ -3,12 +3,16 @@
 1. Signatures of every text; texts with equal shingle sets become one node.
 2. Nodes that share a band key are in a bucket. Each bucket's pivot, the member
    with the most company over all buckets, is compared with every member.
-3. What isn't yet connected is compared pair by pair: members of a bucket with
-   several components are dealt into cells of two blocks, and each cell gives
-   the pairs across components whose signatures may reach the threshold.
+3. Nodes of buckets that are in several components yet are held against each
+   other by their rarest shingles: at the threshold, two sets share one of the
+   first few (a share of 1 - threshold of the set) in order of rarity. What
+   they have in common with a page's many others, as boilerplate, is never
+   among these, so pages that share only that don't meet. The nodes of one rare
+   shingle are dealt into cells of two blocks, and each cell gives the pairs
+   across components whose sketches leave the threshold within reach.
 Links are confirmed on whole shingle sets, and components are taken over all.
 Pairs already connected are never formed, so a large group of copies costs its
-size, and only nodes that stay apart within a bucket are held against it.
+size. Keys that many rows have are joined where the rows are.
 """
 
 import numpy as np
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.components import components
-from lodestream.llm.shared import materialise, ship
+from lodestream.llm.shared import HOT, discard, join_dealt, materialise, ship
 from lodestream.llm.shingles import Circulant, mix, shingle_sets
 
 #: 26 bands of 5: a pair at similarity 0.85 shares none in 3e-7 of cases.
@@ -26,8 +30,8 @@ BANDS, ROWS = 26, 5
 BLOCK = 512
 #: Coordinates, a byte of each, by which pairs are screened before their sets are compared.
 SKETCH = 512
-#: A pair at the threshold agrees in fewer coordinates by so many standard deviations in 3e-5 of cases.
-DEVIATIONS = 4
+#: A pair at the threshold agrees in fewer coordinates by so many standard deviations in 1e-9 of cases, if coordinates are independent.
+DEVIATIONS = 6
 
 SIGNED = "doc_id bigint, h bigint, n_shingles bigint, set_key binary, bands array<bigint>"
 
@@ -112,10 +116,34 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _cells(members: DataFrame, threshold: int, slack: float, bands: int, block: int) -> DataFrame:
-    """Pairs (a, b) across components in buckets of three and more, each from the first bucket that it shares.
+def _rare(apart: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, key): each node's first shingles by rarity among the nodes, as many as decide, without those of a single node."""
 
-    A bucket's largest component, ``main``, is connected in itself: its ``m`` of
+    def run(batches):
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
+                keys = np.frombuffer(raw, np.int64)
+                yield pa.record_batch([pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), len(keys))), pa.array(keys)], ["node", "size", "key"])
+
+    spread = materialise(sets.join(apart.hint("merge"), "node", "left_semi").select("node", "shingles").mapInArrow(run, "node bigint, size bigint, key bigint"), "apart")
+    often = materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    met = join_dealt(spread, often, "key", _hot(often))
+    own = met.groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    # those of a single node come first
+    first = f"size - (size * {threshold} + 99) div 100 + 1 - (size - size(keys))"
+    return own.where(f"{first} > 0").select("node", F.explode(F.expr(f"slice(keys, 1, cast({first} as int))")).alias("k")).select("node", "k.key")
+
+
+def _hot(sizes: DataFrame) -> DataFrame:
+    """The keys, of (key, n), that more than a thousandth of the rows have: fewer than a thousand."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return sizes.where(F.col("n") * HOT > total).select("key")
+
+
+def _cells(members: DataFrame, threshold: int, slack: float, block: int) -> DataFrame:
+    """Pairs (a, b) across components of members (node, component, n_shingles, sketch) of a key.
+
+    A key's largest component, ``main``, is connected in itself: its ``m`` of
     ``n`` members meet only the others, never each other.
     """
     blocks = lambda size: F.ceil(size / block).cast("int")
@@ -125,14 +153,13 @@ def _cells(members: DataFrame, threshold: int, slack: float, bands: int, block:
     dealt = dealt.withColumn("blk", F.when(inside, F.col("outer") + place("inner")).otherwise(place("outer")))
     met = F.sequence(F.lit(0), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
     cells = dealt.select("*", F.explode(met).alias("other")).select(
-        "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "component", "n_shingles", "bands", "sketch"
+        "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "component", "n_shingles", "sketch"
     )
 
     def run(key, table):
         key = tuple(k.as_py() for k in key)
         node, comp, size, blk = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "blk"))
         sketch = _sketch_array(table.column("sketch"))
-        band = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(node), bands)
         left = np.flatnonzero(blk == key[1])
         right = np.flatnonzero(blk == key[2])
         a, b = [], []
@@ -141,51 +168,65 @@ def _cells(members: DataFrame, threshold: int, slack: float, bands: int, block:
             q = q[(100 * np.minimum(size[q], size[p]) >= threshold * np.maximum(size[q], size[p]))]
             if len(q):
                 q = q[_agree(sketch[q], sketch[p][None, :], threshold, slack)]
-            if len(q):
-                q = q[band[p][(band[q] == band[p]).argmax(1)] == key[0]]
                 a += [min(node[p], x) for x in node[q]]
                 b += [max(node[p], x) for x in node[q]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return cells.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _labelled(docs: DataFrame, threshold: int, id_col: str, text_col: str, bands: int, rows: int, block: int) -> DataFrame:
-    slack = DEVIATIONS * (threshold * (100 - threshold) / SKETCH) ** 0.5 / 100
+def _split(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (node, key) of keys with several components, with component, n, m and main (see ``_cells``)."""
+    placed = members.select("node", "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    several = materialise(sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("n")).where("parts > 1"), "split")
+    return join_dealt(placed, several.select("key", "n", F.col("top.m").alias("m"), F.col("top.component").alias("main")), "key", _hot(several))
+
+
+def _labelled(docs: DataFrame, threshold: int, id_col: str, text_col: str, bands: int, rows: int, block: int, deviations: float | None) -> DataFrame:
+    slack = 1.0 if deviations is None else deviations * (threshold * (100 - threshold) / SKETCH) ** 0.5 / 100
     signed = materialise(sign(docs, id_col, text_col, bands, rows), "signed")
     named = signed.where("n_shingles > 0")
-    nodes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"))
-    heads = materialise(nodes.where("node is not null"), "nodes")
-    full = signed.where("n_shingles > 0").withColumnRenamed("doc_id", "node").join(heads.select("node", "set_key"), ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
-    spread = full.select("node", "n_shingles", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(spread.join(shared, "key"), "members")
+    nodes = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")), "nodes")
+    heads = nodes.where("node is not null").select("node", "set_key")
+    full = named.withColumnRenamed("doc_id", "node").join(heads.hint("merge"), ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
+    spread = materialise(full.select("node", "n_shingles", F.explode("bands").alias("key")), "bands")
+    shared = materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    hot = materialise(_hot(shared), "hot")
+    members = materialise(join_dealt(spread, shared, "key", hot), "members")
 
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
     sets = materialise(_sets(docs, score, id_col, text_col), "sets")
     seated = members.join(score, "node")
-    pivots = seated.groupBy("key").agg(F.max(F.struct("score", -F.col("node"), "n_shingles")).alias("p")).select("key", (-F.col("p.col2")).alias("pivot"), F.col("p.n_shingles").alias("pn"))
+    pivots = materialise(seated.groupBy("key").agg(F.max(F.struct("score", -F.col("node"), "n_shingles")).alias("p")).select("key", (-F.col("p.col2")).alias("pivot"), F.col("p.n_shingles").alias("pn")), "pivots")
     sized = 100 * F.least("n_shingles", "pn") >= threshold * F.greatest("n_shingles", "pn")
-    pairs = members.join(pivots, "key").where(F.col("node") != F.col("pivot")).where(sized).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pairs = join_dealt(members, pivots, "key", hot).where(F.col("node") != F.col("pivot")).where(sized).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = materialise(_confirm(_screen(pairs, sets, threshold, slack), sets, threshold), "links")
     found = components(links)
 
-    placed = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    split = largest.where("parts > 1").select("key", F.col("top.m").alias("m"), F.col("top.component").alias("main"))
-    apart = placed.join(split, "key").join(full.select("node", "bands"), "node").join(sets.select("node", "sketch"), "node")
-    more = materialise(_confirm(_cells(apart, threshold, slack, bands, block).join(pairs, ["a", "b"], "left_anti"), sets, threshold), "links")
-    if more.limit(1).count():
+    apart = _split(members.where("n > 2"), found).select("node").distinct()
+    rare = materialise(_rare(apart, sets, threshold), "rare")
+    held = _split(rare, found).join(sets.select("node", "sketch", (F.octet_length("shingles") / 8).cast("bigint").alias("n_shingles")), "node")
+    more = materialise(_confirm(_cells(held, threshold, slack, block), sets, threshold), "links")
+    if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    labels = nodes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "h", "n_shingles", "set_key").join(labels, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    labels = materialise(nodes.select("set_key", "node", "n").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "n"), "labels")
+    discard(spread, shared, hot, members, sets, pivots, links, rare, more)
+    slim = signed.select("doc_id", "h", "n_shingles", F.col("set_key").alias("key"))
+    placed = join_dealt(slim.where("n_shingles > 0"), labels.select(F.col("set_key").alias("key"), "component"), "key", _hot(labels.select(F.col("set_key").alias("key"), "n")))
+    out = placed.unionByName(slim.where("n_shingles = 0").withColumn("component", F.col("doc_id")))
+    return out.select("doc_id", "h", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()).alias("kept"))
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
+    docs: DataFrame,
+    threshold: int = 85,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bands: int = BANDS,
+    rows: int = ROWS,
+    block: int = BLOCK,
+    deviations: float | None = DEVIATIONS,
 ) -> DataFrame:
     """A row (doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -194,14 +235,17 @@ def near_duplicates(
     id. A null text, or one without words, has no shingles and no links. Rows
     with one id are one document. Null ids take part through texts with equal
     shingles that have an id; else they stand alone, with a null component, and
-    are kept.
+    are kept. An empty table gives an empty one. Pairs are screened by sketches
+    before their sets are compared; ``deviations=None`` turns that off.
     """
-    return _labelled(docs, threshold, id_col, text_col, bands, rows, block).drop("h")
+    return _labelled(docs, threshold, id_col, text_col, bands, rows, block, deviations).drop("h")
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """The kept rows of ``docs`` in all their columns; rows alike in id and text stay once."""
+def drop_near_duplicates(
+    docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, deviations: float | None = DEVIATIONS
+) -> DataFrame:
+    """The kept rows of ``docs`` in all their columns, of which none may be named __key; rows alike in id and text stay once."""
     key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h)
-    kept = _labelled(docs, threshold, id_col, text_col, bands, rows, block).where("kept").select(key(F.col("doc_id"), F.col("h")).alias("__key")).distinct().hint("merge")
+    kept = _labelled(docs, threshold, id_col, text_col, bands, rows, block, deviations).where("kept").select(key(F.col("doc_id"), F.col("h")).alias("__key")).distinct().hint("merge")
     own = key(F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return docs.withColumn("__key", own).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -53,7 +53,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts lineage, and what made it never runs twice."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.materialised_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.materialised_at)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: A key is hot if it has more than one in so many rows, so that there are fewer hot keys than that.
