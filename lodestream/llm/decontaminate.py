@@ -4,7 +4,8 @@ Texts and benchmark items are cut into runs of letters and digits; numbers,
 units behind a number, and names become typed placeholders. Windows of the
 placeholder texts are hash-joined. A copy with other numbers or names still
 matches, and its slots tell whether it is one: along an alignment, each value
-of the item has to stand for one value of the text throughout.
+of the item has to stand for one value of the text throughout, and no two for
+the same one.
 
 Four forms are kept of every window. In the literal form numbers and units stay
 as they are, so that a verbatim copy is found whatever it consists of; in the
@@ -192,11 +193,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     """(doc_id, h, item_id, covered, item_tokens, reparameterised) for each document and item it holds.
 
     h is the hash of the text, so rows that share an id but not a text are told
-    apart; repeated rows give one. An item is held if consistent windows cover
-    ``cover`` of its tokens, or all if it has fewer. Null and empty texts hold
-    nothing; of items below ``LEAST`` tokens only verbatim copies count. If the benchmark
-    has at most ``sent`` windows, tasks keep only document windows with a known
-    hash before the join; beyond that all windows are joined.
+    apart; repeated rows give one. An item is held if, in one form and along one
+    alignment, consistent windows cover ``cover`` of its tokens, or all if it
+    has fewer. Null and empty texts hold nothing; of items below ``LEAST``
+    tokens only verbatim copies count; empty tables give an empty one. If the
+    benchmark has at most ``sent`` windows, tasks keep only document windows
+    with a known hash before the join; beyond that all windows are joined.
     """
     spark = docs.sparkSession
     items = materialise(item_windows(benchmark, window), "items")
@@ -205,7 +207,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
         sizes.setdefault(r["form"], []).append(r["size"])
     known = None
     if items.count() <= sent:
-        known = np.array(sorted(np.int64(r["window"]).astype(np.uint64) for r in items.select("window").distinct().collect()), np.uint64)
+        known = np.sort(items.select("window").distinct().toArrow().column("window").to_numpy().view(np.uint64))
         known = spark.sparkContext.broadcast(known)
 
     def run(batches):
@@ -230,18 +232,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     slot = F.explode(F.filter(F.transform(F.arrays_zip("slots", "item_slots", "item_opens"), lambda s, i: F.struct((F.col("item_pos") + i).alias("at"), s["slots"].alias("v"), s["item_slots"].alias("w"), s["item_opens"].alias("o"))), lambda s: (s["v"] != 0) & ~(s["o"] & (s["v"] == s["w"]))))
     slots = aligned.select(*key, slot.alias("s")).select(*key, "s.*").distinct()
     pairs = slots.groupBy(*key, "w", "v").agg(F.count(F.lit(1)).alias("n"))
-    values = pairs.groupBy(*key, "w").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max((F.col("w") != F.col("v")).cast("int")).alias("other"))
-    agreed = values.groupBy(*key).agg((F.sum("most") / F.sum("n")).alias("share"), F.max("other").alias("other"))
+    # how many slots agree if an item's value has one text's value only, and the other way round
+    values = pairs.groupBy(*key, "w").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max((F.col("w") != F.col("v")).cast("int")).alias("other"), F.lit(0).cast("bigint").alias("back"))
+    back = pairs.groupBy(*key, "v").agg(F.max("n").alias("back")).select(*key, F.lit(None).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("most"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("other"), "back")
+    agreed = values.unionByName(back).groupBy(*key).agg((F.least(F.sum("most"), F.sum("back")) / F.sum("n")).alias("share"), F.max("other").alias("other"))
     same = lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in key]
     checked = aligned.alias("a").join(agreed.alias("g"), _all(same("a", "g")), "left").where((F.col("form") == LITERAL) | (F.coalesce(F.col("share"), F.lit(1.0)) >= CONSISTENT))
     checked = checked.select("a.*", F.when(F.col("form") != LITERAL, F.col("other")).alias("other"))
-    held = checked.groupBy("doc_id", "h", "item_id").agg(
-        F.max("item_tokens").alias("item_tokens"), F.array_sort(F.collect_set(F.struct("item_at", "item_end"))).alias("at"), F.max(F.coalesce("other", F.lit(0))).alias("other")
-    )
+    along = checked.groupBy(*key, "form").agg(F.max("item_tokens").alias("item_tokens"), F.array_sort(F.collect_set(F.struct("item_at", "item_end"))).alias("at"), F.max(F.coalesce("other", F.lit(0))).alias("other"))
     covered = F.expr("aggregate(at, named_struct('n', 0L, 'to', 0L), (s, x) -> named_struct('n', s.n + greatest(0L, x.item_end - greatest(s.to, x.item_at)), 'to', greatest(s.to, x.item_end)), s -> s.n)")
-    return held.withColumn("covered", covered).where(F.col("covered") >= F.least(F.lit(cover), F.col("item_tokens"))).select(
-        "doc_id", "h", "item_id", "covered", "item_tokens", (F.col("other") == 1).alias("reparameterised")
-    )
+    held = along.withColumn("covered", covered).where(F.col("covered") >= F.least(F.lit(cover), F.col("item_tokens")))
+    return held.groupBy("doc_id", "h", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), (F.max("other") == 1).alias("reparameterised"))
 
 
 def _all(conditions):
@@ -261,7 +262,7 @@ def _hits(batch, out):
 
 
 def flag_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, contaminated, items, reparameterised) for each row; items in ascending order, empty if there are none."""
+    """(doc_id, contaminated, items, reparameterised) for each row, repeated ones too; items in ascending order, empty if there are none. An empty table gives an empty one."""
     leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     flags = leaks.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("reparameterised").alias("reparameterised"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
@@ -271,7 +272,7 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, in all their columns, that hold no item."""
+    """The rows of ``docs``, in all their columns, that hold no item; none may be named __own."""
     leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct().hint("merge")
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return rows.join(leaks, (F.col("__own") == F.col("__h")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")), "left_anti").drop("__own")

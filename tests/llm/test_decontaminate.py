@@ -1,8 +1,11 @@
+import random
 import re
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from lodestream.llm.decontaminate import drop_leaks, flag_leaks
+from lodestream.llm.decontaminate import UNITS, drop_leaks, flag_leaks
 from lodestream.llm.registry import QUERIES
 
 ITEMS = [
@@ -70,6 +73,112 @@ def test_names_that_open_and_names_of_several_words(spark):
     assert found(spark, items, docs) == {1: ([1], True), 2: ([1], True), 3: ([], False), 4: ([2], True), 5: ([], False), 6: ([1], True), 7: ([1], False)}
 
 
+def test_slots_are_one_to_one(spark):
+    items = [(1, "A train leaves at 120 and arrives at 250 with 300 people and 470 bags in the last of all cars")]
+    docs = [(1, PAD + items[0][1].replace("120", "5").replace("250", "5").replace("300", "5").replace("470", "5")), (2, PAD + items[0][1].replace("120", "7").replace("470", "9"))]
+    assert found(spark, items, docs) == {1: ([], False), 2: ([1], True)}
+
+
+def test_pieces_of_several_alignments_are_none(spark):
+    words = "one of the many things that a person could say about rivers is how very slow they are in summer".split()
+    docs = [(1, " ".join([*words[:9], "so", "it", "is", *words[9:18], "and", "then", *words[18:]])), (2, " ".join(words))]
+    assert found(spark, [(1, " ".join(words))], docs) == {1: ([], False), 2: ([1], False)}
+
+
+TOKEN = re.compile(r"(?:[0-9A-Za-z\u0080-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+")
+
+
+def slow_forms(text):
+    """By form: tokens as (value, kind, whether a sentence opens, first and end place), written without arrays."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    out, end, before = [], 0, False
+    for m in TOKEN.finditer(text or ""):
+        value, number = lower(m[0]), bool(re.search("[0-9]", m[0]))
+        opens = not out or bool(re.search("[\n\r!.:?]", text[end : m.start()]))
+        kind = "number" if number else "unit" if before and value in UNITS else ""
+        out.append((value, kind, opens, "A" <= m[0][0] <= "Z" and not kind))
+        end, before = m.end(), number
+    by = {0: [(v, "", o, i, i + 1) for i, (v, _, o, _) in enumerate(out)], 1: [(v, k, o, i, i + 1) for i, (v, k, o, _) in enumerate(out)]}
+    for form in (2, 3):
+        mine = [(v, "name" if n and (form == 3 or not o) else k, o) for v, k, o, n in out]
+        if all(a[1] == b[1] for a, b in zip(mine, by[1])):
+            continue
+        by[form] = []
+        for i, (v, k, o) in enumerate(mine):
+            if i and k == "name" and mine[i - 1][1] == "name" and not o:
+                last = by[form].pop()
+                by[form].append((f"{last[0]} {v}", *last[1:4], i + 1))
+            else:
+                by[form].append((v, k, o, i, i + 1))
+    return by
+
+
+slow_forms = lru_cache(maxsize=500)(slow_forms)
+
+
+def template(part):
+    return tuple(k or "=" + v for v, k, *_ in part)
+
+
+@lru_cache(maxsize=100)
+def places(doc, form, size):
+    out = defaultdict(list)
+    said = slow_forms(doc)[form]
+    for j in range(len(said) - size + 1):
+        out[template(said[j : j + size])].append(j)
+    return out
+
+
+def slow_hits(doc, item, window=8, cover=13):
+    """(held, re-parameterised), window by window."""
+    texts, items = slow_forms(doc), slow_forms(item)
+    total, held, other = len(items[0]), False, False
+    shifts, slots = {}, {}
+    for form, own in items.items():
+        size = min(window, len(own))
+        if not size or (total < 5 and form) or form not in texts:
+            continue
+        said = texts[form]
+        for i in range(len(own) - size + 1):
+            a = own[i : i + size]
+            if form and 2 * sum(not k for _, k, *_ in a) < size:
+                continue
+            for j in places(doc, form, size).get(template(a), ()):
+                shifts.setdefault((form, j - i), set()).update(range(own[i][3], own[i + size - 1][4]))
+                mine = {(i + k, said[j + k][0], own[i + k][0]) for k in range(size) if own[i + k][1] and not (own[i + k][2] and own[i + k][0] == said[j + k][0])}
+                slots.setdefault(j - i, set()).update(mine)
+    for (form, shift), at in shifts.items():
+        pairs = Counter((w, v) for _, v, w in slots[shift])
+        if form and pairs:
+            agreed = [sum(max(n for p, n in pairs.items() if p[k] == x) for x in {p[k] for p in pairs}) for k in (0, 1)]
+            if min(agreed) / len(slots[shift]) < 0.8:
+                continue
+        if len(at) >= min(cover, total):
+            held = True
+            other |= bool(form) and any(w != v for w, v in pairs)
+    return held, other
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {r["doc_id"]: (r["items"], r["reparameterised"]) for r in QUERIES["op4_decontamination"](spark, sf_dir).collect()}
+    rng = random.Random(3)
+    some = dict(rng.sample(sorted(docs.items()), 60)) | {i: t for i, t in docs.items() if got[i][0]}
+    for i, text in some.items():
+        hits = {k: slow_hits(text, x) for k, x in items.items()}
+        assert got[i] == (",".join(str(k) for k in sorted(hits) if hits[k][0]), any(o for h, o in hits.values() if h)), i
+
+
+def test_made_cases_against_brute_force(spark):
+    docs, items = DOCS + [(100 + i, d) for i, (_, d) in enumerate([(1, "Anna buys 12 pencils and 3 pens for 5 dollars."), (2, PAD + "Mary Ann buys 7 pencils and 4 pens for 9 dollars")])], ITEMS + [(50, "Anna buys 12 pencils and 3 pens for 5 dollars")]
+    flags = flag_leaks(spark.createDataFrame([(i, d) for i, (_, d) in enumerate(docs)], "doc_id bigint, text string"), spark.createDataFrame([(k, x) for k, (_, x) in enumerate(items)], "item_id bigint, text string"))
+    for r in flags.collect():
+        hits = {k: slow_hits(docs[r["doc_id"]][1], x) for k, (_, x) in enumerate(items)} if r["doc_id"] != 16 else None
+        if hits is not None:
+            assert (r["items"], r["reparameterised"]) == ([k for k in hits if hits[k][0]], any(o for h, o in hits.values() if h)), docs[r["doc_id"]]
+
+
 def test_query_finds_planted_items(spark, sf_dir):
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
