@@ -5,6 +5,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,18 @@ def discard(*tables: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Texts go to Python by so many rows at once, for operators whose other state is large; jobs have to run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: A key is hot if it has more than one in so many rows, so that there are fewer hot keys than that.
 HOT = 1000
 
