@@ -1,5 +1,5 @@
 from lodestream.operators.analyze import analyze
 from lodestream.operators.records import count_records, duplicate_ids, get_by_id, list_summaries, lookup
-from lodestream.operators.revise import apply_attempts, parse_bodies
+from lodestream.operators.revise import apply_attempts, apply_bodies, parse_bodies, responses
 
-__all__ = ["analyze", "apply_attempts", "count_records", "duplicate_ids", "get_by_id", "list_summaries", "lookup", "parse_bodies"]
+__all__ = ["analyze", "apply_attempts", "apply_bodies", "count_records", "duplicate_ids", "get_by_id", "list_summaries", "lookup", "parse_bodies", "responses"]

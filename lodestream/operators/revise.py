@@ -27,7 +27,7 @@ def apply_attempts(records: DataFrame, attempts: DataFrame, as_of: str | None =
     """Applies each id's attempts in ascending ``seq``; returns (outcomes, next records).
 
     records: (id, revision, content, ...) with unique ids; attempts: (id, seq,
-    expected double, content), seq unique in an id. Outcomes: id, seq, status
+    expected double, content), seq unique in an id: a repeated one raises. Outcomes: id, seq, status
     (200, 409 or 404) and the revision after the attempt (null for 404). An
     accepted write sets the content (null: empty), adds one to the revision and
     sets ``updatedAt`` to ``as_of`` if that is given; next records keep their
@@ -52,9 +52,35 @@ def apply_attempts(records: DataFrame, attempts: DataFrame, as_of: str | None =
     return outcomes, joined.select(*[F.when(F.col("_new"), new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in records.columns])
 
 
+def responses(records: DataFrame, attempts: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Per attempt: id, seq, status, error, ``row`` (the accepted record, for 200) and ``current`` (the stored one, for 409).
+
+    A record after an attempt is the one of its id and revision then: the
+    stored one, or that of the attempt which made the revision.
+    """
+    outcomes = apply_attempts(records, attempts)[0]
+    written = attempts.select("id", F.col("seq").cast("bigint").alias("seq"), F.coalesce("content", F.lit("")).alias("_content"))
+    made = outcomes.where("status = 200").join(written, ["id", "seq"]).select("id", "revision", "_content", F.lit(True).alias("_new"))
+    kept = records.select("id", F.col("revision").cast("bigint").alias("revision"), F.col("content").alias("_content"), F.lit(False).alias("_new"))
+    others = [c for c in records.columns if c not in ("id", "revision", "content")]
+    found = outcomes.join(made.unionByName(kept), ["id", "revision"], "left").join(records.select("id", *others), "id", "left")
+    if as_of is not None and "updatedAt" in others:
+        found = found.withColumn("updatedAt", F.when(F.col("_new"), F.lit(as_of).cast("timestamp")).otherwise(F.col("updatedAt")))
+    record = F.struct(*(F.col("_content").alias(c) if c == "content" else F.col(c) for c in records.columns))
+    error = F.when(F.col("status") == 404, "not_found").when(F.col("status") == 409, "revision_conflict")
+    return found.select("id", "seq", "status", error.alias("error"), F.when(F.col("status") == 200, record).alias("row"), F.when(F.col("status") == 409, record).alias("current"))
+
+
+def apply_bodies(records: DataFrame, requests: DataFrame) -> DataFrame:
+    """Outcomes (id, seq, status, revision) of requests (id, seq, body): 400 for a bad body, whatever its id, and else as ``apply_attempts`` gives them."""
+    parsed = parse_bodies(requests)
+    bad = parsed.where("bad").select("id", F.col("seq").cast("bigint").alias("seq"), F.lit(400).alias("status"), F.lit(None).cast("bigint").alias("revision"))
+    return bad.unionByName(apply_attempts(records, parsed.where("not bad").select("id", "seq", "expected", "content"))[0])
+
+
 def _fold(batches):
     """Yields (batch, status of each row, revisions after it, rows that are attempts, ids that ended with (id, seq, revision) of the last accepted one)."""
-    current, hit, rev, accepted = None, False, None, None
+    current, hit, rev, accepted, last = None, False, None, None, None
     for batch in batches:
         status, after, asked, ended = [], [], [], []
         columns = (batch.column(k).to_pylist() for k in ("id", "seq", "expected", "rev", "stored"))
@@ -62,9 +88,12 @@ def _fold(batches):
             if stored or key != current:
                 if accepted:
                     ended.append(accepted)
-                current, hit, rev, accepted = key, stored, stored_rev, None
+                current, hit, rev, accepted, last = key, stored, stored_rev, None, None
             if stored:
                 continue
+            if last == (seq,):
+                raise ValueError(f"{key!r} has two attempts of seq {seq}")
+            last = (seq,)
             if not hit:
                 status.append(404)
             elif expected == (None if rev is None else float(rev)):

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import analyze, apply_attempts, count_records, list_summaries, lookup
+from lodestream.operators import analyze, apply_attempts, apply_bodies, count_records, get_by_id, list_summaries, lookup, responses
 from lodestream.sources import read_table
 from lodestream.streaming import revise_stream
 
@@ -31,6 +31,11 @@ def get_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(records, keys)
 
 
+def get_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document by its id, which reaches the scan."""
+    return get_by_id(read_table(spark, sf_dir, "documents"), 7, "doc_id")
+
+
 def get_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents have a label record, by status."""
     keys = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
@@ -81,6 +86,22 @@ def put_sequence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", "revision", F.length("content").cast("bigint").alias("content_chars"))
 
 
+def put_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each attempt of the sequence is answered: the accepted record, or the stored one that it conflicts with."""
+    answers = responses(_store(spark, sf_dir), _attempts(spark, sf_dir))
+    part = lambda c: [F.col(f"{c}.revision").alias(f"{c}_revision"), F.length(f"{c}.content").cast("bigint").alias(f"{c}_chars")]
+    return answers.select("id", "seq", "status", "error", *part("row"), *part("current"))
+
+
+def put_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence as JSON bodies, of which one in four is cut off and one has its revision as a string."""
+    asked = _attempts(spark, sf_dir)
+    number = F.to_json(F.struct(F.col("expected").alias("revision"), "content"))
+    text = F.to_json(F.struct(F.col("expected").cast("string").alias("revision"), "content"))
+    body = F.when(F.col("seq") % 4 == 3, F.lit('{"revision":')).when(F.col("seq") % 4 == 2, text).otherwise(number)
+    return apply_bodies(_store(spark, sf_dir), asked.select("id", "seq", body.alias("body")))
+
+
 def put_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same attempts as a stream."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestream-")
@@ -121,6 +142,9 @@ QUERIES = {
     "put_sequence": put_sequence,
     "put_sequence_state": put_sequence_state,
     "put_stream": put_stream,
+    "get_one": get_one,
+    "put_conflict": put_conflict,
+    "put_bodies": put_bodies,
 }
 
 _CHAIN = """
@@ -162,4 +186,13 @@ ORACLES = {
     + """select l.doc_id::varchar as id, coalesce(e.revision, 0)::bigint as revision, coalesce(length(e.content), 0)::bigint as content_chars
         from labels l left join (select * from r qualify row_number() over (partition by conv_id order by step desc) = 1) e on e.conv_id = l.doc_id""",
     "put_stream": _OUTCOMES,
+    "get_one": "select * from documents where doc_id = 7",
+    "put_conflict": _CHAIN
+    + """select conv_id::varchar as id, turn::bigint as seq, status::integer as status,
+        case status when 404 then 'not_found' when 409 then 'revision_conflict' end as error,
+        case when status = 200 then revision end as row_revision, case when status = 200 then length(content) end::bigint as row_chars,
+        case when status = 409 then revision end as current_revision, case when status = 409 then length(content) end::bigint as current_chars from r""",
+    "put_bodies": _CHAIN.replace("from conversations)", "from conversations where turn % 4 <> 3)").replace("floor(turn / 2) as", "case when turn % 4 = 2 then -1 else floor(turn / 2) end as")
+    + """select conv_id::varchar as id, turn::bigint as seq, status::integer as status, revision from r
+        union all select conv_id::varchar, turn::bigint, 400, null from conversations where turn % 4 = 3""",
 }

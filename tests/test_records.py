@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestream.functions import iso_millis, line_count
-from lodestream.operators import analyze, apply_attempts, count_records, duplicate_ids, get_by_id, list_summaries, lookup, parse_bodies
+from lodestream.operators import analyze, apply_attempts, apply_bodies, count_records, duplicate_ids, get_by_id, list_summaries, lookup, parse_bodies, responses
 from lodestream.plans import ORACLES, QUERIES
 from lodestream.sources import ATTEMPT_SCHEMA, SnapshotStore, seed_records
 from tests.compare import oracle_rows, spark_rows
@@ -65,6 +65,26 @@ def test_bodies(spark):
     assert got == [(False, 3.0, None), (False, 3.0, "a"), (False, None, None), (False, None, None), (True, None, None), (True, None, None), (False, None, None)]
 
 
+def test_responses(spark):
+    """An accepted attempt gives the row, a stale one the current row, content included."""
+    attempts = spark.createDataFrame([("alpha", 0, 3.0, "updated"), ("alpha", 1, 3.0, "stale"), ("beta", 0, 9.0, "x"), ("none", 0, 1.0, "n")], ATTEMPT_SCHEMA)
+    got = {(r["id"], r["seq"]): r for r in responses(seed_records(spark), attempts, as_of="2024-01-01").collect()}
+    row, current = got["alpha", 0]["row"], got["alpha", 1]["current"]
+    assert (row["revision"], row["content"], row["name"], row["updatedAt"].year) == (4, "updated", "Primary schema revisions", 2024)
+    assert current == row and got["alpha", 1]["row"] is None and got["alpha", 1]["error"] == "revision_conflict"
+    assert got["beta", 0]["current"]["content"] == "schema revisions: beta\nstate: review" and got["beta", 0]["current"]["updatedAt"].year == 1970
+    assert (got["none", 0]["status"], got["none", 0]["error"], got["none", 0]["current"]) == (404, "not_found", None)
+
+
+def test_bodies_are_applied_and_repeated_seqs_are_not(spark):
+    requests = [("alpha", 0, "nope"), ("alpha", 1, '{"revision":3,"content":"a"}'), ("alpha", 2, '{"revision":"4"}'), ("none", 0, "[1"), ("none", 1, "{}")]
+    got = apply_bodies(seed_records(spark), spark.createDataFrame(requests, "id string, seq bigint, body string")).collect()
+    assert {(r["id"], r["seq"], r["status"], r["revision"]) for r in got} == {("alpha", 0, 400, None), ("alpha", 1, 200, 4), ("alpha", 2, 409, 4), ("none", 0, 400, None), ("none", 1, 404, None)}
+    twice = spark.createDataFrame([("alpha", 0, 3.0, "x"), ("alpha", 0, 4.0, "y")], ATTEMPT_SCHEMA)
+    with pytest.raises(Exception, match="two attempts"):
+        apply_attempts(seed_records(spark), twice)[0].collect()
+
+
 def test_store(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "records"))
     assert store.latest() == 0
