@@ -1,6 +1,5 @@
 """The queries of this subpackage, with SQL where DuckDB can express them."""
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +89,6 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
-    "pipeline": corpus_pipeline.run,
 }
 
 _QUALITY = r"""

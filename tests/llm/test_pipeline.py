@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestream.llm.registry import QUERIES
 from tests.llm.test_native import base_spans, measured
 from tests.llm.test_near_dedup import shingles
 from tests.llm.test_tokens import plain_best_fit, whole
@@ -66,7 +65,7 @@ def test_against_brute_force(spark, sf_dir):
     kept = {i: t for i, t in kept.items() if not any(f" {x} " in f" {' '.join(words(t))} " for x in runs)}
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: np.array([*tok.encode(redacted(t), add_special_tokens=False).ids, 0], "<u4") for i, t in kept.items()}
-    rows = QUERIES["pipeline"](spark, sf_dir).collect()
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
     pieces = defaultdict(list)
     for r in rows:
         assert zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
