@@ -67,7 +67,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
+def small_batches(spark: SparkSession, rows: int = 250):
     """Texts go to Python by so many rows at once, for operators whose other state is large; jobs have to run inside."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
