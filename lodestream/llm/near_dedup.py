@@ -8,8 +8,9 @@
    first few (a share of 1 - threshold of the set) in order of rarity. What
    they have in common with a page's many others, as boilerplate, is never
    among these, so pages that share only that don't meet. The nodes of one rare
-   shingle are dealt into cells of two blocks, and each cell gives the pairs
-   across components whose sketches leave the threshold within reach.
+   shingle are dealt into cells of two blocks. A cell compares whole sets across
+   components, merges components as it links them, and gives a link only where
+   it merged two: fewer links than it has nodes, however alike these are.
 Links are confirmed on whole shingle sets, and components are taken over all.
 Pairs already connected are never formed, so a large group of copies costs its
 size. Keys that many rows have are joined where the rows are.
@@ -26,8 +27,8 @@ from lodestream.llm.shingles import Circulant, mix, shingle_sets
 
 #: 26 bands of 5: a pair at similarity 0.85 shares none in 3e-7 of cases.
 BANDS, ROWS = 26, 5
-#: Members of a block; a cell holds two blocks.
-BLOCK = 512
+#: Members of a block, and shingles a member on average; a cell holds two blocks.
+BLOCK, LONG = 256, 2048
 #: Coordinates, a byte of each, by which pairs are screened before their sets are compared.
 SKETCH = 512
 #: A pair at the threshold agrees in fewer coordinates by so many standard deviations in 1e-9 of cases, if coordinates are independent.
@@ -98,6 +99,14 @@ def _screen(pairs: DataFrame, sets: DataFrame, threshold: int, slack: float) ->
     return first.join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _reach(s: np.ndarray, t: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach the threshold, in hundredths."""
+    if len(s) > len(t):
+        s, t = t, s
+    common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * common >= threshold * (len(s) + len(t) - common)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets reach the threshold, in hundredths."""
 
@@ -105,11 +114,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                keep.append(100 * common >= threshold * (len(s) + len(t) - common))
+                keep.append(_reach(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -117,7 +122,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _rare(apart: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(node, key): each node's first shingles by rarity among the nodes, as many as decide, without those of a single node."""
+    """(node, n_shingles, key): each node's first shingles by rarity among the nodes, as many as decide, without those of a single node."""
 
     def run(batches):
         for batch in batches:
@@ -131,7 +136,7 @@ def _rare(apart: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     own = met.groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     # those of a single node come first
     first = f"size - (size * {threshold} + 99) div 100 + 1 - (size - size(keys))"
-    return own.where(f"{first} > 0").select("node", F.explode(F.expr(f"slice(keys, 1, cast({first} as int))")).alias("k")).select("node", "k.key")
+    return own.where(f"{first} > 0").select("node", F.col("size").alias("n_shingles"), F.explode(F.expr(f"slice(keys, 1, cast({first} as int))")).alias("k")).select("node", "n_shingles", "k.key")
 
 
 def _hot(sizes: DataFrame) -> DataFrame:
@@ -141,46 +146,56 @@ def _hot(sizes: DataFrame) -> DataFrame:
 
 
 def _cells(members: DataFrame, threshold: int, slack: float, block: int) -> DataFrame:
-    """Pairs (a, b) across components of members (node, component, n_shingles, sketch) of a key.
+    """Links (a, b) across components of members (node, component, sketch, shingles) of a key, as many as connect what is linked.
 
     A key's largest component, ``main``, is connected in itself: its ``m`` of
-    ``n`` members meet only the others, never each other.
+    ``n`` members meet only the others, never each other. Blocks are counted by
+    members and by shingles, so a key of few but long sets has several too. A
+    key of one block's size is one cell.
     """
-    blocks = lambda size: F.ceil(size / block).cast("int")
+    blocks = lambda n, size: F.ceil(F.greatest(n / block, size / (block * LONG))).cast("int")
     place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
-    inside = F.col("component") == F.col("main")
-    dealt = members.withColumn("outer", blocks(F.col("n") - F.col("m"))).withColumn("inner", blocks(F.col("m")))
+    one = blocks(F.col("n"), F.col("size")) <= 1
+    inside = (F.col("component") == F.col("main")) & ~F.col("one")
+    dealt = members.withColumn("one", one)
+    dealt = dealt.withColumn("outer", F.when(F.col("one"), 1).otherwise(blocks(F.col("n") - F.col("m"), F.col("size") - F.col("main_size"))))
+    dealt = dealt.withColumn("inner", F.when(F.col("one"), 0).otherwise(blocks(F.col("m"), F.col("main_size"))))
     dealt = dealt.withColumn("blk", F.when(inside, F.col("outer") + place("inner")).otherwise(place("outer")))
     met = F.sequence(F.lit(0), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
-    cells = dealt.select("*", F.explode(met).alias("other")).select(
-        "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "component", "n_shingles", "sketch"
-    )
+    cells = dealt.select("*", F.explode(met).alias("other")).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "component", "sketch", "shingles")
 
     def run(key, table):
         key = tuple(k.as_py() for k in key)
-        node, comp, size, blk = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "blk"))
+        node, now, blk = (table.column(c).to_numpy() for c in ("node", "component", "blk"))
+        now = now.copy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        size = np.array([len(s) for s in sets])
         sketch = _sketch_array(table.column("sketch"))
         left = np.flatnonzero(blk == key[1])
         right = np.flatnonzero(blk == key[2])
         a, b = [], []
         for p in left:
-            q = right[(comp[right] != comp[p]) & (node[right] > node[p] if key[1] == key[2] else True)]
+            q = right[(now[right] != now[p]) & (node[right] > node[p] if key[1] == key[2] else True)]
             q = q[(100 * np.minimum(size[q], size[p]) >= threshold * np.maximum(size[q], size[p]))]
             if len(q):
-                q = q[_agree(sketch[q], sketch[p][None, :], threshold, slack)]
-                a += [min(node[p], x) for x in node[q]]
-                b += [max(node[p], x) for x in node[q]]
+                for x in q[_agree(sketch[q], sketch[p][None, :], threshold, slack)]:
+                    if now[x] != now[p] and _reach(sets[p], sets[x], threshold):
+                        now[now == now[x]] = now[p]
+                        a.append(min(node[p], node[x]))
+                        b.append(max(node[p], node[x]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return cells.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _split(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (node, key) of keys with several components, with component, n, m and main (see ``_cells``)."""
-    placed = members.select("node", "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    several = materialise(sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("n")).where("parts > 1"), "split")
-    return join_dealt(placed, several.select("key", "n", F.col("top.m").alias("m"), F.col("top.component").alias("main")), "key", _hot(several))
+    """Members (node, n_shingles, key) of keys with several components, with component, n, size, m, main and main_size (see ``_cells``)."""
+    placed = members.select("node", "n_shingles", "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("size"))
+    top = F.max(F.struct("m", "component", "size")).alias("top")
+    several = materialise(sizes.groupBy("key").agg(top, F.count(F.lit(1)).alias("parts"), F.sum("m").alias("n"), F.sum("size").alias("size")).where("parts > 1"), "split")
+    main = [F.col("top.m").alias("m"), F.col("top.component").alias("main"), F.col("top.size").alias("main_size")]
+    return join_dealt(placed, several.select("key", "n", "size", *main), "key", _hot(several))
 
 
 def _labelled(docs: DataFrame, threshold: int, id_col: str, text_col: str, bands: int, rows: int, block: int, deviations: float | None) -> DataFrame:
@@ -206,8 +221,8 @@ def _labelled(docs: DataFrame, threshold: int, id_col: str, text_col: str, bands
 
     apart = _split(members.where("n > 2"), found).select("node").distinct()
     rare = materialise(_rare(apart, sets, threshold), "rare")
-    held = _split(rare, found).join(sets.select("node", "sketch", (F.octet_length("shingles") / 8).cast("bigint").alias("n_shingles")), "node")
-    more = materialise(_confirm(_cells(held, threshold, slack, block), sets, threshold), "links")
+    held = _split(rare, found).join(sets, "node")
+    more = materialise(_cells(held, threshold, slack, block), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     labels = materialise(nodes.select("set_key", "node", "n").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "n"), "labels")

@@ -99,3 +99,19 @@ def test_many_that_share_most_words_and_stay_apart(spark):
     rows += [(2000 + i, " ".join(common + own[i][:70] + ["x"] * 10)) for i in range(5)]
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
     assert got == {**{i: i for i in range(1500)}, **{2000 + i: i for i in range(5)}}
+
+
+def test_many_near_misses_of_one_text(spark):
+    """Copies of one text with edits here and there: some reach the threshold, most pairs fall a little short of it."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for p in rng.sample(range(300), rng.choice([3, 6, 8, 9, 10])):
+            text[p] = f"e{rng.randrange(3)}" if rng.random() < 0.5 else f"o{i}"
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (256, 16):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(frame, block=block).collect()}
+        assert got == brute(rows)
