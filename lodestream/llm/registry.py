@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.chat import digest_conversations, format_conversations
+from lodestream.llm.clusters import ball_kmeans
 from lodestream.llm.decontaminate import flag_leaks
 from lodestream.llm.licenses import scan_licenses
 from lodestream.llm.lm_score import score_texts
@@ -78,6 +79,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), path).select("doc_id", "path", "header_license", "header_cosine", "file_license", "file_cosine", "license", "origin")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
+    "op11_ball_kmeans": op11_ball_kmeans,
 }
 
 _QUALITY = r"""
@@ -115,4 +121,38 @@ b as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (failure_bits & 31) = 0 as kept, failure_bits from b
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY}
+
+def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain k-means in integers: every round is a pair of tables over (vector, component) rows."""
+    steps = [
+        f"""
+with kept as (
+  select row_number() over () as r, vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+v as materialized (
+  select r, vec_id, i, floor(1024 * (embedding[i])::double)::bigint as x from kept, (select unnest(range(1, 65)) as i)),
+s as (select r, row_number() over (order by sha256('3:' || vec_id)) - 1 as c from kept qualify c < {k}),
+c0 as materialized (select c, i, x from v join s using (r))"""
+    ]
+    for t in range(rounds + 1):
+        steps.append(
+            f"""a{t} as materialized (
+  select r, arg_min(c, d * {k} + c) as c, min(d) as d from (
+    select r, c, sum((v.x - m.x) * (v.x - m.x))::bigint as d from v join c{t} m using (i) group by r, c) group by r)"""
+        )
+        if t < rounds:
+            steps.append(
+                f"""n{t} as (
+  select c, i, sum(x) as s, count(*) as n from v join a{t} using (r) group by c, i),
+c{t + 1} as materialized (
+  select m.c, m.i, coalesce((s - ((s % n) + n) % n) // n, m.x)::bigint as x from c{t} m left join n{t} using (c, i))"""
+            )
+    return (
+        ",\n".join(steps)
+        + f"""
+select vec_id, a.c::integer as "cluster", d as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, h as centroid_sha256
+from a{rounds} a join kept using (r) join (select c, sha256(string_agg(x::varchar, ',' order by i)) as h from c{rounds} group by c) h on h.c = a.c"""
+    )
+
+
+ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY, "op11_ball_kmeans": _kmeans_sql()}
