@@ -1,5 +1,21 @@
 from lodestream.operators.analyze import analyze
-from lodestream.operators.records import count_records, duplicate_ids, get_by_id, list_summaries, lookup
+from lodestream.operators.asof import carry_last
+from lodestream.operators.chains import apply_linked
+from lodestream.operators.records import count_records, duplicate_ids, first_match, get_by_id, list_summaries, lookup
 from lodestream.operators.revise import apply_attempts, apply_bodies, parse_bodies, responses
 
-__all__ = ["analyze", "apply_attempts", "apply_bodies", "count_records", "duplicate_ids", "get_by_id", "list_summaries", "lookup", "parse_bodies", "responses"]
+__all__ = [
+    "analyze",
+    "apply_attempts",
+    "apply_bodies",
+    "apply_linked",
+    "carry_last",
+    "count_records",
+    "duplicate_ids",
+    "first_match",
+    "get_by_id",
+    "list_summaries",
+    "lookup",
+    "parse_bodies",
+    "responses",
+]

@@ -19,9 +19,26 @@ def get_by_id(records: DataFrame, key, id_col: str = "id") -> DataFrame:
     return records.where(F.col(id_col) == F.lit(key))
 
 
+def first_match(records: DataFrame, id_col: str = "id", ord_col: str = "ord") -> DataFrame:
+    """The first record of each id, by ``ord``; records without that column are taken to have unique ids and are returned as they are.
+
+    Ids are counted first, over ids alone; only rows of an id that repeats are
+    then reduced, in their tasks before they are shuffled. Records of equal
+    ``ord`` are ordered by their other columns. Null ids are kept as they are,
+    since no key equals them.
+    """
+    if ord_col not in records.columns:
+        return records
+    repeated = records.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col)
+    others = [c for c in records.columns if c != ord_col]
+    least = records.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(ord_col, *others)).alias("_first"))
+    firsts = least.select(*(F.col("_first")[c].alias(c) for c in records.columns))
+    return records.join(repeated, id_col, "left_anti").select(*records.columns).unionByName(firsts)
+
+
 def lookup(records: DataFrame, keys: DataFrame, id_col: str = "id") -> DataFrame:
-    """A row per key: status 200 with the record's fields and its etag, or 404 with nulls."""
-    found = records.withColumn("_hit", F.lit(True))
+    """A row per key: status 200 with the first such record's fields and its etag, or 404 with nulls."""
+    found = first_match(records, id_col).withColumn("_hit", F.lit(True))
     etag = [F.col("revision").cast("string").alias("etag")] if "revision" in records.columns else []
     return keys.join(found, id_col, "left").select(
         *keys.columns,
@@ -33,5 +50,5 @@ def lookup(records: DataFrame, keys: DataFrame, id_col: str = "id") -> DataFrame
 
 
 def duplicate_ids(records: DataFrame, id_col: str = "id") -> DataFrame:
-    """Ids held by more than one record: to be empty before lookups and updates, which take ids as unique."""
+    """Ids held by more than one record: lookups and updates then mean the first (``first_match``)."""
     return records.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

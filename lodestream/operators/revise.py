@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+from lodestream.operators.records import first_match
+
 
 def parse_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
     """JSON bodies to attempts: adds ``bad`` (status 400), ``expected`` and ``content``.
@@ -26,7 +28,8 @@ def parse_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
 def apply_attempts(records: DataFrame, attempts: DataFrame, as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Applies each id's attempts in ascending ``seq``; returns (outcomes, next records).
 
-    records: (id, revision, content, ...) with unique ids; attempts: (id, seq,
+    records: (id, revision, content, ...), of which the first of an id is meant
+    (``first_match``; the others stay as they are); attempts: (id, seq,
     expected double, content), seq unique in an id: a repeated one raises. Outcomes: id, seq, status
     (200, 409 or 404) and the revision after the attempt (null for 404). An
     accepted write sets the content (null: empty), adds one to the revision and
@@ -37,7 +40,8 @@ def apply_attempts(records: DataFrame, attempts: DataFrame, as_of: str | None =
     streamed with the current revision as the only state, so an id may have any
     number of attempts. The content of an id's last accepted attempt is joined.
     """
-    stored = records.where("id is not null").select("id", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("expected"), F.col("revision").cast("bigint").alias("rev"), F.lit(True).alias("stored"))
+    firsts = first_match(records)
+    stored = firsts.where("id is not null").select("id", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("expected"), F.col("revision").cast("bigint").alias("rev"), F.lit(True).alias("stored"))
     asked = attempts.select("id", F.col("seq").cast("bigint").alias("seq"), F.col("expected").cast("double").alias("expected"), F.lit(None).cast("bigint").alias("rev"), F.lit(False).alias("stored"))
     rows = stored.unionByName(asked).repartition("id").sortWithinPartitions("id", F.col("stored").desc(), "seq", "expected")
     kind = rows.schema["id"].dataType
@@ -48,7 +52,11 @@ def apply_attempts(records: DataFrame, attempts: DataFrame, as_of: str | None =
     new = {"revision": F.col("_rev"), "content": F.col("_content")}
     if as_of is not None and "updatedAt" in records.columns:
         new["updatedAt"] = F.lit(as_of).cast("timestamp")
-    joined = records.join(changed, "id", "left")
+    if firsts is not records:  # only the first record of an id changes
+        changed = changed.join(firsts.select("id", F.col("ord").alias("_ord")), "id")
+        joined = records.join(changed, (records["id"] == changed["id"]) & (records["ord"] == changed["_ord"]), "left").drop(changed["id"])
+    else:
+        joined = records.join(changed, "id", "left")
     return outcomes, joined.select(*[F.when(F.col("_new"), new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in records.columns])
 
 
@@ -58,6 +66,7 @@ def responses(records: DataFrame, attempts: DataFrame, as_of: str | None = None)
     A record after an attempt is the one of its id and revision then: the
     stored one, or that of the attempt which made the revision.
     """
+    records = first_match(records)
     outcomes = apply_attempts(records, attempts)[0]
     written = attempts.select("id", F.col("seq").cast("bigint").alias("seq"), F.coalesce("content", F.lit("")).alias("_content"))
     made = outcomes.where("status = 200").join(written, ["id", "seq"]).select("id", "revision", "_content", F.lit(True).alias("_new"))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import analyze, apply_attempts, apply_bodies, count_records, get_by_id, list_summaries, lookup, responses
+from lodestream.operators import analyze, apply_attempts, apply_bodies, apply_linked, count_records, get_by_id, list_summaries, lookup, responses
 from lodestream.sources import read_table
 from lodestream.streaming import revise_stream
 
@@ -86,6 +86,11 @@ def put_sequence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", "revision", F.length("content").cast("bigint").alias("content_chars"))
 
 
+def put_sequence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence by successor links and pointer doubling."""
+    return apply_linked(_store(spark, sf_dir), _attempts(spark, sf_dir))
+
+
 def put_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each attempt of the sequence is answered: the accepted record, or the stored one that it conflicts with."""
     answers = responses(_store(spark, sf_dir), _attempts(spark, sf_dir))
@@ -145,6 +150,7 @@ QUERIES = {
     "get_one": get_one,
     "put_conflict": put_conflict,
     "put_bodies": put_bodies,
+    "put_sequence_links": put_sequence_links,
 }
 
 _CHAIN = """
@@ -186,6 +192,7 @@ ORACLES = {
     + """select l.doc_id::varchar as id, coalesce(e.revision, 0)::bigint as revision, coalesce(length(e.content), 0)::bigint as content_chars
         from labels l left join (select * from r qualify row_number() over (partition by conv_id order by step desc) = 1) e on e.conv_id = l.doc_id""",
     "put_stream": _OUTCOMES,
+    "put_sequence_links": _OUTCOMES,
     "get_one": "select * from documents where doc_id = 7",
     "put_conflict": _CHAIN
     + """select conv_id::varchar as id, turn::bigint as seq, status::integer as status,
