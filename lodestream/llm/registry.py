@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestream.llm.chat import digest_conversations, format_conversations
 from lodestream.llm.clusters import ball_kmeans
 from lodestream.llm.decontaminate import flag_leaks
+from lodestream.llm.lexical import search
 from lodestream.llm.licenses import scan_licenses
 from lodestream.llm.lm_score import score_texts
 from lodestream.llm.near_dedup import near_duplicates
@@ -83,6 +84,10 @@ def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans(table(spark, sf_dir, "embeddings")).drop("compared")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
@@ -95,6 +100,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_license_scan": op10_license_scan,
     "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _QUALITY = r"""
@@ -155,4 +161,21 @@ from a{rounds} a join kept using (r) join (select c, sha256(string_agg(x::varcha
     )
 
 
-ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY, "op11_ball_kmeans": _kmeans_sql()}
+_SEARCH = r"""
+with fold as (select doc_id, row_number() over () as d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+words as (select doc_id, d, unnest(regexp_extract_all(t, '[0-9a-z\x{80}-\x{10FFFF}]+')) as term from fold),
+sizes as materialized (select d, count(*) as n from words group by d),
+total as materialized (select count(*) as docs, sum(n)::bigint as terms from sizes),
+asked as materialized (
+  select distinct item_id, term from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) as term from benchmark)),
+postings as materialized (select doc_id, d, term, count(*) as tf from words where term in (select term from asked) group by doc_id, d, term),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from postings, total group by term, docs),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::bigint as score
+  from asked join postings using (term) join weights using (term) join sizes using (d), total group by item_id, doc_id, d)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer as "rank", doc_id, score
+from scores where score > 0 qualify "rank" <= 10
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY, "op11_ball_kmeans": _kmeans_sql(), "op12_lexical_search": _SEARCH}
