@@ -17,6 +17,7 @@ from lodestream.llm.secrets import count_kind, find_secrets, span_text
 from lodestream.llm.shared import materialise
 from lodestream.llm.token_counts import count_tokens
 from lodestream.llm.token_files import read_token_files, write_token_files
+from lodestream.llm.toxicity import score_toxicity
 
 #: A model's usual context, in tokens.
 CONTEXT = 2048
@@ -88,6 +89,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
@@ -101,6 +106,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_ball_kmeans": op11_ball_kmeans,
     "op12_lexical_search": op12_lexical_search,
+    "op13_toxicity": op13_toxicity,
 }
 
 _QUALITY = r"""
