@@ -8,9 +8,13 @@
    first few (a share of 1 - threshold of the set) in order of rarity. What
    they have in common with a page's many others, as boilerplate, is never
    among these, so pages that share only that don't meet. The nodes of one rare
-   shingle are dealt into cells of two blocks. A cell compares whole sets across
-   components, merges components as it links them, and gives a link only where
-   it merged two: fewer links than it has nodes, however alike these are.
+   shingle are dealt into cells of two blocks, by their sketches alone. Of the
+   pairs across components whose sketches are near, a cell gives a forest, with
+   fewer pairs than it has nodes. The trees that these forests grow into over
+   all cells hold every such pair, so a node's set goes to the cells of its tree
+   once or per block, not once per rare shingle. There whole sets are compared
+   across components; a cell merges components as it links them, and gives a
+   link only where it merged two.
 Links are confirmed on whole shingle sets, and components are taken over all.
 Pairs already connected are never formed, so a large group of copies costs its
 size. Keys that many rows have are joined where the rows are.
@@ -136,7 +140,10 @@ def _rare(apart: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     own = met.groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     # those of a single node come first
     first = f"size - (size * {threshold} + 99) div 100 + 1 - (size - size(keys))"
-    return own.where(f"{first} > 0").select("node", F.col("size").alias("n_shingles"), F.explode(F.expr(f"slice(keys, 1, cast({first} as int))")).alias("k")).select("node", "n_shingles", "k.key")
+    kept = own.where(f"{first} > 0").select("node", F.col("size").alias("n_shingles"), F.explode(F.expr(f"slice(keys, 1, cast({first} as int))")).alias("k"))
+    rare = materialise(kept.select("node", "n_shingles", "k.key"), "rare")
+    discard(spread, often)
+    return rare
 
 
 def _hot(sizes: DataFrame) -> DataFrame:
@@ -145,15 +152,17 @@ def _hot(sizes: DataFrame) -> DataFrame:
     return sizes.where(F.col("n") * HOT > total).select("key")
 
 
-def _cells(members: DataFrame, threshold: int, slack: float, block: int) -> DataFrame:
-    """Links (a, b) across components of members (node, component, sketch, shingles) of a key, as many as connect what is linked.
+def _cells(members: DataFrame, threshold: int, slack: float, block: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) across components of members (node, component, sketch[, shingles]) of a key.
 
+    With ``whole`` sets these are links, as many as connect what is linked;
+    else pairs of near sketches, as many as connect the nodes of all such pairs.
     A key's largest component, ``main``, is connected in itself: its ``m`` of
     ``n`` members meet only the others, never each other. Blocks are counted by
-    members and by shingles, so a key of few but long sets has several too. A
-    key of one block's size is one cell.
+    members and, of whole sets, by shingles, so a key of few but long sets has
+    several too. A key of one block's size is one cell.
     """
-    blocks = lambda n, size: F.ceil(F.greatest(n / block, size / (block * LONG))).cast("int")
+    blocks = lambda n, size: F.ceil(F.greatest(n / block, size / (block * LONG)) if whole else n / block).cast("int")
     place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     one = blocks(F.col("n"), F.col("size")) <= 1
     inside = (F.col("component") == F.col("main")) & ~F.col("one")
@@ -162,25 +171,28 @@ def _cells(members: DataFrame, threshold: int, slack: float, block: int) -> Data
     dealt = dealt.withColumn("inner", F.when(F.col("one"), 0).otherwise(blocks(F.col("m"), F.col("main_size"))))
     dealt = dealt.withColumn("blk", F.when(inside, F.col("outer") + place("inner")).otherwise(place("outer")))
     met = F.sequence(F.lit(0), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
-    cells = dealt.select("*", F.explode(met).alias("other")).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "component", "sketch", "shingles")
+    own = ["node", "component", "sketch", *(["shingles"] if whole else ["n_shingles"])]
+    cells = dealt.select("*", F.explode(met).alias("other")).select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", *own)
 
     def run(key, table):
         key = tuple(k.as_py() for k in key)
-        node, now, blk = (table.column(c).to_numpy() for c in ("node", "component", "blk"))
-        now = now.copy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        size = np.array([len(s) for s in sets])
+        node, component, blk = (table.column(c).to_numpy() for c in ("node", "component", "blk"))
+        if whole:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+            size, tree = np.array([len(s) for s in sets]), component.copy()
+        else:
+            size, tree = table.column("n_shingles").to_numpy(), np.arange(len(node))
         sketch = _sketch_array(table.column("sketch"))
         left = np.flatnonzero(blk == key[1])
         right = np.flatnonzero(blk == key[2])
         a, b = [], []
         for p in left:
-            q = right[(now[right] != now[p]) & (node[right] > node[p] if key[1] == key[2] else True)]
+            q = right[(component[right] != component[p]) & (tree[right] != tree[p]) & (node[right] > node[p] if key[1] == key[2] else True)]
             q = q[(100 * np.minimum(size[q], size[p]) >= threshold * np.maximum(size[q], size[p]))]
             if len(q):
                 for x in q[_agree(sketch[q], sketch[p][None, :], threshold, slack)]:
-                    if now[x] != now[p] and _reach(sets[p], sets[x], threshold):
-                        now[now == now[x]] = now[p]
+                    if tree[x] != tree[p] and (not whole or _reach(sets[p], sets[x], threshold)):
+                        tree[tree == tree[x]] = tree[p]
                         a.append(min(node[p], node[x]))
                         b.append(max(node[p], node[x]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -188,14 +200,14 @@ def _cells(members: DataFrame, threshold: int, slack: float, block: int) -> Data
     return cells.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _split(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (node, n_shingles, key) of keys with several components, with component, n, size, m, main and main_size (see ``_cells``)."""
+def _split(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, n_shingles, key) of keys with several components, with component, n, size, m, main and main_size (see ``_cells``); and a table to discard after use."""
     placed = members.select("node", "n_shingles", "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("size"))
     top = F.max(F.struct("m", "component", "size")).alias("top")
     several = materialise(sizes.groupBy("key").agg(top, F.count(F.lit(1)).alias("parts"), F.sum("m").alias("n"), F.sum("size").alias("size")).where("parts > 1"), "split")
     main = [F.col("top.m").alias("m"), F.col("top.component").alias("main"), F.col("top.size").alias("main_size")]
-    return join_dealt(placed, several.select("key", "n", "size", *main), "key", _hot(several))
+    return join_dealt(placed, several.select("key", "n", "size", *main), "key", _hot(several)), several
 
 
 def _labelled(docs: DataFrame, threshold: int, id_col: str, text_col: str, bands: int, rows: int, block: int, deviations: float | None) -> DataFrame:
@@ -219,14 +231,24 @@ def _labelled(docs: DataFrame, threshold: int, id_col: str, text_col: str, bands
     links = materialise(_confirm(_screen(pairs, sets, threshold, slack), sets, threshold), "links")
     found = components(links)
 
-    apart = _split(members.where("n > 2"), found).select("node").distinct()
-    rare = materialise(_rare(apart, sets, threshold), "rare")
-    held = _split(rare, found).join(sets, "node")
-    more = materialise(_cells(held, threshold, slack, block), "links")
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    divided, several = _split(members.where("n > 2"), found)
+    apart = materialise(divided.select("node").distinct(), "apart")
+    discard(spread, shared, hot, members, pivots, links, several)
+    rare = _rare(apart, sets, threshold)
+    met, several = _split(rare, found)
+    near = materialise(_cells(met.join(sets.select("node", "sketch"), "node"), threshold, slack, block, whole=False), "near")
+    discard(apart, rare, several)
+    if not near.isEmpty():
+        trees = components(near).select("node", F.col("component").alias("key"))
+        met, several = _split(trees.join(nodes.select("node", "n_shingles"), "node"), found)
+        more = materialise(_cells(met.join(sets, "node"), threshold, slack, block, whole=True), "links")
+        discard(several)
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        discard(more)
+    discard(near)
     labels = materialise(nodes.select("set_key", "node", "n").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "n"), "labels")
-    discard(spread, shared, hot, members, sets, pivots, links, rare, more)
+    discard(nodes, sets)
     slim = signed.select("doc_id", "h", "n_shingles", F.col("set_key").alias("key"))
     placed = join_dealt(slim.where("n_shingles > 0"), labels.select(F.col("set_key").alias("key"), "component"), "key", _hot(labels.select(F.col("set_key").alias("key"), "n")))
     out = placed.unionByName(slim.where("n_shingles = 0").withColumn("component", F.col("doc_id")))
