@@ -55,6 +55,13 @@ def accepted(records: DataFrame, attempts: DataFrame) -> DataFrame:
     return reached
 
 
+def no_repeats(attempts: DataFrame) -> None:
+    """Raises if an (id, seq) is repeated."""
+    repeated = attempts.where("id is not null").groupBy("id", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"{repeated[0]['id']!r} has two attempts of seq {repeated[0]['seq']}")
+
+
 def apply_linked(records: DataFrame, attempts: DataFrame) -> DataFrame:
     """Outcomes (id, seq, status, revision), equal to those of ``apply_attempts``.
 
@@ -64,9 +71,7 @@ def apply_linked(records: DataFrame, attempts: DataFrame) -> DataFrame:
     are joined by (id, seq).
     """
     asked = attempts.select("id", F.col("seq").cast("bigint").alias("seq"), F.col("expected").cast("double").alias("expected"))
-    repeated = asked.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
-    if repeated:
-        raise ValueError(f"{repeated[0]['id']!r} has two attempts of seq {repeated[0]['seq']}")
+    no_repeats(asked)
     won = accepted(records, asked).withColumn("__won", F.lit(True))
     tried = asked.join(won, ["id", "seq"], "left").select("id", "seq", F.when(F.col("__won"), F.col("expected").cast("bigint") + 1).alias("made"), F.lit(False).alias("__stored"))
     stored = first_match(records).select("id", F.lit(None).cast("bigint").alias("seq"), F.col("revision").cast("bigint").alias("made"), F.lit(True).alias("__stored"))

@@ -5,24 +5,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+from lodestream.operators.bodies import MOST_BYTES, classify_bodies
 from lodestream.operators.records import first_match
 
 
 def parse_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
-    """JSON bodies to attempts: adds ``bad`` (status 400), ``expected`` and ``content``.
-
-    A revision counts only as a JSON number; a string, null or none never
-    matches. Text that isn't JSON, and a bare primitive, are bad.
-    """
-    parsed = F.from_json(F.col(body), "revision DOUBLE, content STRING")
-    kind = F.schema_of_variant(F.try_parse_json(F.col(body)))
-    return (
-        requests.withColumn("_p", parsed)
-        .withColumn("bad", F.coalesce(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), F.lit(True)))
-        .withColumn("expected", F.col("_p.revision"))
-        .withColumn("content", F.col("_p.content"))
-        .drop("_p")
-    )
+    """JSON bodies to attempts: adds ``bad``, ``expected`` and ``content``, as ``classify_bodies`` reads them; bad is a body that is refused."""
+    return classify_bodies(requests, body).withColumn("bad", F.col("refused").isNotNull()).drop("refused")
 
 
 def apply_attempts(records: DataFrame, attempts: DataFrame, as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -80,11 +69,21 @@ def responses(records: DataFrame, attempts: DataFrame, as_of: str | None = None)
     return found.select("id", "seq", "status", error.alias("error"), F.when(F.col("status") == 200, record).alias("row"), F.when(F.col("status") == 409, record).alias("current"))
 
 
-def apply_bodies(records: DataFrame, requests: DataFrame) -> DataFrame:
-    """Outcomes (id, seq, status, revision) of requests (id, seq, body): 400 for a bad body, whatever its id, and else as ``apply_attempts`` gives them."""
-    parsed = parse_bodies(requests)
-    bad = parsed.where("bad").select("id", F.col("seq").cast("bigint").alias("seq"), F.lit(400).alias("status"), F.lit(None).cast("bigint").alias("revision"))
-    return bad.unionByName(apply_attempts(records, parsed.where("not bad").select("id", "seq", "expected", "content"))[0])
+def apply_bodies(records: DataFrame, requests: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Outcomes (id, seq, status, revision) of requests (id, seq, body).
+
+    Too large and malformed bodies are answered 413 and 400, whatever their id
+    (``classify_bodies``), a missing body 500, or 404 where there is no record;
+    all others as ``apply_attempts`` gives them.
+    """
+    seq = F.col("seq").cast("bigint").alias("seq")
+    parsed = classify_bodies(requests, most_bytes=most_bytes)
+    none = F.lit(None).cast("bigint").alias("revision")
+    bad = parsed.where("refused in (413, 400)").select("id", seq, F.col("refused").alias("status"), none)
+    known = first_match(records).where("id is not null").select("id", F.lit(True).alias("_hit")).distinct()
+    absent = parsed.where("refused = 500").join(known, "id", "left").select("id", seq, F.when(F.col("_hit"), 500).otherwise(404).alias("status"), none)
+    taken = parsed.where("refused is null").select("id", "seq", "expected", "content")
+    return bad.unionByName(absent).unionByName(apply_attempts(records, taken)[0])
 
 
 def _fold(batches):

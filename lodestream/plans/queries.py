@@ -11,7 +11,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import analyze, apply_attempts, apply_bodies, apply_linked, count_records, get_by_id, list_summaries, lookup, responses
+from lodestream.operators import (
+    analyze,
+    apply_attempts,
+    apply_bodies,
+    apply_linked,
+    conditional_lookup,
+    count_records,
+    get_by_id,
+    list_summaries,
+    lookup,
+    responses,
+)
+from lodestream.operators import analyze_delayed as answer_delayed
+from lodestream.operators import replay as answer_log
 from lodestream.sources import read_table
 from lodestream.streaming import revise_stream
 
@@ -99,12 +112,61 @@ def put_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def put_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequence as JSON bodies, of which one in four is cut off and one has its revision as a string."""
+    """The sequence as JSON bodies: some cut off, missing, too large for a limit of 64 KB, or with the revision as a string."""
     asked = _attempts(spark, sf_dir)
     number = F.to_json(F.struct(F.col("expected").alias("revision"), "content"))
     text = F.to_json(F.struct(F.col("expected").cast("string").alias("revision"), "content"))
-    body = F.when(F.col("seq") % 4 == 3, F.lit('{"revision":')).when(F.col("seq") % 4 == 2, text).otherwise(number)
-    return apply_bodies(_store(spark, sf_dir), asked.select("id", "seq", body.alias("body")))
+    body = (
+        F.when(F.col("seq") % 8 == 7, F.concat(number, F.repeat(F.lit(" "), 1 << 16)))
+        .when(F.col("seq") % 4 == 3, F.lit('{"revision":'))
+        .when(F.col("seq") % 4 == 2, text)
+        .when(F.col("seq") != 5, number)
+    )
+    return apply_bodies(_store(spark, sf_dir), asked.select("id", "seq", body.alias("body")), most_bytes=1 << 16)
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents as records of revision 0."""
+    docs = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.lit(0).cast("bigint").alias("revision"), F.col("text").alias("content"))
+
+
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as logs of writes, conditional reads and analyses, by turns, against the labelled documents."""
+    turn = F.col("turn").cast("bigint")
+    said = F.to_json(F.struct(F.col("text").alias("content")))
+    op = F.when(turn % 3 == 0, "PUT").when(turn % 3 == 1, "GET").otherwise("ANALYZE")
+    body = F.when(turn % 3 == 0, F.to_json(F.struct(F.floor(turn / 6).alias("revision"), F.col("text").alias("content")))).when(turn % 3 == 2, F.when(turn % 4 == 2, "{}").otherwise(said))
+    header = F.when(turn % 3 == 1, F.when(turn % 4 == 1, "x, W/1").otherwise("7"))
+    log = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), turn.alias("seq"), op.alias("op"), body.alias("body"), header.alias("if_none_match"))
+    answers = answer_log(_texts(spark, sf_dir), log)
+    return answers.select("id", "seq", "op", "status", "error", "etag", "revision", F.length("content").cast("bigint").alias("content_chars"), "lines")
+
+
+def analyze_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as writes and analyses 30 ms apart; answers take 100 ms for ids that end in 0, else 20."""
+    turn = F.col("turn").cast("bigint")
+    write = F.to_json(F.struct(F.floor(turn / 2).alias("revision"), F.col("text").alias("content")))
+    draft = F.when(turn % 4 == 1, "{}").otherwise(F.to_json(F.struct(F.col("text").alias("content"))))
+    log = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("id"), turn.alias("seq"), F.when(turn % 2 == 0, "PUT").otherwise("ANALYZE").alias("op"), (30 * turn).alias("at"), F.when(turn % 2 == 0, write).otherwise(draft).alias("body")
+    )
+    return answer_delayed(_texts(spark, sf_dir), log, F.when(F.col("id").endswith("0"), 100).otherwise(20))
+
+
+def get_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as records that share an id: each labelled id gets the first one stored."""
+    turns = read_table(spark, sf_dir, "conversations").select(F.col("turn").cast("bigint").alias("ord"), F.col("conv_id").alias("id"), (F.col("turn") + 3).cast("bigint").alias("revision"), "role", F.length("text").cast("bigint").alias("chars"))
+    return lookup(turns, read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+def get_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels read by every document's id, with headers that name any, a weak, another or no tag."""
+    key = F.col("doc_id")
+    header = F.when(key % 4 == 0, "*").when(key % 4 == 1, 'W/1 ,"2"').when(key % 4 == 2, "0,7").otherwise("")
+    keys = read_table(spark, sf_dir, "documents").select(key.alias("id"), header.alias("if_none_match"))
+    records = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("bigint").alias("revision"), "toxic")
+    return conditional_lookup(records, keys)
 
 
 def put_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +213,10 @@ QUERIES = {
     "put_conflict": put_conflict,
     "put_bodies": put_bodies,
     "put_sequence_links": put_sequence_links,
+    "replay": replay,
+    "analyze_delayed": analyze_delayed,
+    "get_first": get_first,
+    "get_conditional": get_conditional,
 }
 
 _CHAIN = """
@@ -199,7 +265,52 @@ ORACLES = {
         case status when 404 then 'not_found' when 409 then 'revision_conflict' end as error,
         case when status = 200 then revision end as row_revision, case when status = 200 then length(content) end::bigint as row_chars,
         case when status = 409 then revision end as current_revision, case when status = 409 then length(content) end::bigint as current_chars from r""",
-    "put_bodies": _CHAIN.replace("from conversations)", "from conversations where turn % 4 <> 3)").replace("floor(turn / 2) as", "case when turn % 4 = 2 then -1 else floor(turn / 2) end as")
+    "put_bodies": _CHAIN.replace("from conversations)", "from conversations where turn % 4 <> 3 and turn <> 5)").replace("floor(turn / 2) as", "case when turn % 4 = 2 then -1 else floor(turn / 2) end as")
     + """select conv_id::varchar as id, turn::bigint as seq, status::integer as status, revision from r
-        union all select conv_id::varchar, turn::bigint, 400, null from conversations where turn % 4 = 3""",
+        union all select conv_id::varchar, turn::bigint, case when turn = 5 then case when l.doc_id is null then 404 else 500 end when turn % 8 = 7 then 413 else 400 end::integer, null
+        from conversations left join labels l on conv_id = l.doc_id where turn % 4 = 3 or turn = 5""",
+    "replay": """
+with recursive a as (
+  select conv_id, turn, text, turn % 3 as k, floor(turn / 6) as expected, row_number() over (partition by conv_id order by turn) as step from conversations),
+s as (select doc_id, text from documents where doc_id in (select doc_id from labels)),
+r as (
+  select conv_id, turn, k, a.text as said, step, doc_id is not null as hit, k = 0 and expected = 0 as won,
+         case when doc_id is not null then (k = 0 and expected = 0)::bigint end as revision,
+         case when k = 0 and expected = 0 then coalesce(a.text, '') else s.text end as content
+  from a left join s on doc_id = conv_id where step = 1
+  union all
+  select a.conv_id, a.turn, a.k, a.text, a.step, r.hit, a.k = 0 and a.expected = r.revision,
+         r.revision + (a.k = 0 and a.expected = r.revision)::bigint,
+         case when a.k = 0 and a.expected = r.revision then coalesce(a.text, '') else r.content end
+  from r join a on a.conv_id = r.conv_id and a.step = r.step + 1),
+t as (select *, case when not hit then 404 when k = 0 and not won then 409 when k = 1 and turn % 4 = 1 and revision = 1 then 304 else 200 end as st from r)
+select conv_id::varchar as id, turn::bigint as seq, case k when 0 then 'PUT' when 1 then 'GET' else 'ANALYZE' end as op, st::integer as status,
+       case st when 404 then 'not_found' when 409 then 'revision_conflict' end as error, case when k = 1 and hit then revision::varchar end as etag, revision,
+       case when k < 2 and st in (200, 409) then length(content) end::bigint as content_chars,
+       case when k = 2 and hit then len(regexp_split_to_array(case when turn % 4 = 2 then content else coalesce(said, content) end, '\\r?\\n')) end::bigint as "lines"
+from t""",
+    "analyze_delayed": """
+with recursive a as (
+  select conv_id, turn, text, floor(turn / 2) as expected, row_number() over (partition by conv_id order by turn) as step from conversations where turn % 2 = 0),
+s as (select doc_id, text from documents where doc_id in (select doc_id from labels)),
+r as (
+  select conv_id, turn, step, expected = 0 as won, (expected = 0)::bigint as revision, coalesce(a.text, '') as said from a join s on doc_id = conv_id where step = 1
+  union all
+  select a.conv_id, a.turn, a.step, a.expected = r.revision, r.revision + (a.expected = r.revision)::bigint, coalesce(a.text, '') from r join a on a.conv_id = r.conv_id and a.step = r.step + 1),
+v as (
+  select *, lead(since) over (partition by id order by revision) as until from (
+    select conv_id as id, revision, said as content, 30 * turn as since from r where won union all select doc_id, 0, text, -1 from s)),
+q as (select conv_id, turn, text, 30 * turn + case when conv_id % 10 = 0 then 100 else 20 end as ready from conversations where turn % 2 = 1)
+select conv_id::varchar as id, turn::bigint as seq, case when v.id is null then 404 else 200 end::integer as status, case when v.id is null then 'not_found' end as error, ready::bigint as ready, revision,
+       case when v.id is not null then len(regexp_split_to_array(case when turn % 4 = 1 then content else coalesce(text, content) end, '\\r?\\n')) end::bigint as "lines"
+from q left join v on v.id = conv_id and ready >= since and (until is null or ready < until)""",
+    "get_first": """
+select doc_id as id, case when c.conv_id is null then 404 else 200 end::integer as status, case when c.conv_id is null then 'not_found' end as error,
+       turn::bigint as ord, (turn + 3)::bigint as revision, role, length(text)::bigint as chars, (turn + 3)::varchar as etag
+from labels left join (select * from conversations qualify row_number() over (partition by conv_id order by turn) = 1) c on c.conv_id = doc_id""",
+    "get_conditional": """
+select d.doc_id as id, case d.doc_id % 4 when 0 then '*' when 1 then 'W/1 ,"2"' when 2 then '0,7' else '' end as if_none_match,
+       case when l.doc_id is null then 404 when fresh then 304 else 200 end::integer as status, case when l.doc_id is null then 'not_found' end as error,
+       case when not fresh then quality end::bigint as revision, case when not fresh then toxic end as toxic, quality::varchar as etag
+from documents d left join (select *, case doc_id % 4 when 0 then true when 1 then quality = 1 when 2 then quality = 0 else false end as fresh from labels) l on l.doc_id = d.doc_id""",
 }
