@@ -4,10 +4,6 @@ Documents serve as records, conversations as update attempts (their turn is the
 order) and labels as the records that those attempts meet.
 """
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +22,8 @@ from lodestream.operators import (
 from lodestream.operators import analyze_delayed as answer_delayed
 from lodestream.operators import replay as answer_log
 from lodestream.sources import read_table
-from lodestream.streaming import revise_stream
+from lodestream.sources.shared import new_path
+from lodestream.streaming import keyed_state, revise_in_order, revise_stream
 
 
 def bootstrap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +168,7 @@ def get_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def put_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same attempts as a stream."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestream-")
-    out = os.path.join(base, f"put-stream-{uuid.uuid4().hex}")
+    out = new_path(spark, "put-stream")
     table = f"{sf_dir}/conversations.parquet"
     schema = spark.read.parquet(table).schema
     # a single file is read by its folder and a name filter
@@ -193,6 +189,27 @@ def put_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("id string, seq bigint, status int, revision bigint").parquet(f"{out}/rows")
 
 
+def put_stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence as a stream that is out of order and is stopped half-way: both halves hold early and late turns of an id."""
+    feed, out = new_path(spark, "attempts"), new_path(spark, "put-stream-ordered")
+    late = F.pmod(F.xxhash64("id", "seq"), F.lit(2))
+    attempts = _attempts(spark, sf_dir).select("id", "seq", "expected", F.timestamp_seconds(F.col("seq") + 1).alias("at"))
+    clock = spark.range(1).select(F.lit(None).cast("string").alias("id"), F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("expected"), F.timestamp_seconds(F.lit(10**10)).alias("at"))
+    for rows in (attempts.where(late == 0), attempts.where(late == 1).unionByName(clock)):
+        rows.repartition(2).write.mode("append").parquet(feed)
+        with keyed_state(spark):
+            query = (
+                revise_in_order(spark.readStream.schema(attempts.schema).parquet(feed), _store(spark, sf_dir), delay="3650 days")
+                .writeStream.format("parquet")
+                .option("path", f"{out}/rows")
+                .option("checkpointLocation", f"{out}/state")
+                .trigger(availableNow=True)
+                .start()
+            )
+        query.awaitTermination()
+    return spark.read.schema("id string, seq bigint, status int, revision bigint").parquet(f"{out}/rows")
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -215,6 +232,7 @@ QUERIES = {
     "put_sequence_links": put_sequence_links,
     "replay": replay,
     "analyze_delayed": analyze_delayed,
+    "put_stream_ordered": put_stream_ordered,
     "get_first": get_first,
     "get_conditional": get_conditional,
 }
@@ -259,6 +277,7 @@ ORACLES = {
         from labels l left join (select * from r qualify row_number() over (partition by conv_id order by step desc) = 1) e on e.conv_id = l.doc_id""",
     "put_stream": _OUTCOMES,
     "put_sequence_links": _OUTCOMES,
+    "put_stream_ordered": _OUTCOMES,
     "get_one": "select * from documents where doc_id = 7",
     "put_conflict": _CHAIN
     + """select conv_id::varchar as id, turn::bigint as seq, status::integer as status,
