@@ -1,7 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
-Texts and benchmark items are cut into runs of letters and digits; numbers,
-units behind a number, and names become typed placeholders. Windows of the
+Texts and benchmark items are cut into runs of letters and digits; whole numbers,
+units behind a number, and names become typed placeholders (a word that holds
+a digit, as h2o, is none of these). Windows of the
 placeholder texts are hash-joined. A copy with other numbers or names still
 matches, and its slots tell whether it is one: along an alignment, each value
 of the item has to stand for one value of the text throughout, and no two for
@@ -13,6 +14,15 @@ plain form names stay, in lower case, so that a copy in other case is found; in
 the named form a run of capitalised words inside a sentence is one name, and in
 the opening form so is one that opens a sentence. Each form matches with itself
 only, and places are counted in its own tokens.
+
+Templates with fewer literals than placeholders, and short ones, are common in
+any text, so their windows are dropped but in the literal form. An item of at most a
+window's length that loses its windows so is looked for as a whole: as the run
+of sentences that it is, with at least one literal and three tokens.
+
+A window that many items share, as a sentence of theirs, would pair every
+document that has it with all of them. It only helps to verify documents that
+a rarer window of the item has found, where such windows alone can't cover the item.
 """
 
 import numpy as np
@@ -36,14 +46,18 @@ WINDOW = 8
 COVER = 13
 #: Share of slots that have to agree along an alignment.
 CONSISTENT = 0.8
-#: Items of fewer tokens are too common a phrase to tell a copy with other values by.
+#: Items of fewer tokens are too common a phrase to tell a copy with other values by, but as whole sentences.
 LEAST = 5
+#: Items that may share a window before it no longer finds documents by itself.
+SHARED = 8
 #: Benchmark windows up to which their hashes are sent to the tasks, 8 bytes each.
 SENT = 2_000_000
 
 NUM, UNIT, NAME = (np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in (1, 2, 3))
 HITS = "doc_id bigint, h bigint, form int, pos bigint, window bigint, slots array<bigint>"
 LITERAL, PLAIN, NAMED, OPENING = range(4)
+#: Added to a form for windows that are whole sentences and a whole item.
+WHOLE = 4
 
 _BYTES = np.arange(256)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
@@ -82,8 +96,9 @@ def tokens(part: np.ndarray, bounds: np.ndarray, places: bool = False):
     value = word_hashes(_LOWER[part], starts, ends)
     if places:
         return row, value, starts
-    digits = np.r_[0, np.cumsum(digit)]
-    number = digits[ends] > digits[starts]
+    digits, letters = np.r_[0, np.cumsum(digit)], np.r_[0, np.cumsum(_WORD[part] & ~digit)]
+    has_digit = digits[ends] > digits[starts]
+    number = has_digit & (letters[ends] == letters[starts])
     unit = np.zeros(len(value), bool)
     if len(value):
         at = np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)
@@ -92,7 +107,7 @@ def tokens(part: np.ndarray, bounds: np.ndarray, places: bool = False):
     opens = np.ones(len(value), bool)
     opens[1:] = (row[1:] != row[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
     plain = np.where(number, NUM, np.where(unit, UNIT, np.uint64(0)))
-    name = _UPPER[part[starts]] & (plain == 0) if len(value) else opens
+    name = _UPPER[part[starts]] & (plain == 0) & ~has_digit if len(value) else opens
     return row, value, np.where(name & ~opens, NAME, plain), plain, np.where(name, NAME, plain), opens
 
 
@@ -124,7 +139,8 @@ def windows(column, sizes: dict[int, list[int]], known: np.ndarray | None = None
     """Yields (row, form, place, window hash, slots, openers, first and end place in the text) of the windows of each form's sizes.
 
     But for the literal form these are windows with as many literals as
-    placeholders or more. ``known``: sorted hashes to which the windows are
+    placeholders or more; for forms from ``WHOLE`` on, windows that begin and
+    end with a sentence and have a literal. ``known``: sorted hashes to which the windows are
     kept. Slots are value hashes, 0 for a literal; an opener is a slot that
     opens a sentence.
     """
@@ -135,21 +151,26 @@ def windows(column, sizes: dict[int, list[int]], known: np.ndarray | None = None
             head = np.searchsorted(row, np.arange(hi - lo))
             mixed = mix(np.where(kind == 0, value, kind))
             literal = np.r_[0, np.cumsum(kind == 0)]
-            for size in sizes.get(form, []):
+            closes = np.r_[(row[1:] != row[:-1]) | opens[1:], np.ones(min(1, len(row)), bool)]
+            for tag, size in [(t, n) for t in (form, form + WHOLE) for n in sizes.get(t, [])]:
                 m = len(value) - size + 1
                 if m <= 0:
                     continue
                 whole = row[:m] == row[size - 1 :]
-                acc = np.full(m, np.uint64(size * 4 + form), np.uint64)
+                acc = np.full(m, np.uint64(size * 8 + tag), np.uint64)
                 for k in range(size):
                     acc = acc * np.uint64(0xD1342543DE82EF95) + mixed[k : k + m]
                 acc = mix(acc)
-                keep = whole & ((form == LITERAL) | (2 * (literal[size:] - literal[:m]) >= size))
+                literals = literal[size:] - literal[:m]
+                if tag >= WHOLE:
+                    keep = whole & opens[:m] & closes[size - 1 :] & (literals > 0)
+                else:
+                    keep = whole & ((form == LITERAL) | (2 * literals >= size))
                 if known is not None:
                     keep &= known[np.minimum(np.searchsorted(known, acc), len(known) - 1)] == acc if len(known) else False
                 for i in np.flatnonzero(keep).tolist():
                     slots = np.where(kind[i : i + size] == 0, np.uint64(0), value[i : i + size]).view(np.int64)
-                    yield lo + int(row[i]), form, i - int(head[row[i]]), int(acc[i : i + 1].view(np.int64)[0]), slots.tolist(), opens[i : i + size].tolist(), int(at[i]), int(end[i + size - 1])
+                    yield lo + int(row[i]), tag, i - int(head[row[i]]), int(acc[i : i + 1].view(np.int64)[0]), slots.tolist(), opens[i : i + size].tolist(), int(at[i]), int(end[i + size - 1])
 
 
 def token_counts(column) -> np.ndarray:
@@ -175,11 +196,19 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item
             counts = token_counts(column)
             # an item below LEAST tokens is looked for as it stands alone
             size_of = np.minimum(window, np.where((counts[:, [LITERAL]] >= LEAST) | (np.arange(4) == LITERAL), counts, 0))
+            found = set()
             for form in range(4):
                 for size in np.unique(size_of[:, form]).tolist():
                     for row, _, pos, key, slots, opens, at, end in windows(column, {form: [size]}) if size else ():
                         if size_of[row, form] == size:
+                            found.add((row, form))
                             out.append((batch.column("id")[row].as_py(), int(counts[row, LITERAL]), form, size, pos, key, slots, opens, at, end))
+            # items of a window's length at most without one in a form: as whole sentences
+            for form in range(1, 4):
+                for size in range(3, window + 1):
+                    for row, tag, pos, key, slots, opens, at, end in windows(column, {form + WHOLE: [size]}):
+                        if counts[row, form] == size and (row, form) not in found:
+                            out.append((batch.column("id")[row].as_py(), int(counts[row, LITERAL]), tag, size, pos, key, slots, opens, at, end))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64())
                 names = ["item_id", "item_tokens", "form", "size", "item_pos", "window", "item_slots", "item_opens", "item_at", "item_end"]
@@ -196,7 +225,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     apart; repeated rows give one. An item is held if, in one form and along one
     alignment, consistent windows cover ``cover`` of its tokens, or all if it
     has fewer. Null and empty texts hold nothing; of items below ``LEAST``
-    tokens only verbatim copies count; empty tables give an empty one. If the
+    tokens only verbatim copies and whole sentences count; empty tables give an
+    empty one. If the
     benchmark has at most ``sent`` windows, tasks keep only document windows
     with a known hash before the join; beyond that all windows are joined.
     """
@@ -224,9 +254,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("body"))
     hits = rows.mapInArrow(run, HITS)
+    finding, verifying = _by_rarity(items, cover)
+    told = ["doc_id", "h", "item_id", "item_tokens", "form", "pos", "item_pos", "slots", "item_slots", "item_opens", "item_at", "item_end"]
+    some = not verifying.isEmpty()
+    if some:
+        hits = materialise(hits, "hits")
     # repeated rows of a document would only repeat its hits
-    joined = hits.join(items, ["form", "window"]).select("doc_id", "h", "item_id", "item_tokens", "form", "pos", "item_pos", "slots", "item_slots", "item_opens", "item_at", "item_end").distinct()
-    aligned = materialise(joined.withColumn("shift", F.col("pos") - F.col("item_pos")), "aligned")
+    joined = hits.join(finding, ["form", "window"]).select(*told).distinct().withColumn("shift", F.col("pos") - F.col("item_pos"))
+    if some:
+        joined = materialise(joined, "found")
+        met = joined.select("doc_id", "h", "item_id", "shift").distinct().alias("m").join(verifying.alias("v"), F.col("m.item_id").eqNullSafe(F.col("v.item_id")))
+        met = met.select("m.doc_id", "m.h", "m.item_id", "m.shift", "v.item_tokens", "v.form", "v.window", "v.item_pos", "v.item_slots", "v.item_opens", "v.item_at", "v.item_end")
+        there = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.form") == F.col("y.form")) & (F.col("x.window") == F.col("y.window")) & (F.col("x.item_pos") + F.col("x.shift") == F.col("y.pos"))
+        own = {"slots": "y.slots", "pos": "y.pos"}
+        more = met.alias("x").join(hits.alias("y"), there).select(*(own.get(c, f"x.{c}") for c in told), "x.shift").distinct()
+        joined = joined.unionByName(more)
+    aligned = materialise(joined, "aligned")
     key = ["doc_id", "h", "item_id", "shift"]
     # a slot seen from several windows is one slot; a word that opens a sentence in both is none
     slot = F.explode(F.filter(F.transform(F.arrays_zip("slots", "item_slots", "item_opens"), lambda s, i: F.struct((F.col("item_pos") + i).alias("at"), s["slots"].alias("v"), s["item_slots"].alias("w"), s["item_opens"].alias("o"))), lambda s: (s["v"] != 0) & ~(s["o"] & (s["v"] == s["w"]))))
@@ -240,11 +283,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     checked = aligned.alias("a").join(agreed.alias("g"), _all(same("a", "g")), "left").where((F.col("form") == LITERAL) | (F.coalesce(F.col("share"), F.lit(1.0)) >= CONSISTENT))
     checked = checked.select("a.*", F.when(F.col("form") != LITERAL, F.col("other")).alias("other"))
     along = checked.groupBy(*key, "form").agg(F.max("item_tokens").alias("item_tokens"), F.array_sort(F.collect_set(F.struct("item_at", "item_end"))).alias("at"), F.max(F.coalesce("other", F.lit(0))).alias("other"))
-    covered = F.expr("aggregate(at, named_struct('n', 0L, 'to', 0L), (s, x) -> named_struct('n', s.n + greatest(0L, x.item_end - greatest(s.to, x.item_at)), 'to', greatest(s.to, x.item_end)), s -> s.n)")
-    held = along.withColumn("covered", covered).where(F.col("covered") >= F.least(F.lit(cover), F.col("item_tokens")))
+    held = along.withColumn("covered", F.expr(COVERED)).where(F.col("covered") >= F.least(F.lit(cover), F.col("item_tokens")))
     return held.groupBy("doc_id", "h", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), (F.max("other") == 1).alias("reparameterised"))
 
 
+#: Places that spans ``at``, in ascending order, cover.
+COVERED = "aggregate(at, named_struct('n', 0L, 'to', 0L), (s, x) -> named_struct('n', s.n + greatest(0L, x.item_end - greatest(s.to, x.item_at)), 'to', greatest(s.to, x.item_end)), s -> s.n)"
+
+
+def _by_rarity(items: DataFrame, cover: int) -> tuple[DataFrame, DataFrame]:
+    """Item windows that find documents, and those that only verify what others found.
+
+    The latter are shared by more than SHARED items, and are of an item and form whose shared
+    windows together cover too little to hold it, so a document that holds it has another one.
+    """
+    shared = items.select("form", "window", "item_id").distinct().groupBy("form", "window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARED).select("form", "window", F.lit(True).alias("shared"))
+    marked = materialise(items.join(shared, ["form", "window"], "left"), "item-windows")
+    spans = F.array_sort(F.collect_set(F.struct("item_at", "item_end"))).alias("at")
+    whole = marked.where("shared").groupBy("item_id", "form").agg(spans, F.min("item_tokens").alias("item_tokens")).withColumn("reach", F.expr(COVERED))
+    short = whole.where(F.col("reach") < F.least(F.lit(cover), F.col("item_tokens"))).select(F.col("item_id").alias("__item"), F.col("form").alias("__form"))
+    same = F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("form") == F.col("__form"))
+    verifying = marked.where("shared").join(short, same, "left_semi").drop("shared")
+    finding = marked.where("shared is null").drop("shared").unionByName(marked.where("shared").join(short, same, "left_anti").drop("shared"))
+    return finding, verifying
+
+
 def _all(conditions):
     out = conditions[0]
     for c in conditions[1:]:

@@ -5,6 +5,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from lodestream.llm import decontaminate
 from lodestream.llm.decontaminate import UNITS, drop_leaks, flag_leaks
 from lodestream.llm.registry import QUERIES
 
@@ -60,7 +61,44 @@ def found(spark, items, docs):
 def test_verbatim_copies_of_numbers_and_short_items(spark):
     items = [(1, "What is 345 + 128 - 57 + 99 - 13 + 6?"), (2, "Which number comes next in 2, 4, 8, 16, 32, 64, 128?"), (3, "Name three primes"), (4, "7 * 8 = 56")]
     docs = [(i, PAD + text + " " + PAD) for i, text in items] + [(5, PAD + "What is 1 + 2 - 3 + 4 - 5 + 7?"), (6, "Name three rivers"), (7, PAD)]
-    assert found(spark, items, docs) == {**{i: ([i], False) for i, _ in items}, 5: ([], False), 6: ([], False), 7: ([], False)}
+    # 5 is a whole sentence of an item's template, with one value for each of its values
+    assert found(spark, items, docs) == {**{i: ([i], False) for i, _ in items}, 5: ([1], True), 6: ([], False), 7: ([], False)}
+
+
+def test_number_heavy_and_short_items_with_other_values(spark):
+    items = [(1, "What is 345 + 128 - 57 + 99 - 13 + 6?"), (2, "Solve 3 x + 7 = 22"), (3, "Compute 12 * 7"), (4, "Tom has 5 apples"), (5, "7 * 8 = 56")]
+    docs = [
+        (1, PAD + "What is 1 + 2 - 3 + 4 - 5 + 7? " + PAD), (2, "Solve 4 x + 9 = 33"), (3, PAD + "Compute 13 * 8. " + PAD), (4, "Anna has 9 apples. " + PAD),
+        (5, "What is 1 + 1 - 1 + 4 - 5 + 7?"), (6, "then Solve 4 x + 9 = 33"), (7, "Anna has 9 apples and more"), (8, "3 * 9 = 27"), (9, PAD + "we compute 13 * 8. "),
+    ]
+    assert found(spark, items, docs) == {1: ([1], True), 2: ([2], True), 3: ([3], True), 4: ([4], True), **{i: ([], False) for i in range(5, 10)}}
+
+
+def test_words_that_hold_digits_are_no_numbers(spark):
+    said = "the quick code that we use for all of our parts is"
+    items = [(i, f"{said} q{1000 + i} and then {chr(97 + i)} x{7 * i} in row {chr(97 + i) * 3}") for i in range(6)]
+    docs = [(i, f"{said} q{2000 + i} and then {chr(107 + i)} x{9 * i + 5} in row {chr(107 + i) * 3}") for i in range(6)] + [(9, items[2][1])]
+    assert found(spark, items, docs) == {**{i: ([], False) for i in range(6)}, 9: ([2], False)}
+
+
+def test_a_sentence_that_items_share_pairs_no_document_with_all_of_them(spark, monkeypatch):
+    rng, said = random.Random(6), "this is the one sentence that all of them begin with"
+    own = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(14))
+    items = [(i, f"{said} {own()}") for i in range(60)]
+    docs = [(i, f"{said} {own()}") for i in range(60)] + [(100 + i, items[i][1]) for i in range(3)] + [(200, said)]
+    written, inner = {}, decontaminate.materialise
+
+    def spy(df, name):
+        out = inner(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialise", spy)
+    assert found(spark, items, docs) == {**{i: ([], False) for i in range(60)}, **{100 + i: ([i], False) for i in range(3)}, 200: ([], False)}
+    assert written["aligned"] < 300
+    # a passage long enough to hold an item holds all that share it
+    long = said + " and go on with for quite some more"
+    assert found(spark, [(i, f"{long} {own()}") for i in range(12)], [(1, long)]) == {1: (list(range(12)), False)}
 
 
 def test_names_that_open_and_names_of_several_words(spark):
@@ -93,10 +131,10 @@ def slow_forms(text):
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
     out, end, before = [], 0, False
     for m in TOKEN.finditer(text or ""):
-        value, number = lower(m[0]), bool(re.search("[0-9]", m[0]))
+        value, number = lower(m[0]), bool(re.fullmatch("[0-9.,]+", m[0]))
         opens = not out or bool(re.search("[\n\r!.:?]", text[end : m.start()]))
         kind = "number" if number else "unit" if before and value in UNITS else ""
-        out.append((value, kind, opens, "A" <= m[0][0] <= "Z" and not kind))
+        out.append((value, kind, opens, "A" <= m[0][0] <= "Z" and not re.search("[0-9]", value)))
         end, before = m.end(), number
     by = {0: [(v, "", o, i, i + 1) for i, (v, _, o, _) in enumerate(out)], 1: [(v, k, o, i, i + 1) for i, (v, k, o, _) in enumerate(out)]}
     for form in (2, 3):
@@ -136,14 +174,17 @@ def slow_hits(doc, item, window=8, cover=13):
     shifts, slots = {}, {}
     for form, own in items.items():
         size = min(window, len(own))
-        if not size or (total < 5 and form) or form not in texts:
+        if not size or form not in texts:
             continue
         said = texts[form]
-        for i in range(len(own) - size + 1):
-            a = own[i : i + size]
-            if form and 2 * sum(not k for _, k, *_ in a) < size:
-                continue
+        parts = [own[i : i + size] for i in range(len(own) - size + 1)]
+        kept = [i for i, a in enumerate(parts) if not form or (total >= 5 and 2 * sum(not k for _, k, *_ in a) >= size)]
+        alone = not kept and size == len(own) >= 3 and any(not k for _, k, *_ in own)
+        for i in kept or ([0] if alone else []):
+            a = parts[i]
             for j in places(doc, form, size).get(template(a), ()):
+                if alone and not (said[j][2] and (j + size == len(said) or said[j + size][2])):
+                    continue
                 shifts.setdefault((form, j - i), set()).update(range(own[i][3], own[i + size - 1][4]))
                 mine = {(i + k, said[j + k][0], own[i + k][0]) for k in range(size) if own[i + k][1] and not (own[i + k][2] and own[i + k][0] == said[j + k][0])}
                 slots.setdefault(j - i, set()).update(mine)
