@@ -12,7 +12,7 @@ from lodestream.llm.licenses import scan_licenses
 from lodestream.llm.lm_score import score_texts
 from lodestream.llm.near_dedup import near_duplicates
 from lodestream.llm.packing import cut_pieces, pack
-from lodestream.llm.quality import ledger, passes
+from lodestream.llm.quality import POLICIES, RULES, ablations, ledger, mask, passes
 from lodestream.llm.secrets import count_kind, find_secrets, span_text
 from lodestream.llm.shared import materialise
 from lodestream.llm.token_counts import count_tokens
@@ -53,6 +53,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passes()).alias("kept"), "failure_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy and rule, what the rule rejects and what it alone rejects."""
+    return ablations(ledger(table(spark, sf_dir, "documents")).select("failure_bits"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -107,6 +112,7 @@ QUERIES = {
     "op11_ball_kmeans": op11_ball_kmeans,
     "op12_lexical_search": op12_lexical_search,
     "op13_toxicity": op13_toxicity,
+    "quality_ablations": quality_ablations,
 }
 
 _QUALITY = r"""
@@ -167,6 +173,17 @@ from a{rounds} a join kept using (r) join (select c, sha256(string_agg(x::varcha
     )
 
 
+_POLICIES = ", ".join(f"({v}, '{r}', {1 << RULES[r][0]}, {mask(rules)})" for v, rules in POLICIES.items() for r in rules)
+
+_ABLATIONS = (
+    _QUALITY.replace("select doc_id, n_words, word_chars", ", f as (select doc_id, n_words, word_chars")
+    + f""")
+select p.version::integer as version, p.rule, count(*) as documents, count(*) filter (failure_bits & p.mask = 0) as kept,
+       count(*) filter (failure_bits & p.bit <> 0) as failing, count(*) filter (failure_bits & p.mask = p.bit) as only_this
+from f, (values {_POLICIES}) p(version, rule, bit, mask) group by p.version, p.rule
+"""
+)
+
 _SEARCH = r"""
 with fold as (select doc_id, row_number() over () as d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 words as (select doc_id, d, unnest(regexp_extract_all(t, '[0-9a-z\x{80}-\x{10FFFF}]+')) as term from fold),
@@ -184,4 +201,4 @@ select item_id, (row_number() over (partition by item_id order by score desc, do
 from scores where score > 0 qualify "rank" <= 10
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY, "op11_ball_kmeans": _kmeans_sql(), "op12_lexical_search": _SEARCH}
+ORACLES: dict[str, str] = {"op5_quality_rules": _QUALITY, "op11_ball_kmeans": _kmeans_sql(), "op12_lexical_search": _SEARCH, "quality_ablations": _ABLATIONS}

@@ -142,3 +142,12 @@ def test_no_python_in_native_plans(spark, sf_dir):
     for name in ("op5_quality_rules", "op9_secret_scan"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_ablations_agree_with_sql(spark, sf_dir):
+    assert spark_rows(QUERIES["quality_ablations"](spark, sf_dir)) == oracle_rows(sf_dir, ORACLES["quality_ablations"])
+
+
+def test_ledger_replaces_its_columns_in_any_case(spark):
+    frame = spark.createDataFrame([(1, "one two", 7)], "doc_id bigint, text string, N_WORDS int")
+    assert [r["n_words"] for r in ledger(frame).collect()] == [2]

@@ -96,3 +96,21 @@ def test_each_stage_takes_odd_rows(spark, sf_dir):
             assert {r["doc_id"]: r["n_chars"] for r in got}[9] == len("<secret> " + good_text + "nine again")
         else:
             assert sum(r["doc_id"] is None for r in got) == 1 and len(got) == len(rows)
+
+
+def test_user_columns_come_back_as_they_were(spark, sf_dir):
+    """Columns that operators use names of, in any case, also beside each other."""
+    text = "Plain words of a document that every rule lets pass, with password=abcdefgh1 in it, number "
+    names = ["doc_id", "text", "n_words", "N_WORDS", "base", "spans", "failure_bits", "__key", "__own", "h", "__u0", "TEXT"]
+    rows = [(i, text + chr(97 + i) * 5, f"w{i}", i, "b", "s", 1.5, "k", "o", True, "u", "other") for i in range(3)]
+    frame = spark.createDataFrame([tuple(r) for r in rows], "doc_id bigint, text string, a string, b int, c string, d string, e double, f string, g string, h boolean, i string, j string").toDF(*names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, frame, sf_dir)
+        assert got.columns == names
+        found = sorted((tuple(r) for r in got.collect()), key=lambda r: r[0])
+        assert [r[0] for r in found] == ([0] if name == "near-duplicate removal" else [0, 1, 2])
+        assert [r[2:] for r in found] == [rows[r[0]][2:] for r in found]
+        if name == "secret redaction":
+            assert all("<secret>" in r[1] and "abcdefgh1" not in r[1] and r[1].startswith(text[:50]) for r in found)
+        else:
+            assert [r[1] for r in found] == [rows[r[0]][1] for r in found]
