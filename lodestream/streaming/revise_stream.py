@@ -1,8 +1,10 @@
 """Conditional updates over a stream of attempts.
 
 State per id: the current revision. Attempts of one micro-batch are applied in
-ascending seq, batches in order of arrival. Of the attempts that an id has in
-a batch, 16 bytes each are held to sort them; outcomes are given in pieces.
+ascending seq, batches in order of arrival; ``revise_in_order`` applies them in
+order of seq over all batches. Of the attempts that an id has in a batch, 16
+bytes each are held to sort them; outcomes are given in pieces. A seq that is
+repeated within a batch raises; over batches that isn't noticed.
 """
 
 import numpy as np
@@ -28,6 +30,9 @@ def _step(key, frames, state):
         named.append(frame["expected"].to_numpy(np.float64))
     seqs, named = np.concatenate(seqs), np.concatenate(named)
     order = np.argsort(seqs, kind="stable")
+    repeated = np.flatnonzero(np.diff(seqs[order]) == 0)
+    if len(repeated):
+        raise ValueError(f"{key[0]!r} has two attempts of seq {seqs[order][repeated[0]]}")
     for lo in range(0, len(order), PIECE):
         status, after, part = [], [], order[lo : lo + PIECE]
         for expected in named[part].tolist():

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.plans import QUERIES
-from lodestream.streaming import keyed_state, revise_in_order
+from lodestream.streaming import keyed_state, revise_in_order, revise_stream
 from tests.compare import spark_rows
 
 SCHEMA = "id string, seq bigint, expected double, at timestamp"
@@ -54,5 +54,15 @@ def test_a_repeated_attempt_raises(spark, tmp_path):
         feed.run()
 
 
+def test_a_repeat_in_a_batch_raises_in_order_of_arrival(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, 0.0), ("a", 0, 1.0)], "id string, seq bigint, expected double")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    records = spark.createDataFrame([("a", 0)], "id string, revision bigint")
+    query = revise_stream(stream, records).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="two attempts"):
+        query.awaitTermination()
+
+
 def test_of_the_tables_as_the_sequence(spark, sf_dir):
     assert spark_rows(QUERIES["put_stream_ordered"](spark, sf_dir)) == spark_rows(QUERIES["put_sequence"](spark, sf_dir))
