@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lodestream.llm import near_dedup
 from lodestream.llm.near_dedup import near_duplicates
 from lodestream.llm.registry import QUERIES
 from lodestream.llm.shingles import Circulant, shingle_sets
@@ -115,3 +116,25 @@ def test_many_near_misses_of_one_text(spark):
     for block in (256, 16):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(frame, block=block).collect()}
         assert got == brute(rows)
+
+
+def test_sets_of_long_near_misses_move_once(spark, monkeypatch):
+    """Long texts that nearly match share thousands of rare shingles; their whole sets go to one cell each."""
+    rng = random.Random(8)
+    base, rows = [f"b{i}" for i in range(2000)], []
+    for i in range(12):
+        text = list(base)
+        for p in rng.sample(range(2000), 34 if i else 30):
+            text[p] = f"o{i}x{p}"
+        rows.append((i, " ".join(text)))
+    met, inner = [], near_dedup._cells
+
+    def spy(members, *args, whole):
+        if whole:
+            met.append(members.count())
+        return inner(members, *args, whole=whole)
+
+    monkeypatch.setattr(near_dedup, "_cells", spy)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows)
+    assert met and max(met) <= 12
