@@ -90,6 +90,23 @@ def replay(records: DataFrame, requests: DataFrame) -> DataFrame:
     return full.unionByName(rest).select("id", "seq", "op", "status", error.alias("error"), etag.alias("etag"), "revision", "content", "lines")
 
 
+def list_at(records: DataFrame, requests: DataFrame, place: int) -> DataFrame:
+    """What a list request is answered before the request ``place`` of a log: every stored record without its content, with the revision then in force.
+
+    requests as for ``replay``, with seq as the order over all ids. All records
+    are listed, in no order (``ord`` gives theirs); of those that share an id
+    only the first is written to. Only writes before ``place`` are read.
+    """
+    parsed = _parsed(requests.where((F.upper("op") == "PUT") & (F.col("seq") < place)))
+    no_repeats(parsed)
+    last = _written(records, parsed).where("made is not null").groupBy("id").agg(F.max("made").alias("__made"))
+    one = ["id", *(["ord"] if "ord" in records.columns else [])]
+    changed = last.join(first_match(records).select(*one), "id")
+    summaries = [c for c in records.columns if c != "content"]
+    revision = F.coalesce("__made", F.col("revision").cast("bigint")).alias("revision")
+    return records.select(*summaries).join(changed, one, "left").select(*(revision if c == "revision" else c for c in summaries))
+
+
 def analyze_delayed(records: DataFrame, requests: DataFrame, delay: Column) -> DataFrame:
     """Analyses that are answered some time after they arrive: id, seq, status, error, ready, revision, lines.
 

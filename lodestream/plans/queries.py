@@ -20,6 +20,7 @@ from lodestream.operators import (
     responses,
 )
 from lodestream.operators import analyze_delayed as answer_delayed
+from lodestream.operators import list_at as list_before
 from lodestream.operators import replay as answer_log
 from lodestream.sources import read_table
 from lodestream.sources.shared import new_path
@@ -140,6 +141,13 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("id", "seq", "op", "status", "error", "etag", "revision", F.length("content").cast("bigint").alias("content_chars"), "lines")
 
 
+def list_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of labelled records as it stands before turn 5 of all conversations, taken as one log."""
+    asked = _attempts(spark, sf_dir)
+    body = F.to_json(F.struct(F.col("expected").alias("revision"), "content"))
+    return list_before(_store(spark, sf_dir), asked.select("id", "seq", F.lit("PUT").alias("op"), body.alias("body")), 5)
+
+
 def analyze_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as writes and analyses 30 ms apart; answers take 100 ms for ids that end in 0, else 20."""
     turn = F.col("turn").cast("bigint")
@@ -231,6 +239,7 @@ QUERIES = {
     "put_bodies": put_bodies,
     "put_sequence_links": put_sequence_links,
     "replay": replay,
+    "list_at": list_at,
     "analyze_delayed": analyze_delayed,
     "put_stream_ordered": put_stream_ordered,
     "get_first": get_first,
@@ -323,6 +332,9 @@ q as (select conv_id, turn, text, 30 * turn + case when conv_id % 10 = 0 then 10
 select conv_id::varchar as id, turn::bigint as seq, case when v.id is null then 404 else 200 end::integer as status, case when v.id is null then 'not_found' end as error, ready::bigint as ready, revision,
        case when v.id is not null then len(regexp_split_to_array(case when turn % 4 = 1 then content else coalesce(text, content) end, '\\r?\\n')) end::bigint as "lines"
 from q left join v on v.id = conv_id and ready >= since and (until is null or ready < until)""",
+    "list_at": _CHAIN
+    + """select l.doc_id::varchar as id, coalesce(e.revision, 0)::bigint as revision
+        from labels l left join (select * from r where turn < 5 qualify row_number() over (partition by conv_id order by step desc) = 1) e on e.conv_id = l.doc_id""",
     "get_first": """
 select doc_id as id, case when c.conv_id is null then 404 else 200 end::integer as status, case when c.conv_id is null then 'not_found' end as error,
        turn::bigint as ord, (turn + 3)::bigint as revision, role, length(text)::bigint as chars, (turn + 3)::varchar as etag

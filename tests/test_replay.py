@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import line_count
-from lodestream.operators import analyze_delayed, apply_bodies, classify_bodies, conditional_lookup, etag_matches, replay
+from lodestream.operators import analyze_delayed, apply_bodies, classify_bodies, conditional_lookup, etag_matches, list_at, replay
 from lodestream.operators.bodies import MOST_BYTES, number_text, value_text
 from lodestream.sources import SnapshotStore, seed_records
 
@@ -86,6 +86,17 @@ def test_replay_of_nothing(spark):
         replay(seed_records(spark), log.union(log)).collect()
 
 
+def test_a_list_shows_the_revisions_of_its_place(spark):
+    log = spark.createDataFrame([("alpha", 0, "PUT", put(3, "x")), ("beta", 1, "PUT", put(5, "y")), ("alpha", 2, "PUT", put(4, "z")), ("beta", 3, "GET", None)], "id string, seq bigint, op string, body string")
+    for place, alpha, beta in ((0, 3, 5), (1, 4, 5), (3, 5, 6), (9, 5, 6)):
+        got = list_at(seed_records(spark), log, place)
+        assert got.columns == ["ord", "id", "name", "revision", "updatedAt"]
+        assert {r["id"]: r["revision"] for r in got.collect()} == {"alpha": alpha, "beta": beta}
+    twice = seed_records(spark).union(seed_records(spark).withColumn("ord", F.col("ord") + 5))
+    assert rows_of(list_at(twice, log, 9).where("id = 'alpha'").select("ord", "revision")) == [(0, 5), (5, 3)]
+    assert list_at(seed_records(spark).limit(0), log, 9).count() == 0
+
+
 def test_an_answer_meets_the_revision_in_force(spark):
     """A write at 50 ms falls into alpha's delay, not into beta's."""
     log = [(k, s, op, at, body) for k in ("alpha", "beta", "none") for s, op, at, body in [(0, "ANALYZE", 0, '{"content":"a\\nb"}'), (1, "ANALYZE", 0, "{}"), (2, "PUT", 50, None), (3, "ANALYZE", 60, "{}"), (4, "ANALYZE", 60, "{"), (5, "ANALYZE", 60, None)]]
