@@ -84,7 +84,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     per turn, the end. loss_start and loss_end bound the body of an assistant's
     turn in its segment and are null elsewhere. Order: turn (null first), then
     role, then text; null role and text are empty; repeated rows are turns each;
-    rows with a null conv_id are one conversation. Tasks stream over sorted rows
+    rows with a null conv_id are one conversation. No rows give no segments.
+    Long texts are rendered whole, a turn at a time. Tasks stream over sorted rows
     and hold one turn at a time, however long a conversation is.
     """
     ship(turns.sparkSession)

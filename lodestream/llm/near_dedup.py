@@ -272,7 +272,8 @@ def near_duplicates(
     id. A null text, or one without words, has no shingles and no links. Rows
     with one id are one document. Null ids take part through texts with equal
     shingles that have an id; else they stand alone, with a null component, and
-    are kept. An empty table gives an empty one. Pairs are screened by sketches
+    are kept. An empty table gives an empty one. Whole texts are shingled; a task
+    needs some 40 bytes for each byte of the longest one. Pairs are screened by sketches
     before their sets are compared; ``deviations=None`` turns that off.
     """
     return _labelled(docs, threshold, id_col, text_col, bands, rows, block, deviations).drop("h")
