@@ -16,6 +16,8 @@ from lodestream.operators.records import etag_matches, first_match
 from lodestream.sources.shared import materialise
 
 OPS = ("GET", "PUT", "ANALYZE")
+#: Bytes of (id, revision) up to which a list of them goes to every task.
+SENT = 16 << 20
 
 
 def _parsed(requests: DataFrame) -> DataFrame:
@@ -41,6 +43,17 @@ def _stored(records: DataFrame, like: DataFrame) -> DataFrame:
     return first_match(records).where("id is not null").select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields))
 
 
+def _asked(records: DataFrame, answered: DataFrame) -> DataFrame:
+    """The records whose stored content is sent; where a list of these is at most SENT bytes, contents of others never leave their task."""
+    sent = answered.where("status in (200, 409)").select("id", "revision").distinct()
+    size = sent.agg(F.coalesce(F.sum(F.octet_length(F.col("id").cast("string")) + 40), F.lit(0))).first()[0]
+    if size > SENT:
+        return records
+    stored = first_match(records).withColumn("__revision", F.col("revision").cast("bigint"))
+    listed = sent.select("id", F.col("revision").alias("__revision"))
+    return stored.join(F.broadcast(listed), ["id", "__revision"], "left_semi").select(*records.columns)
+
+
 def _versions(records: DataFrame, written: DataFrame) -> DataFrame:
     """(id, revision, text) of every revision there is: the stored ones and those that writes made."""
     stored = first_match(records).where("id is not null").select("id", F.col("revision").cast("bigint").alias("revision"), F.col("content").alias("text"))
@@ -79,7 +92,8 @@ def replay(records: DataFrame, requests: DataFrame) -> DataFrame:
     )
     answered = seen.select("id", "seq", "op", status.alias("status"), F.when(~F.coalesce(F.col("refused").isin(413, 400), F.lit(False)), F.col("revision")).alias("revision"))
     drafts = written.where("op = 'ANALYZE' and content is not null").select("id", "seq", line_count(F.col("content")).alias("draft_lines"))
-    told = answered.where("status in (200, 409)").join(_versions(records, written), ["id", "revision"]).join(drafts, ["id", "seq"], "left")
+    answered = materialise(answered, "answered")
+    told = answered.where("status in (200, 409)").join(_versions(_asked(records, answered), written), ["id", "revision"]).join(drafts, ["id", "seq"], "left")
     content = F.when(F.col("op") != "ANALYZE", F.col("text"))
     lines = F.when(F.col("op") == "ANALYZE", F.coalesce("draft_lines", line_count(F.col("text"))))
     full = told.select("id", "seq", "op", "status", "revision", content.alias("content"), lines.alias("lines"))

@@ -4,7 +4,7 @@ Documents serve as records, conversations as update attempts (their turn is the
 order) and labels as the records that those attempts meet.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators import (
@@ -124,19 +124,23 @@ def put_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled documents as records of revision 0."""
-    docs = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id", "left_semi")
-    return docs.select(F.col("doc_id").cast("string").alias("id"), F.lit(0).cast("bigint").alias("revision"), F.col("text").alias("content"))
+    """The documents as records of revision 0."""
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit(0).cast("bigint").alias("revision"), F.col("text").alias("content"))
+
+
+def _asked_id() -> Column:
+    """Conversations ask for the document of their id; those whose id ends in 3 for one that isn't there."""
+    return F.when(F.col("conv_id") % 10 == 3, -F.col("conv_id")).otherwise(F.col("conv_id")).cast("string").alias("id")
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as logs of writes, conditional reads and analyses, by turns, against the labelled documents."""
+    """Conversations as logs of writes, conditional reads and analyses, by turns, against the documents."""
     turn = F.col("turn").cast("bigint")
     said = F.to_json(F.struct(F.col("text").alias("content")))
     op = F.when(turn % 3 == 0, "PUT").when(turn % 3 == 1, "GET").otherwise("ANALYZE")
     body = F.when(turn % 3 == 0, F.to_json(F.struct(F.floor(turn / 6).alias("revision"), F.col("text").alias("content")))).when(turn % 3 == 2, F.when(turn % 4 == 2, "{}").otherwise(said))
     header = F.when(turn % 3 == 1, F.when(turn % 4 == 1, "x, W/1").otherwise("7"))
-    log = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), turn.alias("seq"), op.alias("op"), body.alias("body"), header.alias("if_none_match"))
+    log = read_table(spark, sf_dir, "conversations").select(_asked_id(), turn.alias("seq"), op.alias("op"), body.alias("body"), header.alias("if_none_match"))
     answers = answer_log(_texts(spark, sf_dir), log)
     return answers.select("id", "seq", "op", "status", "error", "etag", "revision", F.length("content").cast("bigint").alias("content_chars"), "lines")
 
@@ -154,7 +158,7 @@ def analyze_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = F.to_json(F.struct(F.floor(turn / 2).alias("revision"), F.col("text").alias("content")))
     draft = F.when(turn % 4 == 1, "{}").otherwise(F.to_json(F.struct(F.col("text").alias("content"))))
     log = read_table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("id"), turn.alias("seq"), F.when(turn % 2 == 0, "PUT").otherwise("ANALYZE").alias("op"), (30 * turn).alias("at"), F.when(turn % 2 == 0, write).otherwise(draft).alias("body")
+        _asked_id(), turn.alias("seq"), F.when(turn % 2 == 0, "PUT").otherwise("ANALYZE").alias("op"), (30 * turn).alias("at"), F.when(turn % 2 == 0, write).otherwise(draft).alias("body")
     )
     return answer_delayed(_texts(spark, sf_dir), log, F.when(F.col("id").endswith("0"), 100).otherwise(20))
 
@@ -299,8 +303,8 @@ ORACLES = {
         from conversations left join labels l on conv_id = l.doc_id where turn % 4 = 3 or turn = 5""",
     "replay": """
 with recursive a as (
-  select conv_id, turn, text, turn % 3 as k, floor(turn / 6) as expected, row_number() over (partition by conv_id order by turn) as step from conversations),
-s as (select doc_id, text from documents where doc_id in (select doc_id from labels)),
+  select case when conv_id % 10 = 3 then -conv_id else conv_id end as conv_id, turn, text, turn % 3 as k, floor(turn / 6) as expected, row_number() over (partition by conv_id order by turn) as step from conversations),
+s as (select doc_id, text from documents),
 r as (
   select conv_id, turn, k, a.text as said, step, doc_id is not null as hit, k = 0 and expected = 0 as won,
          case when doc_id is not null then (k = 0 and expected = 0)::bigint end as revision,
@@ -319,8 +323,8 @@ select conv_id::varchar as id, turn::bigint as seq, case k when 0 then 'PUT' whe
 from t""",
     "analyze_delayed": """
 with recursive a as (
-  select conv_id, turn, text, floor(turn / 2) as expected, row_number() over (partition by conv_id order by turn) as step from conversations where turn % 2 = 0),
-s as (select doc_id, text from documents where doc_id in (select doc_id from labels)),
+  select case when conv_id % 10 = 3 then -conv_id else conv_id end as conv_id, turn, text, floor(turn / 2) as expected, row_number() over (partition by conv_id order by turn) as step from conversations where turn % 2 = 0),
+s as (select doc_id, text from documents),
 r as (
   select conv_id, turn, step, expected = 0 as won, (expected = 0)::bigint as revision, coalesce(a.text, '') as said from a join s on doc_id = conv_id where step = 1
   union all
@@ -328,7 +332,7 @@ r as (
 v as (
   select *, lead(since) over (partition by id order by revision) as until from (
     select conv_id as id, revision, said as content, 30 * turn as since from r where won union all select doc_id, 0, text, -1 from s)),
-q as (select conv_id, turn, text, 30 * turn + case when conv_id % 10 = 0 then 100 else 20 end as ready from conversations where turn % 2 = 1)
+q as (select case when conv_id % 10 = 3 then -conv_id else conv_id end as conv_id, turn, text, 30 * turn + case when conv_id % 10 = 0 then 100 else 20 end as ready from conversations where turn % 2 = 1)
 select conv_id::varchar as id, turn::bigint as seq, case when v.id is null then 404 else 200 end::integer as status, case when v.id is null then 'not_found' end as error, ready::bigint as ready, revision,
        case when v.id is not null then len(regexp_split_to_array(case when turn % 4 = 1 then content else coalesce(text, content) end, '\\r?\\n')) end::bigint as "lines"
 from q left join v on v.id = conv_id and ready >= since and (until is null or ready < until)""",
