@@ -23,43 +23,46 @@ PIECE = 100_000
 
 
 class OrderedUpdates(StatefulProcessor):
-    """Per id: ``now``, its revision and the last seq applied; ``waiting``, (seq, expected, at in ms) of attempts that aren't due."""
+    """Per id: ``now``, its revision and the last seq applied; ``waiting``, (seq, expected, at in ms) of attempts that aren't due, as they came.
+
+    State is read and written in lists, as each call goes to the JVM and back.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", "known boolean, revision bigint, last bigint")
-        self.waiting = handle.getMapState("waiting", "seq bigint", "expected double, at bigint")
+        self.waiting = handle.getListState("waiting", "seq bigint, expected double, at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):
             return
-        first, last = None, self.now.get()[2] if self.now.exists() else None
+        first, known = None, self.now.exists()
         for frame in rows:
-            if not self.now.exists():
+            if not known:
                 stored = frame["revision"].iloc[0]
-                known = not pd.isna(stored)
-                self.now.update((known, int(stored) if known else None, None))
-            for seq, expected, at in zip(frame["seq"].tolist(), frame["expected"].tolist(), frame["ms"].tolist()):
-                if self.waiting.containsKey((seq,)) or (last is not None and seq <= last):
-                    raise ValueError(f"{key[0]!r}: an attempt of seq {seq} was given before, or is later in time than in order")
-                self.waiting.updateValue((seq,), (None if pd.isna(expected) else float(expected), int(at)))
-                first = int(at) if first is None else min(first, int(at))
+                known = True
+                self.now.update((not pd.isna(stored), None if pd.isna(stored) else int(stored), None))
+            expected = [None if pd.isna(x) else float(x) for x in frame["expected"].tolist()]
+            self.waiting.appendList(list(zip(frame["seq"].tolist(), expected, frame["ms"].tolist())))
+            first = min(frame["ms"].min(), frame["ms"].min() if first is None else first)
         if first is not None:
-            self.handle.registerTimer(first)
+            self.handle.registerTimer(int(first))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit, due, later = timerValues.getCurrentWatermarkInMs(), [], None
-        for (seq,), (expected, at) in self.waiting.iterator():
-            if at <= limit:
-                due.append((seq, expected))
-            else:
-                later = at if later is None else min(later, at)
-        due.sort(key=lambda x: x[0])
+        limit = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get())
+        due = sorted(((seq, expected) for seq, expected, at in held if at <= limit), key=lambda x: x[0])
+        later = [x for x in held if x[2] > limit]
+        if not due:
+            return
         known, revision, last = self.now.get()
         for lo in range(0, len(due), PIECE):
             status, after, part = [], [], due[lo : lo + PIECE]
             for seq, expected in part:
+                if last is not None and seq <= last:
+                    raise ValueError(f"{key[0]!r}: an attempt of seq {seq} was given before, or is later in time than in order")
+                last = seq
                 if not known:
                     status.append(404)
                 elif expected == revision:
@@ -68,14 +71,13 @@ class OrderedUpdates(StatefulProcessor):
                 else:
                     status.append(409)
                 after.append(revision)
-                last = seq
             yield pd.DataFrame({"id": key[0], "seq": [s for s, _ in part], "status": status, "revision": pd.array(after, dtype="Int64")})
-        for seq, _ in due:
-            self.waiting.removeKey((seq,))
-        if due:
-            self.now.update((known, revision, last))
-        if later is not None:
-            self.handle.registerTimer(later)
+        self.now.update((known, revision, last))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(int(min(x[2] for x in later)))
+        else:
+            self.waiting.clear()
 
     def close(self) -> None:
         pass
@@ -100,12 +102,13 @@ def revise_in_order(attempts: DataFrame, records: DataFrame, delay: str = "10 mi
     which arrivals may be late. An attempt is answered once the clock passes it, so the last ones
     wait for a later row: one with a null id moves the clock and is not answered.
     An attempt without a time is due with the next batch.
-    Spark drops what is later than ``delay``. A repeated (id, seq) raises, and so
-    does one below an attempt already answered. A record's stored revision, of
+    Spark drops what is later than ``delay``. A repeated (id, seq) raises once it is
+    due, and so does one below an attempt already answered. A record's stored revision, of
     which ``records`` has one an id, counts when its first attempt arrives; an
     id that it lacks gets 404 each time.
 
-    State is 40 bytes for each attempt within the delay and a revision an id.
+    State is 24 bytes for each attempt within the delay and a revision an id; an
+    id's waiting attempts are read when some of them are due.
     Needs ``keyed_state`` while the query starts.
     """
     timed = attempts.withWatermark("at", delay)

@@ -49,7 +49,7 @@ def test_out_of_order_files_with_a_restart(spark, tmp_path):
 def test_a_repeated_attempt_raises(spark, tmp_path):
     feed = Feed(spark, tmp_path, spark.createDataFrame([("a", 0)], "id string, revision bigint"))
     feed.add([("a", 0, 0.0, 1)])
-    feed.add([("a", 0, 0.0, 1)])
+    feed.add([("a", 0, 0.0, 1), (None, 0, None, 3600 + 5)])
     with pytest.raises(Exception, match="was given before"):
         feed.run()
 
