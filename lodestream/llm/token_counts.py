@@ -16,6 +16,9 @@ from lodestream.llm.shared import HOT, join_dealt, materialise, new_path, ship
 
 CACHE_SCHEMA = "content_digest binary, n_tokens bigint"
 
+#: Bits of the map of missing texts: 16 MB for every task, at any number of them.
+MAP_BITS = 1 << 27
+
 
 def tokenizer_version(path: str) -> str:
     """SHA-256 of the tokenizer's file."""
@@ -38,6 +41,18 @@ def read_cache(spark: SparkSession, cache_dir: str, version: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(path).dropDuplicates(["content_digest"])
 
 
+def may_miss(rows: DataFrame, misses: DataFrame) -> DataFrame:
+    """The rows whose hash ``h`` can be one of ``misses``: all that are, and of the others about one in MAP_BITS / misses.
+
+    A bit for each hash, in maps of 32,768, goes to the tasks; no row moves.
+    """
+    at = F.pmod(F.col("h"), F.lit(MAP_BITS))
+    bucket, bit = F.shiftright(at, 15), at.bitwiseAND(F.lit(32767))
+    maps = misses.select(bucket.alias("bucket"), bit.alias("bit")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    return rows.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket").where(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("bucket", "bits")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (id, content_digest, n_bytes, n_tokens) for each row of ``docs``.
 
@@ -48,8 +63,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str | None = None,
     starts an empty cache in the shared folder.
 
     Digests are taken once, and written with hashes of text and id. Of the rows
-    of a missing digest one is chosen by these hashes, and its text encoded;
-    texts move only if a digest is missing, once, copies being reduced before.
+    of a missing digest one is chosen by these hashes, and its text encoded. Only
+    texts whose hash a bitmap of the missing ones holds leave their task, once,
+    copies being reduced before; the bitmap has one size whatever the input, so
+    beyond some 10^8 misses in one call texts that aren't missing move as well.
     Counts of digests that many rows have go to the rows, so no key gathers the
     copies of a text.
     """
@@ -70,7 +87,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str | None = None,
             yield pa.record_batch([batch.column("content_digest"), pa.array(counts, pa.int64())], ["content_digest", "n_tokens"])
 
     if not misses.isEmpty():
-        texts = docs.select(*hashes, body.alias("body")).groupBy("h", "ih").agg(F.first("body").alias("body")).join(misses.hint("merge"), ["h", "ih"])
+        texts = may_miss(docs.select(*hashes, body.alias("body")), misses).groupBy("h", "ih").agg(F.first("body").alias("body")).join(misses.hint("merge"), ["h", "ih"])
         texts.select("content_digest", "body").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(f"{cache_dir}/tokenizer={version}")
 
     total = counts.agg(F.sum("n")).first()[0] or 0
