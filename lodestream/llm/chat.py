@@ -28,7 +28,7 @@ _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _TURN = re.compile(r"<\|turn(\+?)\|>([^\n]*)\n(.*?)<\|end\|>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
-SEGMENTS = "conv_id bigint, position bigint, segment string, loss_start int, loss_end int"
+SEGMENTS = "conv_id bigint, place int, turn {turn}, role string, segment string, body_start int, body_end int, escaped boolean, loss boolean"
 DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
@@ -78,53 +78,61 @@ def render_turn(role: str, text: str) -> str:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """Rendered segments (conv_id, position, segment, loss_start, loss_end) of rows (conv_id, turn, role, text).
-
-    A conversation is its segments joined by position: the beginning, a segment
-    per turn, the end. loss_start and loss_end bound the body of an assistant's
-    turn in its segment and are null elsewhere. Order: turn (null first), then
-    role, then text; null role and text are empty; repeated rows are turns each;
-    rows with a null conv_id are one conversation. No rows give no segments.
-    Long texts are rendered whole, a turn at a time. Tasks stream over sorted rows
-    and hold one turn at a time, however long a conversation is.
+    """Rendered segments (conv_id, place, turn, role, segment, body_start, body_end, escaped, loss) of rows (conv_id, turn, role, text).
+
+    A conversation is its segments in the order that ``in_order`` gives: the
+    beginning (place 0), a segment per turn (1), the end (2). A body lies from
+    body_start to body_end of its segment; loss says whether it is learnt, as an
+    assistant's is. Order: turn (null first), then role, then text; null role and
+    text are empty; repeated rows are turns each; rows with a null conv_id are
+    one conversation. No rows give no segments. Long texts are rendered whole, a
+    turn at a time. A turn is rendered where its row lies, so no conversation,
+    however long, gathers anywhere; only distinct conv_ids are shuffled.
     """
     ship(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def render(batches):
-        current, position = None, 0
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                conv = (r["conv_id"],)
-                if conv != current:
-                    if current:
-                        out.append((*current, position, FINISH, None, None))
-                    out.append((*conv, 0, BEGIN, None, None))
-                    current, position = conv, 1
-                segment = render_turn(r["role"], r["text"])
-                _, _, lo, hi, _, _ = parse_turn(segment)
-                mask = (lo, hi) if r["role"] == "assistant" else (None, None)
-                out.append((*conv, position, segment, *mask))
-                position += 1
-            if out:
-                yield _batch(out)
-        if current:
-            yield _batch([(*current, position, FINISH, None, None)])
-
-    return ordered.mapInArrow(render, SEGMENTS)
-
-
-def _batch(rows):
-    kinds = (("conv_id", pa.int64()), ("position", pa.int64()), ("segment", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32()))
-    return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+            roles = batch.column("role").to_pylist()
+            segments = [render_turn(r, t) for r, t in zip(roles, batch.column("text").to_pylist())]
+            parsed = [parse_turn(s) for s in segments]
+            yield pa.record_batch(
+                [
+                    batch.column("conv_id"),
+                    pa.array([1] * len(roles), pa.int32()),
+                    batch.column("turn"),
+                    batch.column("role"),
+                    pa.array(segments, pa.string()),
+                    pa.array([p[2] for p in parsed], pa.int32()),
+                    pa.array([p[3] for p in parsed], pa.int32()),
+                    pa.array([p[4] for p in parsed], pa.bool_()),
+                    pa.array([r == "assistant" for r in roles], pa.bool_()),
+                ],
+                ["conv_id", "place", "turn", "role", "segment", "body_start", "body_end", "escaped", "loss"],
+            )
+
+    schema = SEGMENTS.format(turn=rows.schema["turn"].dataType.simpleString())
+    ends = F.array(F.struct(F.lit(0).alias("place"), F.lit(BEGIN).alias("segment")), F.struct(F.lit(2).alias("place"), F.lit(FINISH).alias("segment")))
+    frames = rows.select("conv_id").distinct().select("conv_id", F.inline(ends))
+    return rows.mapInArrow(render, schema).unionByName(frames, allowMissingColumns=True)
+
+
+def in_order(segments: DataFrame) -> DataFrame:
+    """Conversations dealt to tasks, the segments of each in their order; turns alike in number and role go by text, taken from the segment."""
+    body = F.substring("segment", F.col("body_start") + 1, F.col("body_end") - F.col("body_start"))
+    text = F.when(F.col("escaped"), F.regexp_replace(body, r"(?s)\\(.)", "$1")).otherwise(body)
+    return segments.repartition("conv_id").withColumn("text", text).sortWithinPartitions("conv_id", "place", "turn", "role", "text").drop("text")
 
 
 def digest_conversations(segments: DataFrame) -> DataFrame:
-    """Per conversation, parsed from its segments: turns, loss text and length, in a stream over sorted segments."""
+    """Per conversation, parsed from its segments: turns, loss text and length.
+
+    A digest has to be taken in order, so a conversation is one stream over
+    sorted segments, of which a task holds a batch at a time.
+    """
     ship(segments.sparkSession)
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    ordered = in_order(segments).select("conv_id", "segment", "loss")
 
     def digest(batches):
         conv = None
@@ -135,16 +143,14 @@ def digest_conversations(segments: DataFrame) -> DataFrame:
                 if segment == BEGIN:
                     conv, n, chars, loss_chars, turns, loss = r["conv_id"], 0, 0, 0, hashlib.sha256(), hashlib.sha256()
                 elif segment != FINISH:
-                    role, text, lo, hi, escaped, end = parse_turn(segment)
+                    role, text, _, _, _, end = parse_turn(segment)
                     if end != len(segment):
                         raise ValueError("text after a turn")
                     turns.update(f"{role}\n{text}\n".encode())
                     n += 1
-                    if r["loss_start"] is not None:
-                        body = segment[r["loss_start"] : r["loss_end"]]
-                        learnt = unescape(body) if escaped else body
-                        loss.update(learnt.encode())
-                        loss_chars += len(learnt)
+                    if r["loss"]:
+                        loss.update(text.encode())
+                        loss_chars += len(text)
                 chars += len(segment)
                 if segment == FINISH:
                     done.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestream.llm.chat import BEGIN, CONTROL, FINISH, digest_conversations, format_conversations, parse, render_turn
+from lodestream.llm.chat import BEGIN, CONTROL, FINISH, digest_conversations, format_conversations, in_order, parse, render_turn
 from lodestream.llm.registry import QUERIES
 
 bits = st.lists(st.sampled_from([*CONTROL, "<|turn|>", "<|end|>\n", "<|finish|>\n", "\\", "<", "|", "a", "\n", "é🙂", "<\\|", "[", "/", "s>"]), max_size=8).map("".join)
@@ -42,6 +42,22 @@ def test_odd_rows(spark):
     assert digest_conversations(format_conversations(frame.limit(0))).count() == 0
 
 
+def test_turns_are_rendered_where_they_lie(spark):
+    """One conversation has almost all rows: no shuffle stands before rendering, and joined segments parse to the source."""
+    rows = [(1, i // 2, "user" if i % 2 else "assistant", f"{i % 7} </s>\n\\ {'x' * (i % 5)}") for i in range(400)] + [(1, 3, "user", None), (2, 0, "a\nb", "<|end|>\n")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").repartition(7)
+    segments = format_conversations(frame)
+    plan = segments._jdf.queryExecution().optimizedPlan().toString()
+    rendering = plan[plan.index("MapInArrow") : plan.index("Aggregate")] if plan.index("MapInArrow") < plan.index("Aggregate") else plan[plan.index("MapInArrow") :]
+    assert "RepartitionByExpression" not in rendering and "Sort" not in rendering
+    joined = {}
+    for r in in_order(segments).collect():
+        joined[r["conv_id"]] = joined.get(r["conv_id"], "") + r["segment"]
+    for conv in (1, 2):
+        assert parse(joined[conv]) == [(r, t or "") for c, _, r, t in sorted(rows, key=lambda x: (x[1], x[2], x[3] or "")) if c == conv]
+    assert {r[0]: tuple(r)[1:] for r in digest_conversations(segments).collect()} == digests(rows)
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     said = "</s>[INST] ok [/INST]"
