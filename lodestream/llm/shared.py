@@ -107,15 +107,32 @@ def open_write(path: str):
     return store.open_output_stream(inner)
 
 
+class StoredArray:
+    """The flat array in a file of a store, read by ranges."""
+
+    def __init__(self, path: str, dtype: str):
+        import numpy as np
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        self.dtype, self.file = np.dtype(dtype), store.open_input_file(inner)
+
+    def __len__(self) -> int:
+        return self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, span: slice):
+        import numpy as np
+
+        lo, hi, _ = span.indices(len(self))
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(max(0, hi - lo) * size, lo * size), self.dtype)
+
+
 def map_array(path: str, dtype: str):
-    """The flat array in a file: memory-mapped if the file is local or mounted, else read."""
+    """The flat array in a file, to be sliced: memory-mapped if the file is local or mounted, else read by ranges."""
     import numpy as np
 
     url = urlparse(path)
     if url.scheme in ("", "file"):
         return np.memmap(url.path, dtype=dtype, mode="r") if os.path.getsize(url.path) else np.zeros(0, dtype)
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
-    with store.open_input_file(inner) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    return StoredArray(path, dtype)

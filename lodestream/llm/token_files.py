@@ -2,8 +2,9 @@
 
 A set of parts, each three files: ``.ids`` (unsigned 16-bit ids if the
 vocabulary fits, else 32-bit), ``.off`` (unsigned 64-bit, one more than the
-documents) and ``.doc`` (signed 64-bit document ids). The manifest has a row per
-part: its name, dtype, documents, ids and base, the ids in all parts before it.
+documents) and ``.doc`` (signed 64-bit document ids; of a null id, zero). The
+manifest has a row per part: its name, dtype, documents, how many of these, which
+come first, have a null id, ids, and base, the ids in all parts before it.
 """
 
 import json
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from lodestream.llm.encode import encoder
 from lodestream.llm.shared import map_array, new_path, open_write, ship
 
-#: How a null document id stands in a ``.doc`` file.
-NULL_ID = np.iinfo(np.int64).min
-MANIFEST = "part int, name string, dtype string, n_docs bigint, n_tokens bigint, base bigint"
+#: A part holds about so many bytes of text at most, so a task's work doesn't grow with the input.
+PART_BYTES = 128 << 20
+#: Ids read at once.
+WINDOW = 1 << 20
+MANIFEST = "part int, name string, dtype string, n_docs bigint, n_nulls bigint, n_tokens bigint, base bigint"
 
 
 @dataclass
@@ -46,8 +49,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
 
     Order: id (null first), then a hash of the text; rows alike in both are
     alike in all that is written. A null text is empty and so has the end id
-    alone. One range shuffle brings documents into order; each task streams its
-    own part, and a retried task writes under another name, so the manifest,
+    alone; no rows give no parts. Long texts are encoded whole. One range shuffle
+    brings documents into order, over as many parts as shuffles have, or more if
+    parts would exceed PART_BYTES; each task streams its own part, and a retried task writes under another name, so the manifest,
     made from finished tasks, never names half a file. Its rows, one per part,
     are all that reaches the driver, for the prefix sums.
     """
@@ -57,14 +61,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     dtype = "<u2" if max(_vocab_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), body.alias("body"), F.xxhash64(body).alias("h"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = rows.agg(F.sum(F.octet_length("body").cast("bigint"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
     ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
 
     def write(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         end = np.array([end_id], dtype=dtype).tobytes()
-        n_docs = total = 0
+        n_docs = n_nulls = total = 0
         with open_write(f"{path}/{name}.ids") as ids, open_write(f"{path}/{name}.off") as off, open_write(f"{path}/{name}.doc") as doc:
             off.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
@@ -74,15 +79,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
                     sizes.append(len(b) // 4 + 1)
                 ends = total + np.cumsum(sizes, dtype=np.uint64)
                 off.write(ends.astype("<u8").tobytes())
-                doc.write(batch.column("id").fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                total, n_docs = int(ends[-1]) if len(ends) else total, n_docs + len(sizes)
-        yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": n_docs, "n_tokens": total}], pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+                doc.write(batch.column("id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                total, n_docs, n_nulls = int(ends[-1]) if len(ends) else total, n_docs + len(sizes), n_nulls + batch.column("id").null_count
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([name]), *(pa.array([x], pa.int64()) for x in (n_docs, n_nulls, total))], ["part", "name", "n_docs", "n_nulls", "n_tokens"])
 
-    done = ordered.select("id", "body").mapInArrow(write, "part int, name string, n_docs bigint, n_tokens bigint").collect()
+    done = ordered.select("id", "body").mapInArrow(write, "part int, name string, n_docs bigint, n_nulls bigint, n_tokens bigint").collect()
     manifest, base = [], 0
     for r in sorted(done, key=lambda r: r["part"]):
         if r["n_docs"]:
-            manifest.append((r["part"], r["name"], dtype, r["n_docs"], r["n_tokens"], base))
+            manifest.append((r["part"], r["name"], dtype, r["n_docs"], r["n_nulls"], r["n_tokens"], base))
             base += r["n_tokens"]
     spark.createDataFrame(manifest, MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
     return TokenFiles(path, manifest)
@@ -92,6 +97,23 @@ def open_token_files(spark: SparkSession, path: str) -> TokenFiles:
     return TokenFiles(path, [tuple(r) for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect()])
 
 
+def _checksums(ids, offsets):
+    """crc32 of each document's ids as 32-bit integers; ids are read about WINDOW at a time, several documents or a piece of one."""
+    out, i = [], 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + WINDOW, "right")) - 1)
+        if offsets[j] - offsets[i] <= WINDOW:
+            flat = ids[offsets[i] : offsets[j]].astype("<u4")
+            out += [zlib.crc32(flat[a - offsets[i] : b - offsets[i]]) for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1])]
+        else:
+            crc = 0
+            for lo in range(offsets[i], offsets[j], WINDOW):
+                crc = zlib.crc32(ids[lo : min(lo + WINDOW, offsets[j])].astype("<u4"), crc)
+            out.append(crc)
+        i = j
+    return out
+
+
 def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens (with the end id) and the crc32 of its ids as 32-bit integers."""
     ship(spark)
@@ -105,10 +127,9 @@ def read_token_files(spark: SparkSession, files: TokenFiles) -> DataFrame:
                 for lo in range(0, p["n_docs"], 4096):
                     o = off[lo : lo + 4097].astype(np.int64)
                     d = np.array(doc[lo : lo + len(o) - 1])
-                    flat = ids[o[0] : o[-1]].astype("<u4")
-                    crc = [zlib.crc32(flat[a - o[0] : b - o[0]]) for a, b in zip(o[:-1], o[1:])]
+                    crc = _checksums(ids, o)
                     yield pa.record_batch(
-                        [pa.array(d, pa.int64(), mask=d == NULL_ID), pa.array(o[:-1] + p["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())],
+                        [pa.array(d, pa.int64(), mask=np.arange(lo, lo + len(d)) < p["n_nulls"]), pa.array(o[:-1] + p["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 

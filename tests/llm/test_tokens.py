@@ -10,11 +10,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestream.llm import packing, token_counts
+from lodestream.llm import packing, token_counts, token_files
 from lodestream.llm.encode import Encoder
 from lodestream.llm.packing import cut_pieces, pack, ranges, sweep
 from lodestream.llm.registry import QUERIES
-from lodestream.llm.token_counts import count_tokens, read_cache, tokenizer_version
+from lodestream.llm.shared import StoredArray
+from lodestream.llm.token_counts import count_tokens, may_miss, read_cache, tokenizer_version
 from lodestream.llm.token_files import open_token_files, read_token_files, write_token_files
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +81,52 @@ def test_only_distinct_misses_are_encoded(spark, tmp_path, monkeypatch):
     assert count_tokens(frame(spark, rows), WORD, cache).count() == len(rows)
 
 
+def test_only_texts_of_misses_move(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"), F.xxhash64(F.col("id") + 1).alias("ih"), F.col("id").cast("string").alias("body"))
+    misses = rows.where("body in ('7', '70', '700')").select("h", "ih")
+    kept = may_miss(rows, misses)
+    assert sorted(r["body"] for r in kept.collect()) == ["7", "70", "700"] and kept.columns == rows.columns
+    assert may_miss(rows, rows.select("h", "ih")).count() == 5000 and may_miss(rows, misses.limit(0)).count() == 0
+    # what is shuffled is the bits of the misses; the rows meet the map where they are
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "body" in x] == []
+
+
+def test_files_of_odd_ids_in_parts_by_size(spark, tmp_path, monkeypatch):
+    """A null id isn't the smallest one; parts follow the bytes; ids are read by ranges."""
+    monkeypatch.setattr(token_files, "PART_BYTES", 1 << 10)
+    least = -(1 << 63)
+    rows = [(None, "null"), (None, None), (least, "least"), *((i, f"text {i} " * 40) for i in range(40)), (99, "long " * 3000)]
+    files = write_token_files(frame(spark, rows), BYTE, 2, str(tmp_path / "files"))
+    assert len(files.manifest) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = read_token_files(spark, files).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, least, *range(40), 99]
+    tok = Tokenizer.from_file(BYTE)
+    want = {i: zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows if i is not None}
+    assert {r["doc_id"]: r["ids_crc32"] for r in got if r["doc_id"] is not None} == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=12), st.integers(1, 9))
+def test_checksums_by_windows(sizes, window):
+    ids, offsets = np.arange(200, dtype="<u2"), np.cumsum([0, *sizes])
+    before, token_files.WINDOW = token_files.WINDOW, window
+    try:
+        got = token_files._checksums(ids, offsets)
+    finally:
+        token_files.WINDOW = before
+    assert got == [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(offsets, offsets[1:])]
+
+
+def test_ranges_of_a_stored_array(tmp_path):
+    flat = np.arange(1000, dtype="<u4")
+    flat.tofile(tmp_path / "x.ids")
+    stored = StoredArray(f"file://{tmp_path}/x.ids", "<u4")
+    assert len(stored) == 1000 and stored[10:20].tolist() == list(range(10, 20))
+    assert stored[990:2000].tolist() == list(range(990, 1000)) and stored[5:5].tolist() == []
+
+
 def test_files(spark, tmp_path):
     tok, path = Tokenizer.from_file(BYTE), str(tmp_path / "files")
     write_token_files(frame(spark), BYTE, 2, path)
