@@ -51,9 +51,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: cuts lineage, and what made it never runs twice."""
+    """Writes a table into the shared folder and reads it back: cuts lineage, and what made it never runs twice.
+
+    Written with zstd, as snappy takes direct buffers of a page's size in and out, which long texts make large and only a full collection frees.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.materialised_at = path
     return out
