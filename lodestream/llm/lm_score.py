@@ -20,10 +20,11 @@ Bits below ``DEPTH`` go by the training counts alone.
 
 Token counts grow with the input: they are in Spark, and joined for what is not
 in the dictionary. What is sent to tasks is bounded by ``HEAD`` and the tables'
-sizes. Everything is counted over all training texts; only the weights and the
-refining table, a few thousand numbers, are fitted on a bounded sample. Counts
-are integers and the sample's shards are fixed by hash, so that scores do not
-depend on how Spark deals the rows.
+sizes. Everything is counted over all training texts, and the weights and the
+refining table are learnt from all of them: texts are dealt to shards by hash,
+as many as the texts ask for, and the weights of the shards are averaged. Counts
+and what is summed of the shards are integers, so that scores do not depend on
+how Spark deals the rows.
 """
 
 from dataclasses import dataclass
@@ -47,15 +48,17 @@ DEPTH = 12
 SHORT = 3
 #: Contexts of a word's bits and of a spelled byte's bits, beside the node alone; slots of each one's table.
 CONTEXTS, SLOT_BITS = (4, 5), (19, 18)
-#: Most training texts that weights are fitted on, the shards they are dealt to, and bits of a step.
-FIT_TEXTS, SHARDS, STEP_ROWS = 4096, 8, 2048
+#: About how many training texts a shard has that weights are learnt in, the fewest shards, and symbols of a step.
+SHARD_TEXTS, SHARDS, STEP_ROWS = 4096, 8, 2048
+#: Weights are summed as integers, in parts of a unit.
+UNIT = 1 << 32
 RATE, LEVELS, SEEN = 0.05, 24, 4
 GATES = DEPTH * SEEN * SEEN
 BLOCK = 1 << 14
 #: Bytes of text that are worked on at once; a longer text is by itself.
 CHUNK = 1 << 18
 #: Tokens and, apart, bits whose slots a task holds before it counts them; bits after which it gives its counts, so that they fit 32 bits.
-HELD, HELD_BITS, FULL = 1_000_000, 500_000, 1 << 31
+HELD, HELD_BITS, FULL = 1_000_000, 2_000_000, 1 << 31
 #: Pieces that a block's counts are first summed in, so that no task gets those of all tasks.
 SALTS = 16
 TABLES = "salt int, tree int, context int, block int, n binary"
@@ -101,6 +104,8 @@ class Tree:
         _, of = np.unique(key, return_inverse=True)
         self.rest = np.log(weights / np.bincount(of, weights=weights)[of]) if n else np.zeros(0)
         self.hash = mix(np.arange(1, made + 1, dtype=np.uint64) * _MULT)
+        self.code = np.ascontiguousarray((self.node << 1 | self.bit).T)  # a symbol's nodes and bits side by side
+        self.share = np.stack([1 - self.one, self.one], 1).ravel()  # of each bit, by the training counts
 
 
 @dataclass
@@ -115,6 +120,22 @@ class Coder:
     counts: np.ndarray
     texts: np.ndarray
     trees: tuple[Tree, Tree]
+    slots: np.ndarray
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of hashes; the most frequent word of a slot is found at once."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = self.slots[_slot(h)].astype(np.int64)
+        hit = self.hashes[at] == h
+        rest = np.flatnonzero(~hit)
+        found = np.minimum(np.searchsorted(self.hashes, h[rest]), len(self.hashes) - 1)
+        at[rest], hit[rest] = found, self.hashes[found] == h[rest]
+        return at, hit
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h.view(np.uint64) * _MULT) >> np.uint64(46)).view(np.int64)
 
 
 def make_coder(words: list[bytes], hashes: np.ndarray, counts: np.ndarray, texts: np.ndarray, escaped: int, letters: np.ndarray, once: int, twice: int) -> Coder:
@@ -130,7 +151,9 @@ def make_coder(words: list[bytes], hashes: np.ndarray, counts: np.ndarray, texts
     at = np.argsort(hashes)
     new = 256 * escaped + share * len(words) + 256
     weights = np.r_[np.maximum(256 * counts[order] - share, 1), new, new // 8]
-    return Coder(hashes[at], symbol[at], counts[at], texts[at], (Tree(weights), Tree(letters + 1)))
+    slots, often = np.zeros(1 << 18, np.int32), np.argsort(counts[at], kind="stable")
+    slots[_slot(hashes[at][often])] = often
+    return Coder(hashes[at], symbol[at], counts[at], texts[at], (Tree(weights), Tree(letters + 1)), slots)
 
 
 def _words(column):
@@ -231,11 +254,9 @@ def symbols(coder: Coder, part, starts, ends, row, h, rows: int, learning: bool
     For ``learning``, a word of a single text isn't in it.
     """
     texts, own, place, contexts = sequence(starts, ends, row, h, rows)
-    at, hit = np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+    at, hit = coder.find(own)
     number, known = np.full(len(own), len(coder.symbols)), np.zeros(len(own))
     if len(coder.hashes):
-        at = np.minimum(np.searchsorted(coder.hashes, own), len(coder.hashes) - 1)
-        hit = coder.hashes[at] == own
         if learning:
             hit &= (coder.texts[at] > 1) | (own == END)
         number = np.where(hit, coder.symbols[at], len(coder.symbols))
@@ -250,35 +271,58 @@ def symbols(coder: Coder, part, starts, ends, row, h, rows: int, learning: bool
 
 
 def _slots(tree: int, context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    return (((context ^ nodes) * _MULT) >> np.uint64(64 - SLOT_BITS[tree])).astype(np.int64)
+    out = context ^ nodes
+    out *= _MULT
+    out >>= np.uint64(64 - SLOT_BITS[tree])
+    return out.view(np.int64)
 
 
 def steps(coder: Coder, s: Symbols):
-    """Yields (depth, symbols that have a bit there, node, bit)."""
+    """Yields, for runs of ``STEP_ROWS`` symbols, (first symbol, symbol of each bit counted from there, depth, twice the node and the bit)."""
     tree = coder.trees[s.tree]
-    rows, depth = np.arange(len(s.number)), tree.depth[s.number]
+    for lo in range(0, len(s.number), STEP_ROWS):
+        number = s.number[lo : lo + STEP_ROWS]
+        depth = tree.depth.take(number)
+        at = np.repeat(np.arange(len(number)), depth)
+        off = np.cumsum(depth, dtype=np.int64) - depth
+        d = np.arange(len(at))
+        d -= off.take(at)
+        place = (number * DEPTH).take(at)
+        place += d
+        yield lo, at, d, tree.code.ravel().take(place).astype(np.int64)
+
+
+def passes(s: Symbols, tree: Tree) -> np.ndarray:
+    """(depths + 1, symbols): how many symbols before one in its text share its first bits, as many as the depth.
+
+    The order that brings symbols of a text with the same first bits together is
+    made bit by bit: those with a 0 first, each half in order.
+    """
+    n = len(s.number)
+    out = np.zeros((DEPTH + 1, n), np.float32)
+    place = np.arange(n)
+    bits, depth = (tree.code.take(s.number, axis=0) & 1).T.astype(np.int8), tree.depth.take(s.number)
+    order, start = place, np.searchsorted(s.row, s.row) if n else place
+    before = out[0] = place - start
     for d in range(DEPTH):
-        rows = rows[depth[rows] > d]
-        if not len(rows):
-            return
-        number = s.number[rows]
-        yield d, rows, tree.node[d][number], tree.bit[d][number]
-
-
-def in_text(s: Symbols, tree: Tree, rows, node, bit) -> tuple[np.ndarray, np.ndarray]:
-    """(log odds of the bit, how often the node was passed) by the symbols before each in its text."""
-    order = np.argsort(node, kind="stable")  # rows are in order, so a node's are too
-    n, r, b = node[order], s.row[rows][order], bit[order]
-    place = np.arange(len(n))
-    start = np.maximum.accumulate(np.where(np.r_[True, (r[1:] != r[:-1]) | (n[1:] != n[:-1])], place, 0))
-    ones = np.r_[0, np.cumsum(b, dtype=np.int64)[:-1]]
-    n1 = ones - ones[start]
-    passed = place - start
-    one = tree.one[n]
-    odds, seen = np.empty(len(n), np.float32), np.empty(len(n), np.int8)
-    odds[order] = np.log((n1 + one) / (passed - n1 + 1 - one))
-    seen[order] = _steps_seen(passed)
-    return odds, seen
+        bit = bits[d].take(order)
+        ones = np.cumsum(bit, dtype=np.int64) - bit
+        first = ones.take(start)  # ones before the first of the group
+        n1 = ones - first
+        one = np.flatnonzero(bit)
+        zero = np.flatnonzero(bit == 0)
+        before = np.concatenate([(before - n1).take(zero), n1.take(one)])
+        start = np.concatenate([(start - first).take(zero), first.take(one) + len(zero)])
+        order = np.concatenate([order.take(zero), order.take(one)])
+        out[d + 1][order] = before
+        if d % 2:  # groups of one symbol, or without further bits, stay as they are
+            n = len(order)
+            last = np.r_[start[1:] == np.arange(1, n), n > 0]
+            keep = (depth.take(order) > d + 1) & ~(last & (before == 0))
+            left = np.flatnonzero(keep)
+            order, before = order.take(left), before.take(left)
+            start = (np.cumsum(keep) - keep).take(start.take(left))
+    return out
 
 
 def _distinct(column, train: np.ndarray):
@@ -389,11 +433,13 @@ def count_tables(docs: DataFrame, coder) -> list[list[np.ndarray]]:
             for _, *texts in _words(batch.column("body")):
                 for s in symbols(coder.value, *texts, learning=True)[:2]:
                     tree = coder.value.trees[s.tree]
-                    for _, rows, node, bit in steps(coder.value, s):
-                        own, side = tree.hash[node], bit.astype(np.int32) << SLOT_BITS[s.tree]
-                        held += len(rows)
-                        for k, context in enumerate(s.contexts):
-                            seen[s.tree][k].append(_slots(s.tree, context[rows], own).astype(np.int32) | side)
+                    for lo, at, _, code in steps(coder.value, s):
+                        own, side = tree.hash.take(code >> 1), (code & 1) << SLOT_BITS[s.tree]
+                        held += len(at)
+                        for x, context in zip(seen[s.tree], s.contexts):
+                            slot = _slots(s.tree, context[lo : lo + STEP_ROWS].take(at), own)
+                            slot |= side
+                            x.append(slot.astype(np.int32))
                 if held > HELD_BITS:
                     flush()
                     total, held = total + held, 0
@@ -432,70 +478,121 @@ def _block(salt, tree, context, block, n) -> pa.RecordBatch:
 
 def _steps_seen(n: np.ndarray) -> np.ndarray:
     """How often a context was seen, in SEEN steps: never, up to 3, up to 31, more."""
-    return (n > 0).astype(np.int8) + (n > 3) + (n > 31)
+    return (n > 0).view(np.int8) + (n > 3).view(np.int8) + (n > 31).view(np.int8)
+
+
+@dataclass
+class Coded:
+    """Tables of counts in two bytes a slot: by context, each slot's code, and the counts (2, codes) that codes stand for."""
+
+    codes: np.ndarray
+    counts: list[np.ndarray]
+
+
+def coded(tables: list[np.ndarray]) -> Coded:
+    """Tables with more than 2^16 pairs of counts keep as many leading binary digits of each count as leave no more."""
+    codes, counts = np.zeros((len(tables), tables[0].shape[1] if tables else 0), np.uint16), []
+    for out, n in zip(codes, tables):
+        n = n.astype(np.int64)
+        pairs, at = np.unique(n[0] << 32 | n[1], return_inverse=True)
+        digits, few, to = 17, pairs, None
+        while len(few) > 1 << 16:
+            digits -= 1
+            two = np.stack([pairs >> 32, pairs & 0xFFFFFFFF])
+            low = np.maximum(np.frexp(two.astype(float))[1] - digits, 0)
+            two = (two >> low << low) + (1 << low >> 1)
+            few, to = np.unique(two[0] << 32 | two[1], return_inverse=True)
+        out[:] = at if to is None else to[at]
+        counts.append(np.stack([few >> 32, few & 0xFFFFFFFF]).astype(np.float32))
+    return Coded(codes, counts)
 
 
 class Mixer:
-    """Weights by gate over a tree's predictors (no context, hashed ones, the text so far) and a bias, and the refining table."""
-
-    def __init__(self, tree: int, tables: list[np.ndarray], state: tuple | None = None):
-        self.tree, self.tables = tree, tables
-        k = CONTEXTS[tree]
-        if state is None:
-            self.weights = np.tile(np.array([0.4] + [0.6 / k] * k + [0.0, 0.0], np.float32), (GATES, 1))
-            self.power = np.zeros((GATES, k + 3))
-            self.pairs = np.zeros((2, GATES * LEVELS))
+    """Weights by gate over a tree's predictors (no context, hashed ones, the text so far) and a bias, and the refining table.
+
+    Without a ``state`` it learns: a bit's own occurrence is left out of the
+    counts of its contexts, so a code has log odds for each value of the bit.
+    """
+
+    def __init__(self, tree: int, tables: Coded | list[np.ndarray], state: tuple | None = None):
+        self.tree = tree
+        tables = tables if isinstance(tables, Coded) else coded(tables)
+        self.codes, self.odds, self.seen = tables.codes, [], []
+        self.learning = state is None
+        if self.learning:
+            self.reset()
         else:
             self.weights, self.refined = state
-            self.odds = [np.log((n[1] + np.float32(0.4)) / (n[0] + np.float32(0.4))) for n in tables]
-            self.seen = {i: _steps_seen(tables[i][0] + tables[i][1]) for i in self.gate_by if i < k}
+        for n in tables.counts:
+            n0, n1 = np.zeros((2, 1 + self.learning, 1 << 16), np.float32)
+            for y in range(1 + self.learning):
+                n0[y, : n.shape[1]] = np.maximum(n[0] - (self.learning and y == 0), 0)
+                n1[y, : n.shape[1]] = np.maximum(n[1] - (self.learning and y == 1), 0)
+            self.odds.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))).ravel())
+            self.seen.append(_steps_seen(n0 + n1).ravel())
+
+    def reset(self) -> None:
+        k = CONTEXTS[self.tree]
+        self.weights = np.tile(np.array([0.4] + [0.6 / k] * k + [0.0, 0.0], np.float32), (GATES, 1))
+        self.power = np.zeros((GATES, k + 3))
+        self.pairs = np.zeros((2, GATES * LEVELS), np.int64)
 
     @property
     def gate_by(self) -> tuple[int, int]:
         """What picks the gate by how often it was seen: the text so far and the word before; two and four bytes before."""
         return ((CONTEXTS[0], 0), (2, 4))[self.tree]
 
-    def inputs(self, tree: Tree, s: Symbols, d: int, rows, node, bit, text, left_out: bool):
-        """(log odds (predictors, rows), gate); ``left_out`` takes the bit's own occurrence out of the counts.
-
-        ``text``: what ``in_text`` gives, None for spelled bytes.
-        """
-        own, k = tree.hash[node], CONTEXTS[self.tree]
-        x = np.zeros((k + 3, len(rows)), np.float32)
-        x[0], x[-1] = tree.odds[node], 1
+    def inputs(self, tree: Tree, s: Symbols, passed: np.ndarray | None, lo: int, at, d, code):
+        """(log odds (predictors, bits), gate) of the bits of a run of symbols; ``passed``: what ``passes`` gives, None for spelled bytes."""
+        node, k = code >> 1, CONTEXTS[self.tree]
+        own = tree.hash.take(node)
+        x = np.empty((k + 3, len(at)), np.float32)
+        tree.odds.take(node, out=x[0], mode="clip")
+        x[-2], x[-1] = 0, 1
         picks = {}
-        if text is not None:
-            x[k + 1], picks[k] = text
+        if passed is not None:
+            place = d * passed.shape[1]
+            place += at
+            place += lo
+            so_far = passed.ravel().take(place)
+            alike, share = passed[1:].ravel().take(place), tree.share.take(code)
+            odds = alike + share
+            odds /= so_far - alike + (1 - share)
+            np.log(odds, out=x[-2])  # of the bit as it is
+            x[-2] *= (2 * (code & 1) - 1).astype(np.float32)
+            picks[k] = _steps_seen(so_far)
+        side = (code & 1) << 16 if self.learning else None
         for i, context in enumerate(s.contexts):
-            at = _slots(self.tree, context[rows], own)
-            if left_out:
-                n0, n1 = (np.maximum(self.tables[i][y][at] - (bit == y), 0) for y in (0, 1))
-                x[i + 1] = np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
-                picks[i] = _steps_seen(n0 + n1)
-            else:
-                x[i + 1] = self.odds[i][at]
-                if i in self.gate_by:
-                    picks[i] = self.seen[i][at]
+            slot = _slots(self.tree, context[lo : lo + STEP_ROWS].take(at), own)
+            n = self.codes[i].take(slot, mode="clip").astype(np.int64)
+            if self.learning:
+                n |= side
+            self.odds[i].take(n, out=x[i + 1], mode="clip")
+            if i in self.gate_by:
+                picks[i] = self.seen[i].take(n)
         first, second = self.gate_by
-        return x, (d * SEEN + picks[first].astype(np.int64)) * SEEN + picks[second]
+        gate = d * SEEN
+        gate += picks[first]
+        gate *= SEEN
+        gate += picks[second]
+        return x, gate
 
     def mix(self, x, gate):
-        z = np.zeros(len(gate), np.float32)
-        for w, v in zip(self.weights.T, x):
-            z += w[gate] * v
-        return np.clip(z, -14, 14)
+        z = np.einsum("ij,ij->j", np.ascontiguousarray(self.weights.T).take(gate, axis=1, mode="clip"), x)
+        return np.clip(z, -14, 14, out=z)
 
     @staticmethod
     def level(z, gate):
-        return gate * LEVELS + np.clip((z + 12).astype(np.int64), 0, LEVELS - 1)
+        out = np.clip(z + np.float32(12), 0, LEVELS - 1).astype(np.int64)
+        out += gate * LEVELS
+        return out
 
     def learn(self, x, gate, bit):
         """One online step: the refining table sees what was mixed, then the weights follow the error."""
         z = self.mix(x, gate)
-        at = self.level(z, gate)
-        for y in (0, 1):
-            self.pairs[y] += np.bincount(at[bit == y], minlength=GATES * LEVELS)
-        wrong = bit - 1 / (1 + np.exp(-z))
+        self.pairs += np.bincount(self.level(z, gate) + bit * (GATES * LEVELS), minlength=2 * GATES * LEVELS).reshape(2, -1)
+        wrong = bit.astype(np.float32)
+        wrong -= 1 / (1 + np.exp(-z))
         mass = np.maximum(np.bincount(gate, minlength=GATES), 1)[:, None]
         slope = np.stack([np.bincount(gate, weights=wrong * v, minlength=GATES) for v in x], 1) / mass
         self.power += slope**2
@@ -504,51 +601,108 @@ class Mixer:
     def log_bits(self, x, gate, bit):
         """Natural log of the probability of each bit: the mean of the mixed and the refined one."""
         z = self.mix(x, gate)
-        p = 0.5 / (1 + np.exp(-z)) + np.float32(0.5) * self.refined[self.level(z, gate)]
-        p = np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6))
-        return np.log(np.where(bit > 0, p, 1 - p))
+        p = self.refined.take(self.level(z, gate))
+        p += 1 / (1 + np.exp(-z))
+        p *= np.float32(0.5)
+        np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
+        p -= (1 - bit).astype(np.float32)  # a 0 has what is left of 1
+        return np.log(np.abs(p, out=p), out=p)
 
 
 def fit_symbols(coder: Coder, mixer: Mixer, s: Symbols) -> None:
     """Learns symbols in order, ``STEP_ROWS`` at a time, each left out of the counts of its contexts."""
-    tree, by_depth = coder.trees[s.tree], []
-    for d, rows, node, bit in steps(coder, s):
-        by_depth.append((d, rows, node, bit, in_text(s, tree, rows, node, bit) if not s.tree else None))
-    for lo in range(0, len(s.number), STEP_ROWS):
-        for d, rows, node, bit, text in by_depth:
-            of = slice(*np.searchsorted(rows, [lo, lo + STEP_ROWS]))
-            if of.start < of.stop:
-                mixer.learn(*mixer.inputs(tree, s, d, rows[of], node[of], bit[of], text and tuple(x[of] for x in text), True), bit[of])
-
-
-def fit_mixers(docs: DataFrame, id_hash: Column, coder, tables, texts: int) -> list[tuple]:
-    """(weights, refining table) by tree.
-
-    Fitted on the ``texts`` training texts of smallest hash (all that tie), dealt
-    to shards by hash; each shard learns online over its texts in order of hash,
-    and the shards' weights are averaged in order.
+    tree = coder.trees[s.tree]
+    passed = None if s.tree else passes(s, tree)
+    for lo, at, d, code in steps(coder, s):
+        mixer.learn(*mixer.inputs(tree, s, passed, lo, at, d, code), code & 1)
+
+
+def shard_chunks(batches):
+    """Yields (shard, texts) of rows that come by shard: chunks of about ``CHUNK`` bytes, cut from the shard's first text on, whatever the batches."""
+    shard, held, size = None, [], 0
+    for batch in batches:
+        of, body = batch.column("shard").to_numpy(), batch.column("body")
+        cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            if held and of[lo] != shard:
+                for part in _cut(held):
+                    yield shard, part
+                held, size = [], 0
+            shard, piece = int(of[lo]), body.slice(lo, hi - lo)
+            held.append(piece)
+            size += piece.nbytes
+            if size > 8 * CHUNK:
+                *whole, last = _cut(held)  # more texts may belong to the last
+                for part in whole:
+                    yield shard, part
+                held, size = [last], last.nbytes
+    for part in _cut(held) if held else ():
+        yield shard, part
+
+
+def _cut(held: list[pa.Array]) -> list[pa.Array]:
+    column = pa.concat_arrays(held)
+    return [column.slice(lo, hi - lo) for lo, hi in chunks(text_buffers(column)[1], CHUNK)]
+
+
+def fit_mixers(docs: DataFrame, id_hash: Column, coder, tables, texts: int, size: int) -> list[tuple]:
+    """(weights, refining table) by tree, learnt from all of the ``texts`` training texts.
+
+    They are dealt by hash to shards of about ``size``, at least ``SHARDS``; each
+    shard learns online over its texts in order of hash, and the shards' weights
+    are averaged. What shards have learnt is summed in tasks, as integers.
     """
-    train = docs.where("not held").withColumn("k", id_hash)
-    last = train.select("k").orderBy("k").limit(texts).agg(F.max("k")).first()[0]
-    sample = train.where(F.col("k") <= F.lit(last)).select("k", "body").withColumn("shard", F.pmod("k", F.lit(SHARDS)).cast("int"))
+    shards = max(SHARDS, -(-texts // size))
+    dealt = docs.where("not held").select(id_hash.alias("k"), "body").withColumn("shard", F.pmod("k", F.lit(shards)).cast("int"))
+
+    def packed(n, mixers_of) -> pa.RecordBatch:
+        state = [x.tobytes() for x in mixers_of]
+        return pa.record_batch([pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([n], pa.int64()), pa.array([state], pa.list_(pa.binary()))], ["salt", "n", "state"])
 
-    def run(key, table):
-        table = table.combine_chunks()
-        column = table.sort_by([("k", "ascending"), ("body", "ascending")]).column("body").combine_chunks()
+    def run(batches):
         mixers = [Mixer(t, tables.value[t]) for t in (0, 1)]
-        for _, *texts_of in _words(column):
-            for s, mixer in zip(symbols(coder.value, *texts_of, learning=True), mixers):
-                fit_symbols(coder.value, mixer, s)
-        state = [x for m in mixers for x in (m.weights.tobytes(), m.pairs.tobytes())]
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "state": pa.array([state], pa.list_(pa.binary()))})
-
-    shards = sample.groupBy("shard").applyInArrow(run, "shard int, state array<binary>").orderBy("shard").collect()
-    out = []
+        total, n, now = [], 0, None
+
+        def end():
+            learnt = [x for m in mixers for x in (np.rint(m.weights.astype(np.float64) * UNIT).astype(np.int64), m.pairs)]
+            total[:] = [a + b for a, b in zip(total, learnt)] if total else learnt
+            for m in mixers:
+                m.reset()
+
+        for shard, column in shard_chunks(batches):
+            if shard != now and now is not None:
+                end()
+                n += 1
+            now = shard
+            for _, *texts_of in _words(column):
+                for s, mixer in zip(symbols(coder.value, *texts_of, learning=True), mixers):
+                    fit_symbols(coder.value, mixer, s)
+        if now is not None:
+            end()
+            yield packed(n + 1, total)
+
+    def add(batches):
+        total, n = [], 0
+        for batch in batches:
+            for k, state in zip(batch.column("n").to_pylist(), batch.column("state").to_pylist()):
+                learnt = [np.frombuffer(x, np.int64) for x in state]
+                total, n = [a + b for a, b in zip(total, learnt)] if total else learnt, n + k
+        if n:
+            yield packed(n, total)
+
+    schema = "salt int, n bigint, state array<binary>"
+    learnt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "k", "body").select("shard", "body").mapInArrow(run, schema)
+    found = learnt.repartition(SALTS, "salt").mapInArrow(add, schema).collect()
+    n, out = sum(r["n"] for r in found), []
     middle = 1 / (1 + np.exp(-(np.tile(np.arange(LEVELS), GATES) + 0.5 - 12)))
     for t in (0, 1):
-        weights = [np.frombuffer(r["state"][2 * t], np.float32).reshape(GATES, -1).astype(np.float64) for r in shards] or [Mixer(t, []).weights]
-        pairs = sum((np.frombuffer(r["state"][2 * t + 1]).reshape(2, -1) for r in shards), np.zeros((2, GATES * LEVELS)))
-        out.append((np.mean(weights, 0).astype(np.float32), ((pairs[1] + 20 * middle) / (pairs.sum(0) + 20)).astype(np.float32)))
+        weights, pairs = (sum((np.frombuffer(r["state"][2 * t + i], np.int64) for r in found), np.int64(0)) for i in (0, 1))
+        start = Mixer(t, [])
+        weights = (weights / (n * UNIT)).reshape(GATES, -1).astype(np.float32) if n else start.weights
+        pairs = pairs.reshape(2, -1) if n else start.pairs
+        out.append((weights, ((pairs[1] + 20 * middle) / (pairs.sum(0) + 20)).astype(np.float32)))
     return out
 
 
@@ -556,13 +710,14 @@ def log_symbols(coder: Coder, mixer: Mixer, s: Symbols) -> np.ndarray:
     """Natural log of the probability of each symbol."""
     tree = coder.trees[s.tree]
     out = tree.rest[s.number] + s.rest
-    for d, rows, node, bit in steps(coder, s):
-        text = None if s.tree else in_text(s, tree, rows, node, bit)
-        out[rows] += mixer.log_bits(*mixer.inputs(tree, s, d, rows, node, bit, text, False), bit)
+    passed = None if s.tree else passes(s, tree)
+    for lo, at, d, code in steps(coder, s):
+        part = out[lo : lo + STEP_ROWS]
+        part += np.bincount(at, weights=mixer.log_bits(*mixer.inputs(tree, s, passed, lo, at, d, code), code & 1), minlength=len(part))
     return out
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, fit_texts: int = FIT_TEXTS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """A row (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of ``docs``.
 
     Tokens are lower-cased words and the end. Training texts are those that
@@ -573,19 +728,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows count as often as they stand; an empty table gives an empty one.
     """
     with small_batches(docs.sparkSession):
-        return _score(docs, id_col, text_col, head, fit_texts)
+        return _score(docs, id_col, text_col, head, shard_texts)
 
 
-def _score(docs: DataFrame, id_col: str, text_col: str, head: int, fit_texts: int) -> DataFrame:
+def _score(docs: DataFrame, id_col: str, text_col: str, head: int, shard_texts: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), held_out(F.col(id_col)).alias("held"), body.alias("body"))
     words = materialise(count_words(rows), "words")
-    n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    texts = F.max(F.when((F.col("wh") == int(END)) & (F.octet_length("word") == 0), F.col("c")))
+    n, v, texts = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(texts, F.lit(0))).first()
     coder = spark.sparkContext.broadcast(fit_coder(words, head))
-    tables = spark.sparkContext.broadcast(count_tables(rows, coder))
-    states = fit_mixers(rows, F.xxhash64(F.coalesce("id", F.lit(0)), "body"), coder, tables, fit_texts)
+    tables = spark.sparkContext.broadcast([coded(n) for n in count_tables(rows, coder)])
+    states = fit_mixers(rows, F.xxhash64(F.coalesce("id", F.lit(0)), "body"), coder, tables, texts, shard_texts)
     floor = float(np.log10(n + 0.5 * (v + 1)))
 
     def run(batches):

@@ -212,3 +212,50 @@ def test_tables_without_and_with_one_training_row(spark):
         got = score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
         assert len(got) == len(rows) and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in got)
         agree(got, rows)
+
+
+def test_weights_are_learnt_from_all_training_texts(spark, monkeypatch):
+    """More texts than were once sampled: weights and refining tables are those of a loop over every training text."""
+    seen = []
+    fit = L.fit_mixers
+
+    def watched(*args):
+        seen.append((args, fit(*args)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(L, "fit_mixers", watched)
+    rows = [(i, f"w{i % 50} x{i * i % 7} the w{i % 11} n{i}") for i in range(6000)]
+    score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    (docs, k, coder, tables, *_), states = seen[0]
+    texts = defaultdict(list)
+    for key, body in docs.where("not held").select(k, "body").collect():
+        texts[key % 8].append((key, body))
+    assert sum(map(len, texts.values())) > 4700
+    learnt = []
+    for shard in sorted(texts):
+        mixers = [L.Mixer(t, tables.value[t]) for t in (0, 1)]
+        for _, *x in L._words(pa.array([body for _, body in sorted(texts[shard])])):
+            for s, mixer in zip(L.symbols(coder.value, *x, learning=True), mixers):
+                L.fit_symbols(coder.value, mixer, s)
+        learnt.append(mixers)
+    middle = 1 / (1 + np.exp(-(np.tile(np.arange(L.LEVELS), L.GATES) + 0.5 - 12)))
+    for t, (weights, refined) in enumerate(states):
+        assert np.allclose(weights, np.mean([m[t].weights for m in learnt], 0), atol=1e-5)
+        pairs = sum(m[t].pairs for m in learnt)
+        assert np.allclose(refined, (pairs[1] + 20 * middle) / (pairs.sum(0) + 20), atol=1e-5)
+    column = pa.array(["a b", "c" * 70_000, "", "d e f", "g" * 200_000, "h"] * 9)
+    whole = [(3, x) for x in L._cut([column])]
+    for n in (1, 4, 54):
+        batches = [pa.record_batch([pa.array([3] * len(x), pa.int32()), x], ["shard", "body"]) for x in (column.slice(i, n) for i in range(0, 54, n))]
+        assert list(L.shard_chunks(batches)) == whole
+
+
+def test_coded_counts():
+    """Up to 2^16 pairs of counts are kept as they are; of more, the leading digits."""
+    rng = np.random.default_rng(5)
+    for top, near in ((200, 0), (1 << 30, 0.02)):
+        n = rng.integers(0, top, (2, 1 << 18)).astype(np.float32)
+        n[:, :1000] %= 8
+        out = L.coded([n])
+        got = out.counts[0][:, out.codes[0]]
+        assert len(out.counts[0][0]) <= 1 << 16 and np.all(np.abs(got - n) <= near * n)
