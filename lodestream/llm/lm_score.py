@@ -50,6 +50,8 @@ SHORT = 3
 CONTEXTS, SLOT_BITS = (4, 5), (19, 18)
 #: About how many training texts a shard has that weights are learnt in, the fewest shards, and symbols of a step.
 SHARD_TEXTS, SHARDS, STEP_ROWS = 4096, 8, 2048
+#: Symbols whose order in their texts is found at once.
+PASSES = 8192
 #: Weights are summed as integers, in parts of a unit.
 UNIT = 1 << 32
 RATE, LEVELS, SEEN = 0.05, 24, 4
@@ -62,7 +64,10 @@ HELD, HELD_BITS, FULL = 1_000_000, 2_000_000, 1 << 31
 #: Pieces that a block's counts are first summed in, so that no task gets those of all tasks.
 SALTS = 16
 TABLES = "salt int, tree int, context int, block int, n binary"
-_MULT = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Brings to the top what slots are of a context's hash and a node's; nodes that differ in low bits have slots side by side.
+_MULT = np.uint64(1 << 32 - max(SLOT_BITS))
+#: Depths of a tree whose nodes have slots side by side, 64 bytes of codes at most.
+NEAR = 5
 
 
 def held_out(id_col: Column) -> Column:
@@ -70,21 +75,32 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
+def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A table's slots of hashes; that of two hashes' exclusive or is their slots' exclusive or."""
+    return (hashes * _MULT >> np.uint64(64 - bits)).astype(np.int32)
+
+
 class Tree:
     """A binary code over weighted symbols in a given order: every node halves the weight of its symbols."""
 
-    def __init__(self, weights: np.ndarray, depth: int = DEPTH):
+    def __init__(self, weights: np.ndarray, depth: int = DEPTH, slot_bits: int = max(SLOT_BITS)):
         n = len(weights)
         total = np.r_[0, np.cumsum(weights.astype(np.int64))]
         self.node = np.zeros((depth, n), np.uint16)  # by depth, the node that a symbol is under
         self.bit = np.zeros((depth, n), np.uint8)
         self.depth = np.zeros(n, np.int8)
         lo, hi, made, odds = np.array([0]), np.array([n]), 0, []
+        group, within, groups, hashes = np.array([0]), np.array([1]), 0, []  # nodes below one of every NEAR depths, and which of these one is
         for d in range(depth):
             whole = hi - lo > 1
-            lo, hi = lo[whole], hi[whole]
+            lo, hi, group, within = lo[whole], hi[whole], group[whole], within[whole]
             if not len(lo):
                 break
+            if d % NEAR == 0:
+                group, within = groups + np.arange(len(lo)), np.ones(len(lo), np.int64)
+                groups += len(lo)
+            hashes.append(group * 0x5851F42D << NEAR | within)
+            group, within = np.repeat(group, 2), (within[:, None] * 2 + [0, 1]).ravel()
             cut = np.clip(np.searchsorted(total, (total[lo] + total[hi]) / 2), lo + 1, hi - 1)
             odds.append(np.log((total[hi] - total[cut] + 0.4) / (total[cut] - total[lo] + 0.4)))
             size = hi - lo
@@ -103,15 +119,19 @@ class Tree:
         key = group * (depth + 1) + self.depth
         _, of = np.unique(key, return_inverse=True)
         self.rest = np.log(weights / np.bincount(of, weights=weights)[of]) if n else np.zeros(0)
-        self.hash = mix(np.arange(1, made + 1, dtype=np.uint64) * _MULT)
+        # no two nodes have the same slot after one context
+        self.hash = np.concatenate([np.zeros(0, np.int64), *hashes]).astype(np.uint64) << np.uint64(32 + max(SLOT_BITS) - slot_bits)
         self.code = np.ascontiguousarray((self.node << 1 | self.bit).T)  # a symbol's nodes and bits side by side
-        self.share = np.stack([1 - self.one, self.one], 1).ravel()  # of each bit, by the training counts
+        # by node and bit: the slot after a context of hash 0, the odds, the bit's share by the training counts
+        self.slot, self.odds_of = np.repeat(slots(self.hash, slot_bits), 2), np.repeat(self.odds, 2)
+        self.share = np.stack([1 - self.one, self.one], 1).ravel().astype(np.float32)
 
 
 @dataclass
 class Coder:
     """The dictionary: sorted hashes with each one's symbol, training count and number of texts, and the trees of words and bytes.
 
+    ``slots``: the place of a slot's most frequent word, ``bounds``: of its first one.
     The symbol after the last is the escape, the next one marks a word that was escaped before.
     """
 
@@ -121,6 +141,7 @@ class Coder:
     texts: np.ndarray
     trees: tuple[Tree, Tree]
     slots: np.ndarray
+    bounds: np.ndarray
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether it is there) of hashes; the most frequent word of a slot is found at once."""
@@ -129,13 +150,23 @@ class Coder:
         at = self.slots[_slot(h)].astype(np.int64)
         hit = self.hashes[at] == h
         rest = np.flatnonzero(~hit)
-        found = np.minimum(np.searchsorted(self.hashes, h[rest]), len(self.hashes) - 1)
-        at[rest], hit[rest] = found, self.hashes[found] == h[rest]
+        slot = _slot(h[rest])
+        first, size = self.bounds.take(slot), self.bounds.take(slot + 1)
+        size -= first
+        k, few = 0, np.flatnonzero(size > 1)  # of one word, it was that one or none
+        while len(few):
+            rest, first, size = rest.take(few), first.take(few), size.take(few)
+            found = first + k
+            same = self.hashes.take(found) == h.take(rest)
+            at[rest[same]], hit[rest[same]] = found[same], True
+            k += 1
+            few = np.flatnonzero(~same & (size > k))
         return at, hit
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return ((h.view(np.uint64) * _MULT) >> np.uint64(46)).view(np.int64)
+    """The first bits of hashes, so that words of a slot are neighbours in order."""
+    return (h >> 46) + (1 << 17)
 
 
 def make_coder(words: list[bytes], hashes: np.ndarray, counts: np.ndarray, texts: np.ndarray, escaped: int, letters: np.ndarray, once: int, twice: int) -> Coder:
@@ -153,7 +184,8 @@ def make_coder(words: list[bytes], hashes: np.ndarray, counts: np.ndarray, texts
     weights = np.r_[np.maximum(256 * counts[order] - share, 1), new, new // 8]
     slots, often = np.zeros(1 << 18, np.int32), np.argsort(counts[at], kind="stable")
     slots[_slot(hashes[at][often])] = often
-    return Coder(hashes[at], symbol[at], counts[at], texts[at], (Tree(weights), Tree(letters + 1)), slots)
+    bounds = np.searchsorted(_slot(hashes[at]), np.arange(len(slots) + 1))
+    return Coder(hashes[at], symbol[at], counts[at], texts[at], (Tree(weights), Tree(letters + 1, slot_bits=SLOT_BITS[1])), slots, bounds)
 
 
 def _words(column):
@@ -270,58 +302,80 @@ def symbols(coder: Coder, part, starts, ends, row, h, rows: int, learning: bool
     return Symbols(0, number, texts, contexts, known), bytes_of, at, hit, own
 
 
-def _slots(tree: int, context: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    out = context ^ nodes
-    out *= _MULT
-    out >>= np.uint64(64 - SLOT_BITS[tree])
-    return out.view(np.int64)
+class Arranged:
+    """Symbols by runs of ``STEP_ROWS``, in each the deepest first, so that the bits of a depth are those of the run's first symbols.
 
+    ``order``: the symbols' places before; ``code``: by depth, twice the node and
+    the bit; ``contexts``: each context's slots before a node is taken in.
+    """
 
-def steps(coder: Coder, s: Symbols):
-    """Yields, for runs of ``STEP_ROWS`` symbols, (first symbol, symbol of each bit counted from there, depth, twice the node and the bit)."""
-    tree = coder.trees[s.tree]
-    for lo in range(0, len(s.number), STEP_ROWS):
-        number = s.number[lo : lo + STEP_ROWS]
-        depth = tree.depth.take(number)
-        at = np.repeat(np.arange(len(number)), depth)
-        off = np.cumsum(depth, dtype=np.int64) - depth
-        d = np.arange(len(at))
-        d -= off.take(at)
-        place = (number * DEPTH).take(at)
-        place += d
-        yield lo, at, d, tree.code.ravel().take(place).astype(np.int64)
+    def __init__(self, coder: Coder, s: Symbols):
+        self.tree = coder.trees[s.tree]
+        depth = self.tree.depth.take(s.number)
+        key = np.arange(len(depth)) // STEP_ROWS * (DEPTH + 1) + DEPTH
+        key -= depth
+        if len(key) and key[-1] + DEPTH < 1 << 15:
+            key = key.astype(np.int16)  # sorted by digits
+        self.order = np.argsort(key, kind="stable")
+        self.depth = depth.take(self.order)
+        self.code = np.ascontiguousarray(self.tree.code.take(s.number.take(self.order), axis=0).T)
+        self.contexts = np.stack([slots(context, SLOT_BITS[s.tree]).take(self.order) for context in s.contexts])
+
+    def runs(self):
+        """Yields, for each run, (first symbol, by depth the number of symbols with a bit, twice the node and the bit)."""
+        for lo in range(0, len(self.depth), STEP_ROWS):
+            depth = self.depth[lo : lo + STEP_ROWS]
+            deep = len(depth) - np.cumsum(np.bincount(depth, minlength=DEPTH + 1))[:DEPTH]
+            deep = deep[deep > 0].tolist()
+            if deep:
+                yield lo, deep, np.concatenate([of[lo : lo + m] for of, m in zip(self.code, deep)], dtype=np.int64)
+
+    def slots(self, lo: int, deep: list[int], code: np.ndarray) -> np.ndarray:
+        """(contexts, bits): the slots of a run's bits."""
+        out = np.concatenate([self.contexts[:, lo : lo + m] for m in deep], axis=1)
+        out ^= self.tree.slot.take(code)
+        return out
 
 
-def passes(s: Symbols, tree: Tree) -> np.ndarray:
-    """(depths + 1, symbols): how many symbols before one in its text share its first bits, as many as the depth.
+def passes(row: np.ndarray, symbols: Arranged) -> np.ndarray:
+    """(depths + 1, symbols as arranged): how many symbols before one in its text share its first bits, as many as the depth.
 
     The order that brings symbols of a text with the same first bits together is
     made bit by bit: those with a 0 first, each half in order.
     """
-    n = len(s.number)
+    n = len(row)
     out = np.zeros((DEPTH + 1, n), np.float32)
-    place = np.arange(n)
-    bits, depth = (tree.code.take(s.number, axis=0) & 1).T.astype(np.int8), tree.depth.take(s.number)
-    order, start = place, np.searchsorted(s.row, s.row) if n else place
-    before = out[0] = place - start
-    for d in range(DEPTH):
-        bit = bits[d].take(order)
-        ones = np.cumsum(bit, dtype=np.int64) - bit
-        first = ones.take(start)  # ones before the first of the group
-        n1 = ones - first
-        one = np.flatnonzero(bit)
-        zero = np.flatnonzero(bit == 0)
-        before = np.concatenate([(before - n1).take(zero), n1.take(one)])
-        start = np.concatenate([(start - first).take(zero), first.take(one) + len(zero)])
-        order = np.concatenate([order.take(zero), order.take(one)])
-        out[d + 1][order] = before
-        if d % 2:  # groups of one symbol, or without further bits, stay as they are
-            n = len(order)
-            last = np.r_[start[1:] == np.arange(1, n), n > 0]
-            keep = (depth.take(order) > d + 1) & ~(last & (before == 0))
-            left = np.flatnonzero(keep)
-            order, before = order.take(left), before.take(left)
-            start = (np.cumsum(keep) - keep).take(start.take(left))
+    arranged = np.empty(n, np.int64)
+    arranged[symbols.order] = np.arange(n)
+    heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if n else arranged
+    text = np.repeat(heads, np.diff(heads, append=n))
+    bits = (symbols.code & 1).astype(bool)
+    lo = 0
+    while lo < n:  # whole texts, few enough for a core's cache
+        hi = min(lo + PASSES, n)
+        hi = int(text[hi]) if hi < n and text[hi] > lo else int(np.searchsorted(row, row[hi - 1], side="right"))
+        order, start = arranged[lo:hi], text[lo:hi] - lo
+        lo = hi
+        place = np.arange(len(order))
+        out[0][order] = place - start
+        for d in range(DEPTH):
+            bit = bits[d].take(order)
+            one, zero = np.flatnonzero(bit), np.flatnonzero(~bit)
+            first = np.cumsum(bit)
+            first -= bit
+            first = first.take(start)  # ones before the first of the group
+            start -= first
+            order = np.concatenate([order.take(zero), order.take(one)])
+            start = np.concatenate([start.take(zero), first.take(one) + len(zero)])
+            before = place - start
+            out[d + 1][order] = before
+            if d % 2:  # groups of one symbol, or without further bits, stay as they are
+                last = np.r_[before[1:] == 0, True] if len(before) else before > 0
+                keep = symbols.depth.take(order) > d + 1
+                keep &= ~last | (before > 0)
+                left = np.flatnonzero(keep)
+                order, place = order.take(left), place[: len(left)]
+                start = (np.cumsum(keep) - keep).take(start.take(left))
     return out
 
 
@@ -432,14 +486,12 @@ def count_tables(docs: DataFrame, coder) -> list[list[np.ndarray]]:
         for batch in batches:
             for _, *texts in _words(batch.column("body")):
                 for s in symbols(coder.value, *texts, learning=True)[:2]:
-                    tree = coder.value.trees[s.tree]
-                    for lo, at, _, code in steps(coder.value, s):
-                        own, side = tree.hash.take(code >> 1), (code & 1) << SLOT_BITS[s.tree]
-                        held += len(at)
-                        for x, context in zip(seen[s.tree], s.contexts):
-                            slot = _slots(s.tree, context[lo : lo + STEP_ROWS].take(at), own)
-                            slot |= side
-                            x.append(slot.astype(np.int32))
+                    arranged = Arranged(coder.value, s)
+                    for lo, deep, code in arranged.runs():
+                        side = (code & 1).astype(np.int32) << np.int32(SLOT_BITS[s.tree])
+                        held += len(code)
+                        for x, slot in zip(seen[s.tree], arranged.slots(lo, deep, code) | side):
+                            x.append(slot)
                 if held > HELD_BITS:
                     flush()
                     total, held = total + held, 0
@@ -502,7 +554,12 @@ def coded(tables: list[np.ndarray]) -> Coded:
             low = np.maximum(np.frexp(two.astype(float))[1] - digits, 0)
             two = (two >> low << low) + (1 << low >> 1)
             few, to = np.unique(two[0] << 32 | two[1], return_inverse=True)
-        out[:] = at if to is None else to[at]
+        at = at if to is None else to[at]
+        # what is looked up often comes first, so that it is side by side
+        order = np.argsort(-np.bincount(at, weights=n[0] + n[1], minlength=len(few)), kind="stable")
+        place = np.empty(len(few), np.uint16)
+        place[order] = np.arange(len(few))
+        out[:], few = place[at], few[order]
         counts.append(np.stack([few >> 32, few & 0xFFFFFFFF]).astype(np.float32))
     return Coded(codes, counts)
 
@@ -524,10 +581,10 @@ class Mixer:
         else:
             self.weights, self.refined = state
         for n in tables.counts:
-            n0, n1 = np.zeros((2, 1 + self.learning, 1 << 16), np.float32)
+            n0, n1 = np.zeros((2, 1 << 16, 1 + self.learning), np.float32)
             for y in range(1 + self.learning):
-                n0[y, : n.shape[1]] = np.maximum(n[0] - (self.learning and y == 0), 0)
-                n1[y, : n.shape[1]] = np.maximum(n[1] - (self.learning and y == 1), 0)
+                n0[: n.shape[1], y] = np.maximum(n[0] - (self.learning and y == 0), 0)
+                n1[: n.shape[1], y] = np.maximum(n[1] - (self.learning and y == 1), 0)
             self.odds.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))).ravel())
             self.seen.append(_steps_seen(n0 + n1).ravel())
 
@@ -542,39 +599,36 @@ class Mixer:
         """What picks the gate by how often it was seen: the text so far and the word before; two and four bytes before."""
         return ((CONTEXTS[0], 0), (2, 4))[self.tree]
 
-    def inputs(self, tree: Tree, s: Symbols, passed: np.ndarray | None, lo: int, at, d, code):
+    def inputs(self, symbols: Arranged, passed: np.ndarray | None, lo: int, deep: list[int], code):
         """(log odds (predictors, bits), gate) of the bits of a run of symbols; ``passed``: what ``passes`` gives, None for spelled bytes."""
-        node, k = code >> 1, CONTEXTS[self.tree]
-        own = tree.hash.take(node)
-        x = np.empty((k + 3, len(at)), np.float32)
-        tree.odds.take(node, out=x[0], mode="clip")
+        tree, k, bit = symbols.tree, CONTEXTS[self.tree], code & 1
+        x = np.empty((k + 3, len(code)), np.float32)
+        tree.odds_of.take(code, out=x[0], mode="clip")
         x[-2], x[-1] = 0, 1
         picks = {}
         if passed is not None:
-            place = d * passed.shape[1]
-            place += at
-            place += lo
-            so_far = passed.ravel().take(place)
-            alike, share = passed[1:].ravel().take(place), tree.share.take(code)
-            odds = alike + share
-            odds /= so_far - alike + (1 - share)
-            np.log(odds, out=x[-2])  # of the bit as it is
-            x[-2] *= (2 * (code & 1) - 1).astype(np.float32)
+            so_far, alike = (np.concatenate([of[lo : lo + m] for of, m in zip(passed[i:], deep)]) for i in (0, 1))
             picks[k] = _steps_seen(so_far)
-        side = (code & 1) << 16 if self.learning else None
-        for i, context in enumerate(s.contexts):
-            slot = _slots(self.tree, context[lo : lo + STEP_ROWS].take(at), own)
-            n = self.codes[i].take(slot, mode="clip").astype(np.int64)
+            share = tree.share.take(code)
+            so_far -= alike
+            so_far += 1 - share
+            alike += share
+            alike /= so_far
+            np.log(alike, out=alike)  # of the bit as it is
+            np.multiply(alike, bit.astype(np.float32) * 2 - 1, out=x[-2])
+        for i, slot in enumerate(symbols.slots(lo, deep, code)):
+            n = self.codes[i].take(slot.astype(np.int64), mode="clip").astype(np.int64)
             if self.learning:
-                n |= side
+                n <<= 1
+                n |= bit
             self.odds[i].take(n, out=x[i + 1], mode="clip")
             if i in self.gate_by:
-                picks[i] = self.seen[i].take(n)
+                picks[i] = self.seen[i].take(n, mode="clip")
         first, second = self.gate_by
-        gate = d * SEEN
-        gate += picks[first]
-        gate *= SEEN
+        gate = picks[first] * np.int8(SEEN)
         gate += picks[second]
+        gate = gate.astype(np.int64)
+        gate += np.repeat(np.arange(len(deep)) * (SEEN * SEEN), deep)
         return x, gate
 
     def mix(self, x, gate):
@@ -593,28 +647,31 @@ class Mixer:
         self.pairs += np.bincount(self.level(z, gate) + bit * (GATES * LEVELS), minlength=2 * GATES * LEVELS).reshape(2, -1)
         wrong = bit.astype(np.float32)
         wrong -= 1 / (1 + np.exp(-z))
-        mass = np.maximum(np.bincount(gate, minlength=GATES), 1)[:, None]
-        slope = np.stack([np.bincount(gate, weights=wrong * v, minlength=GATES) for v in x], 1) / mass
+        # neighbours of one gate are summed apart, as a sum waits for the one before
+        apart = gate + (np.arange(len(gate)) & 3) * GATES
+        summed = lambda v=None: np.bincount(apart, weights=v, minlength=4 * GATES).reshape(4, -1).sum(0)
+        mass = np.maximum(summed(), 1)[:, None]
+        slope = np.stack([summed(wrong * v) for v in x[:-1]] + [summed(wrong)], 1) / mass
         self.power += slope**2
         self.weights += (RATE * slope / np.sqrt(self.power + 1e-4)).astype(np.float32)
 
-    def log_bits(self, x, gate, bit):
-        """Natural log of the probability of each bit: the mean of the mixed and the refined one."""
+    def bits(self, x, gate, bit):
+        """The probability of each bit: the mean of the mixed and the refined one."""
         z = self.mix(x, gate)
         p = self.refined.take(self.level(z, gate))
         p += 1 / (1 + np.exp(-z))
         p *= np.float32(0.5)
         np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
         p -= (1 - bit).astype(np.float32)  # a 0 has what is left of 1
-        return np.log(np.abs(p, out=p), out=p)
+        return np.abs(p, out=p)
 
 
 def fit_symbols(coder: Coder, mixer: Mixer, s: Symbols) -> None:
     """Learns symbols in order, ``STEP_ROWS`` at a time, each left out of the counts of its contexts."""
-    tree = coder.trees[s.tree]
-    passed = None if s.tree else passes(s, tree)
-    for lo, at, d, code in steps(coder, s):
-        mixer.learn(*mixer.inputs(tree, s, passed, lo, at, d, code), code & 1)
+    arranged = Arranged(coder, s)
+    passed = None if s.tree else passes(s.row, arranged)
+    for lo, deep, code in arranged.runs():
+        mixer.learn(*mixer.inputs(arranged, passed, lo, deep, code), code & 1)
 
 
 def shard_chunks(batches):
@@ -708,12 +765,16 @@ def fit_mixers(docs: DataFrame, id_hash: Column, coder, tables, texts: int, size
 
 def log_symbols(coder: Coder, mixer: Mixer, s: Symbols) -> np.ndarray:
     """Natural log of the probability of each symbol."""
-    tree = coder.trees[s.tree]
-    out = tree.rest[s.number] + s.rest
-    passed = None if s.tree else passes(s, tree)
-    for lo, at, d, code in steps(coder, s):
-        part = out[lo : lo + STEP_ROWS]
-        part += np.bincount(at, weights=mixer.log_bits(*mixer.inputs(tree, s, passed, lo, at, d, code), code & 1), minlength=len(part))
+    arranged = Arranged(coder, s)
+    passed = None if s.tree else passes(s.row, arranged)
+    product = np.ones(len(s.number))  # at least 1e-6 to the DEPTH
+    for lo, deep, code in arranged.runs():
+        p, at = mixer.bits(*mixer.inputs(arranged, passed, lo, deep, code), code & 1), 0
+        for m in deep:
+            product[lo : lo + m] *= p[at : at + m]
+            at += m
+    out = coder.trees[s.tree].rest[s.number] + s.rest
+    out[arranged.order] += np.log(product)
     return out
 
 

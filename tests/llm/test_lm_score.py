@@ -259,3 +259,45 @@ def test_coded_counts():
         out = L.coded([n])
         got = out.counts[0][:, out.codes[0]]
         assert len(out.counts[0][0]) <= 1 << 16 and np.all(np.abs(got - n) <= near * n)
+
+
+def test_slots_of_a_context():
+    """After one context no two nodes share a slot, and the bits of a symbol lie in three runs of 64 bytes of two-byte codes."""
+    rng = np.random.default_rng(7)
+    for weights, bits in ((rng.zipf(1.3, 100_000).clip(1, 10**6) * 256, L.SLOT_BITS[0]), (rng.integers(1, 10**6, 257), L.SLOT_BITS[1])):
+        tree = L.Tree(weights) if bits == L.SLOT_BITS[0] else L.Tree(weights, slot_bits=bits)
+        for context in rng.integers(0, 1 << 63, 3).astype(np.uint64):
+            slot = ((context ^ tree.hash) * L._MULT) >> np.uint64(64 - bits)
+            assert len(np.unique(slot)) == len(tree.hash)
+            block = (slot >> np.uint64(5)).astype(np.int64)
+            for symbol in rng.integers(0, len(weights), 200):
+                assert len({int(block[tree.node[d, symbol]]) for d in range(tree.depth[symbol])}) <= 3
+
+
+def test_dictionary_of_crowded_slots():
+    """Words are found among others whose hashes start alike, and only words are."""
+    rng = np.random.default_rng(11)
+    hashes = np.unique(np.r_[rng.integers(-1 << 63, (1 << 63) - 1, 3000), (rng.integers(-1 << 17, 1 << 17, 40)[:, None] * (1 << 46) + rng.integers(0, 1 << 40, (40, 9))).ravel(), L.END])
+    rng.shuffle(hashes)
+    words = [b"w%d" % i for i in range(len(hashes))]
+    coder = L.make_coder(words, hashes, rng.integers(1, 99, len(hashes)), np.full(len(hashes), 2), 5, np.zeros(257, np.int64), 5, 3)
+    asked = np.r_[hashes, hashes + 1, rng.integers(-1 << 63, (1 << 63) - 1, 3000)]
+    at, hit = coder.find(asked)
+    assert np.array_equal(hit, np.isin(asked, hashes)) and np.array_equal(coder.hashes[at[hit]], asked[hit])
+
+
+def test_passes_by_counting():
+    """Earlier symbols of a text with the same first bits, as a loop counts them; many texts, some long, empty runs between."""
+    coder = model()[0]
+    rng = np.random.default_rng(13)
+    row = np.sort(np.r_[rng.integers(0, 40, 300), np.full(9000, 41), rng.integers(42, 60, 50)])
+    number = rng.integers(0, len(coder.trees[0].depth), len(row))
+    arranged = L.Arranged(coder, L.Symbols(0, number, row, [np.zeros(len(row), np.uint64)] * L.CONTEXTS[0]))
+    got = np.empty((L.DEPTH + 1, len(row)), np.float32)
+    got[:, arranged.order] = L.passes(row, arranged)
+    tree, seen = coder.trees[0], Counter()
+    for i, (r, s) in enumerate(zip(row.tolist(), number.tolist())):
+        path = tuple(int(b) for b in tree.bit[: tree.depth[s], s])
+        for d in range(len(path) + 1):
+            assert got[d, i] == seen[r, path[:d]]
+            seen[r, path[:d]] += 1
