@@ -60,7 +60,7 @@ BLOCK = 1 << 14
 #: Bytes of text that are worked on at once; a longer text is by itself.
 CHUNK = 1 << 18
 #: Tokens and, apart, bits whose slots a task holds before it counts them; bits after which it gives its counts, so that they fit 32 bits.
-HELD, HELD_BITS, FULL = 1_000_000, 2_000_000, 1 << 31
+HELD, HELD_BITS, FULL = 1_000_000, 4_000_000, 1 << 31
 #: Pieces that a block's counts are first summed in, so that no task gets those of all tasks.
 SALTS = 16
 TABLES = "salt int, tree int, context int, block int, n binary"
@@ -382,13 +382,15 @@ def passes(row: np.ndarray, symbols: Arranged) -> np.ndarray:
 def _distinct(column, train: np.ndarray):
     """Yields (words, hashes, counts in training texts and numbers of these) of the distinct words of runs of texts."""
     for lo, part, starts, ends, row, h, n in _words(column):
-        u, first, at = np.unique(h, return_index=True, return_inverse=True)
-        own = train[lo : lo + n][row]
         # places by word and then in order, so a text's are together
-        order = np.argsort(at, kind="stable")
-        w, r = at[order], row[order]
-        news = np.r_[True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])][: len(w)] & own[order]
-        yield _slices(part, starts[first], ends[first]), u, np.stack([np.bincount(at, weights=own, minlength=len(u)), np.bincount(w[news], minlength=len(u))], 1).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        w, r = h[order], row[order]
+        own = train[lo : lo + n][r]
+        new = np.r_[True, w[1:] != w[:-1]][: len(w)]
+        news = np.r_[True, r[1:] != r[:-1]][: len(w)] | new
+        at, first = np.flatnonzero(new), order[new]
+        counts = [np.add.reduceat(x, at, dtype=np.int64) if len(at) else at for x in (own, news & own)]
+        yield _slices(part, starts[first], ends[first]), w[at], np.stack(counts, 1)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -651,7 +653,11 @@ class Mixer:
         apart = gate + (np.arange(len(gate)) & 3) * GATES
         summed = lambda v=None: np.bincount(apart, weights=v, minlength=4 * GATES).reshape(4, -1).sum(0)
         mass = np.maximum(summed(), 1)[:, None]
-        slope = np.stack([summed(wrong * v) for v in x[:-1]] + [summed(wrong)], 1) / mass
+        slope = np.zeros_like(self.power)
+        for i in range(len(x) - 1 - self.tree):  # a spelled byte has no text so far
+            slope[:, i] = summed(wrong * x[i])
+        slope[:, -1] = summed(wrong)
+        slope /= mass
         self.power += slope**2
         self.weights += (RATE * slope / np.sqrt(self.power + 1e-4)).astype(np.float32)
 
